@@ -114,3 +114,14 @@ def medians(df: DataFrame, keys: list[str], cols: dict[str, str], rows: int) ->
     return every.alias("l").join(wide.alias("r"), same_keys("l", "r", keys), "left").select(
         "l.*", *[F.col(f"r.{n}") for n, _ in sources]
     )
+
+
+def weighted_medians(df: DataFrame, keys: list[str], value: str, weight: str, rows: int | None = None) -> DataFrame:
+    """Exact median per key where each row stands for ``weight`` equal rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_n"))
+    ranked = ordered(counts, keys, [value], rows).running(_upto="_n").result()
+    ranked = with_totals(ranked, keys, _total="_n")
+    before = F.col("_upto") - F.col("_n")
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
+    middle = [F.max(F.when((before < p) & (F.col("_upto") >= p), F.col(value))) for p in (low, high)]
+    return ranked.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias("median"))
