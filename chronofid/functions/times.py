@@ -70,19 +70,20 @@ def month_day(month: str | Column, day: str | Column) -> Column:
     return F.when(m.isNotNull() & d.isNotNull(), F.format_string("%02d-%02d", m, d))
 
 
-def digits_to_time(c: str | Column, fmt: str) -> Column:
-    """Parse dates stored as packed digits, keeping the end of the text if the year comes last."""
+def digits_to_time(c: str | Column, fmt: str, numeric: bool = False) -> Column:
+    """Parse dates stored as packed digits, keeping the end of the text if the year comes last.
+
+    ``numeric`` columns are rounded first, so that ``19950101.0`` reads as eight digits.
+    """
     directives = [fmt[i : i + 2] for i in range(0, len(fmt), 2)]
     width = sum(DIRECTIVE_WIDTH[d] for d in directives)
-    digits = F.regexp_replace(F.trim(col(c).cast("string")), r"\D", "")
+    text = F.trim((to_long(c) if numeric else col(c)).cast("string"))
+    digits = F.regexp_replace(text, r"\D", "")
     year_last = directives[-1] in ("%Y", "%y") and directives[0] not in ("%Y", "%y")
-    long = F.expr("true") & (F.length(digits) > width)
-    kept = F.when(long, F.right(digits, F.lit(width)) if year_last else F.left(digits, F.lit(width)))
-    packed = F.lpad(kept.otherwise(digits), width, "0")
-    general = F.trim(col(c).cast("string")).try_cast("timestamp_ntz")
-    return F.coalesce(
-        F.try_to_timestamp(packed, F.lit(spark_pattern(fmt))).cast("timestamp_ntz"), general
-    )
+    kept = F.right(digits, F.lit(width)) if year_last else F.left(digits, F.lit(width))
+    packed = F.lpad(kept, width, "0")
+    exact = F.try_to_timestamp(packed, F.lit(spark_pattern(fmt))).cast("timestamp_ntz")
+    return F.coalesce(exact, text.try_cast("timestamp_ntz"))
 
 
 def floor_time(c: str | Column, width_seconds: int) -> Column:

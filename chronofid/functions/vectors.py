@@ -30,15 +30,10 @@ def parse_code_map(c: str | Column) -> Column:
     return F.from_json(col(c), "map<string,double>", {"allowSingleQuotes": "true"})
 
 
-def class_text(df: DataFrame, codes: str, classes: DataFrame, code: str, label: str, out: str) -> DataFrame:
-    """Map the keys of a code map to classes and join the sorted distinct classes with ``|``.
-
-    ``classes`` is the code list, one row per code; it is folded into one map that rides along as a
-    one-row side, so the records are neither exploded nor shuffled.
-    """
-    pairs = F.map_from_entries(F.collect_list(F.struct(code, label))).alias("_classes")
-    lookup = F.broadcast(classes.select(code, label).dropDuplicates([code]).agg(pairs))
-    found = F.transform(F.map_keys(F.col(codes)), lambda k: F.try_element_at(F.col("_classes"), k))
-    known = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    text = F.coalesce(F.array_join(known, "|"), F.lit(""))
-    return df.join(lookup, F.lit(True), "left").withColumn(out, text).drop("_classes")
+def class_text(df: DataFrame, key: str, codes: str, classes: DataFrame, code: str, label: str, out: str) -> DataFrame:
+    """Map the keys of each record's code map to classes: sorted distinct classes joined with ``|``."""
+    listed = df.select(key, F.explode(F.map_keys(F.col(codes))).alias("_code"))
+    known = classes.select(F.col(code).alias("_code"), F.col(label).alias("_class")).dropDuplicates(["_code"])
+    found = listed.join(known, "_code").groupBy(key).agg(F.array_sort(F.collect_set("_class")).alias("_set"))
+    text = F.coalesce(F.array_join("_set", "|"), F.lit(""))
+    return df.join(found, key, "left").withColumn(out, text).drop("_set")
