@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofid.operators.distributions import ecdf_distances, value_counts
 from chronofid.operators.ordered import ordered, same_keys
@@ -64,7 +65,7 @@ def dft(df: DataFrame, keys: list[str], ix: str, value: str, length: str, freqs:
     return sums.select(*keys, "freq", F.sqrt(power).alias("mag"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rfft_magnitudes(series: pd.Series) -> pd.Series:
     return pd.Series(list(np.abs(np.fft.rfft(np.stack(series.to_numpy()), axis=1))))
 
