@@ -141,6 +141,8 @@ def _pick_pivots(synth: DataFrame, cell_rows: int) -> dict[str, np.ndarray]:
 def _by_cells(real: DataFrame, synth: DataFrame, k: int, cell_rows: int) -> DataFrame:
     context = real.sparkSession.sparkContext
     pivots = context.broadcast(_pick_pivots(synth, cell_rows))
+    columns = "key string, vec array<double>, n long"
+    one_cell = {"cell": F.lit(0).cast("long"), "dist": F.lit(0.0)}
 
     def assign(batches):
         for _, rows, points in _slices(batches, pivots.value):
@@ -151,8 +153,10 @@ def _by_cells(real: DataFrame, synth: DataFrame, k: int, cell_rows: int) -> Data
             cell = far.argmin(axis=1)
             yield rows.assign(cell=cell, dist=far[np.arange(len(rows)), cell])
 
-    columns = "key string, vec array<double>, n long"
-    placed = checkpointed(synth.mapInPandas(assign, f"{columns}, cell long, dist double"))
+    if pivots.value:
+        placed = checkpointed(synth.mapInPandas(assign, f"{columns}, cell long, dist double"))
+    else:
+        placed = synth.withColumns(one_cell)
     # One row per pivot of a large key, so the table is as bounded as the pivots; other keys have one cell.
     big = list(pivots.value)
     sizes = placed.groupBy("key", "cell").agg(F.max("dist").alias("u"), F.min("dist").alias("l"), F.count("cell").alias("c"))
@@ -187,7 +191,6 @@ def _by_cells(real: DataFrame, synth: DataFrame, k: int, cell_rows: int) -> Data
 
     def against(routed: DataFrame) -> DataFrame:
         """Compare routed real vectors with their cell, block by block."""
-        routed = checkpointed(routed)
         crowd = routed.groupBy("key", "cell").agg(F.ceil(F.count("n") / BLOCK_REAL).alias("crowd"))
         spread = routed.join(crowd, ["key", "cell"]).join(counts, ["key", "cell"], "left")
         spread = spread.withColumn("rb", F.pmod(F.xxhash64("vec"), F.col("crowd"))).withColumn(
@@ -199,7 +202,9 @@ def _by_cells(real: DataFrame, synth: DataFrame, k: int, cell_rows: int) -> Data
         on = ["key", "cell", "rb", "sb"]
         return _meet(spread.select(*on, "vec", "n"), copies.select(*on, "vec", "n"), k, on)
 
+    if not pivots.value:
+        return _merge(against(real.withColumn("cell", one_cell["cell"])), k)
     schema = f"{columns}, cell long"
-    home = checkpointed(_merge(against(real.mapInPandas(go_home, schema)), k))
-    away = against(home.mapInPandas(visit, schema))
+    home = checkpointed(_merge(against(checkpointed(real.mapInPandas(go_home, schema))), k))
+    away = against(checkpointed(home.mapInPandas(visit, schema)))
     return _merge(home.unionByName(away), k)

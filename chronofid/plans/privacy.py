@@ -13,6 +13,7 @@ from chronofid.operators.distributions import SYNTH, medians, weighted_medians
 from chronofid.operators.ordered import ordered
 from chronofid.operators.shape import distinct_counts
 from chronofid.plans.roles import TableRoles, union_all
+from chronofid.session import checkpointed
 
 ZERO = 1e-12
 BINS = 10
@@ -31,9 +32,12 @@ def whole_days(pair: DataFrame, time: str) -> DataFrame:
     return pair
 
 
-def closest_record(pair: DataFrame, vector: str = "vec") -> DataFrame:
-    """Distance of each real row to its closest synthetic row: median and mean."""
-    found = knn.distances(pair, None, vector, 1)
+def closest_record(pair: DataFrame, vector: str = "vec", found: DataFrame | None = None) -> DataFrame:
+    """Distance of each real row to its closest synthetic row: median and mean.
+
+    ``found`` may hold distances already computed for the same rows.
+    """
+    found = knn.distances(pair, None, vector, 1) if found is None else found
     known = found.withColumn("d", F.try_element_at("best", F.lit(1))).where(F.col("d").isNotNull())
     known = known.select("d", "n")
     rows = pair.count()
@@ -50,9 +54,10 @@ def _ratios(found: DataFrame) -> DataFrame:
     return two.withColumn("ratio", F.when(d2 > ZERO, F.try_divide(d1, d2)))
 
 
-def neighbour_ratio(pair: DataFrame, vector: str = "vec") -> DataFrame:
+def neighbour_ratio(pair: DataFrame, vector: str = "vec", found: DataFrame | None = None) -> DataFrame:
     """Ratio of first to second neighbour distance: median, mean, range and excluded rows."""
-    ratios = _ratios(knn.distances(pair, None, vector, 2)).select("ratio", "n")
+    found = knn.distances(pair, None, vector, 2) if found is None else found
+    ratios = _ratios(found).select("ratio", "n")
     known = F.col("ratio").isNotNull()
     stats = ratios.agg(
         F.try_divide(F.sum(F.col("ratio") * F.col("n")), F.sum(F.when(known, F.col("n")))).alias("mean"),
@@ -69,17 +74,22 @@ def _over_times(per_time: DataFrame, rows: int) -> DataFrame:
     return mean.join(F.broadcast(middle), F.lit(True), "left")
 
 
-def sectional_closest_record(pair: DataFrame, roles: TableRoles, vector: str = "vec") -> DataFrame:
+def sectional_closest_record(
+    pair: DataFrame, roles: TableRoles, vector: str = "vec", found: DataFrame | None = None
+) -> DataFrame:
     """Median closest-record distance per shared timestamp, averaged over time."""
-    found = knn.distances(whole_days(pair, roles.time), roles.time, vector, 1)
+    found = knn.distances(whole_days(pair, roles.time), roles.time, vector, 1) if found is None else found
     known = found.withColumn("d", F.try_element_at("best", F.lit(1))).where(F.col("d").isNotNull())
     rows = pair.count()
     return _over_times(weighted_medians(known, [roles.time], "d", "n", rows), rows)
 
 
-def sectional_neighbour_ratio(pair: DataFrame, roles: TableRoles, vector: str = "vec") -> DataFrame:
+def sectional_neighbour_ratio(
+    pair: DataFrame, roles: TableRoles, vector: str = "vec", found: DataFrame | None = None
+) -> DataFrame:
     """Median neighbour ratio per timestamp with two or more synthetic rows, averaged over time."""
-    ratios = _ratios(knn.distances(whole_days(pair, roles.time), roles.time, vector, 2))
+    found = knn.distances(whole_days(pair, roles.time), roles.time, vector, 2) if found is None else found
+    ratios = _ratios(found)
     rows = pair.count()
     return _over_times(weighted_medians(ratios, [roles.time], "ratio", "n", rows), rows)
 
@@ -151,16 +161,19 @@ def ngram_exposure(pair: DataFrame, roles: TableRoles, n: int = 3, bins: int = B
 def suite(pair: DataFrame, roles: TableRoles) -> DataFrame:
     """All privacy scores of one table; ``feature`` names the statistic."""
     vectors = with_vector(pair, roles.num_cols)
+    # One search for two neighbours serves both the distance and the ratio.
+    near = checkpointed(knn.distances(vectors, None, "vec", 2))
+    near_by_time = checkpointed(knn.distances(whole_days(vectors, roles.time), roles.time, "vec", 2))
 
     def rows(df: DataFrame, metric: str, stats: list[str]) -> DataFrame:
         long = df.select(*[F.col(s).cast("double").alias(s) for s in stats]).unpivot([], stats, "feature", "score")
         return long.select(F.lit(metric).alias("metric"), "feature", "score")
 
     return union_all([
-        rows(closest_record(vectors), "DCR", ["median", "mean"]),
-        rows(neighbour_ratio(vectors), "NNDR", ["median", "mean", "min", "max"]),
-        rows(sectional_closest_record(vectors, roles), "CS-DCR", ["mean_over_time", "median_over_time"]),
-        rows(sectional_neighbour_ratio(vectors, roles), "CS-NNDR", ["mean_over_time", "median_over_time"]),
+        rows(closest_record(vectors, found=near), "DCR", ["median", "mean"]),
+        rows(neighbour_ratio(vectors, found=near), "NNDR", ["median", "mean", "min", "max"]),
+        rows(sectional_closest_record(vectors, roles, found=near_by_time), "CS-DCR", ["mean_over_time", "median_over_time"]),
+        rows(sectional_neighbour_ratio(vectors, roles, found=near_by_time), "CS-NNDR", ["mean_over_time", "median_over_time"]),
         rows(ngram_exposure(pair, roles, 1), "NGramExposure-1", ["score", "micro_score", "median_exposure"]),
         rows(ngram_exposure(pair, roles, 3), "NGramExposure-3", ["score", "micro_score", "median_exposure"]),
     ])
