@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofid.operators.ordered import ordered, same_keys
+from chronofid.operators.ordered import Ordered, ordered, same_keys
 from chronofid.session import segment_rows
 
 SYNTH = "is_synth"
@@ -21,12 +21,19 @@ def synth_count(weight: Column | None = None) -> Column:
 
 def with_totals(cells: DataFrame, keys: list[str], **totals: str) -> DataFrame:
     """Attach per-key sums without gathering a key's cells in one task: aggregate, then join."""
-    if not keys:
-        keys = ["_all"]
-        cells = cells.withColumn("_all", F.lit(1))
     sums = cells.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in totals.items()])
+    if not keys:
+        return cells.join(F.broadcast(sums), F.lit(True), "left")  # one row
     joined = cells.alias("l").join(sums.alias("r"), same_keys("l", "r", keys), "inner")
-    return joined.select("l.*", *[F.col(f"r.{n}") for n in totals]).drop("_all")
+    return joined.select("l.*", *[F.col(f"r.{n}") for n in totals])
+
+
+def ordered_totals(steps: Ordered, **totals: str) -> DataFrame:
+    """Per-key sums next to ordered rows: the same window if no key is cut, a join otherwise."""
+    if steps.split:
+        return with_totals(steps.result(), steps.keys, **totals)
+    whole = Window.partitionBy(*steps.keys)
+    return steps.result().withColumns({n: F.sum(c).over(whole) for n, c in totals.items()})
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -48,13 +55,7 @@ def ecdf_distances(
     """
     steps = ordered(counts, keys, [value], rows).running(real_c="real_n", synth_c="synth_n")
     steps = steps.lead(next_value=value)
-    if steps.split:
-        cells = with_totals(steps.result(), keys, n_real="real_n", n_synth="synth_n")
-    else:
-        whole = Window.partitionBy(*keys)
-        cells = steps.result().withColumns(
-            {"n_real": F.sum("real_n").over(whole), "n_synth": F.sum("synth_n").over(whole)}
-        )
+    cells = ordered_totals(steps, n_real="real_n", n_synth="synth_n")
     gap = F.abs(F.try_divide("real_c", "n_real") - F.try_divide("synth_c", "n_synth"))
     width = F.col("next_value") - F.col(value)
     return cells.groupBy(*keys).agg(
@@ -99,8 +100,7 @@ def medians(df: DataFrame, keys: list[str], cols: dict[str, str], rows: int) ->
     ])).alias("_x")).select(*keys, "_x.*")
     group = [*keys, "_name"]
     counts = long.where(F.col("_value").isNotNull()).groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered(counts, group, ["_value"], rows * len(sources)).running(_upto="_n").result()
-    ranked = with_totals(ranked, group, _total="_n")
+    ranked = ordered_totals(ordered(counts, group, ["_value"], rows * len(sources)).running(_upto="_n"), _total="_n")
     before = F.col("_upto") - F.col("_n")
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
     middle = [F.max(F.when((before < p) & (F.col("_upto") >= p), F.col("_value"))) for p in (low, high)]
@@ -119,8 +119,7 @@ def medians(df: DataFrame, keys: list[str], cols: dict[str, str], rows: int) ->
 def weighted_medians(df: DataFrame, keys: list[str], value: str, weight: str, rows: int | None = None) -> DataFrame:
     """Exact median per key where each row stands for ``weight`` equal rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_n"))
-    ranked = ordered(counts, keys, [value], rows).running(_upto="_n").result()
-    ranked = with_totals(ranked, keys, _total="_n")
+    ranked = ordered_totals(ordered(counts, keys, [value], rows).running(_upto="_n"), _total="_n")
     before = F.col("_upto") - F.col("_n")
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
     middle = [F.max(F.when((before < p) & (F.col("_upto") >= p), F.col(value))) for p in (low, high)]

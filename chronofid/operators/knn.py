@@ -90,6 +90,8 @@ def distances(pair: DataFrame, key: str | None, vector: str, k: int) -> DataFram
         found = _meet(real, synth, k, ["key"])
     else:
         found = _by_cells(real, synth, k, max(cell_rows, sizes.get(True, 0) // MAX_PIVOTS))
+    # Callers read the distances several times; the blocks must not be compared again for each.
+    found = checkpointed(found)
     if key is None:
         return found.drop("key")
     return found.withColumn(key, F.col("key").cast(pair.schema[key].dataType)).drop("key") if key != "key" else found

@@ -13,7 +13,6 @@ from chronofid.operators.distributions import SYNTH, medians, weighted_medians
 from chronofid.operators.ordered import ordered
 from chronofid.operators.shape import distinct_counts
 from chronofid.plans.roles import TableRoles, union_all
-from chronofid.session import checkpointed
 
 ZERO = 1e-12
 BINS = 10
@@ -162,8 +161,8 @@ def suite(pair: DataFrame, roles: TableRoles) -> DataFrame:
     """All privacy scores of one table; ``feature`` names the statistic."""
     vectors = with_vector(pair, roles.num_cols)
     # One search for two neighbours serves both the distance and the ratio.
-    near = checkpointed(knn.distances(vectors, None, "vec", 2))
-    near_by_time = checkpointed(knn.distances(whole_days(vectors, roles.time), roles.time, "vec", 2))
+    near = knn.distances(vectors, None, "vec", 2)
+    near_by_time = knn.distances(whole_days(vectors, roles.time), roles.time, "vec", 2)
 
     def rows(df: DataFrame, metric: str, stats: list[str]) -> DataFrame:
         long = df.select(*[F.col(s).cast("double").alias(s) for s in stats]).unpivot([], stats, "feature", "score")

@@ -193,7 +193,7 @@ def on_grid(synth: DataFrame, real: DataFrame, rules: RepairRules) -> DataFrame:
     Rows off the grid vanish, several rows of one cell stay. A key with an empty grid keeps its rows.
     """
     keyed = synth.where(F.col(rules.key).isNotNull())
-    spans = grid_spans(key_bounds(keyed, real, rules), real, rules)
+    spans = checkpointed(grid_spans(key_bounds(keyed, real, rules), real, rules))
     on = [rules.key, rules.time]
     merged = grid_points(spans, real, rules).join(keyed.withColumn("_seen", F.lit(True)), on, "left")
     merged = merged.withColumn(IMPUTED, F.col("_seen").isNull()).drop("_seen")

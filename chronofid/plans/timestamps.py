@@ -42,8 +42,13 @@ def order_consistency(pair: DataFrame, roles: TableRoles) -> DataFrame:
     return share_without(intervals(synth, roles, file_order=True), F.col("interval") < 0, 1.0)
 
 
-def uniqueness(pair: DataFrame, roles: TableRoles) -> DataFrame:
-    return share_without(intervals(pair.where(SYNTH), roles), F.col("interval") == 0, 1.0)
+def _synthetic_steps(pair: DataFrame, roles: TableRoles, steps: DataFrame | None) -> DataFrame:
+    """Intervals of the synthetic side; a suite hands in those of both sides to sort the table once."""
+    return intervals(pair.where(SYNTH), roles) if steps is None else steps.where(SYNTH)
+
+
+def uniqueness(pair: DataFrame, roles: TableRoles, steps: DataFrame | None = None) -> DataFrame:
+    return share_without(_synthetic_steps(pair, roles, steps), F.col("interval") == 0, 1.0)
 
 
 def durations(pair: DataFrame, roles: TableRoles) -> DataFrame:
@@ -96,10 +101,10 @@ def range_compliance(pair: DataFrame, roles: TableRoles, representation: str) ->
     return counted.select(score.alias("score"))
 
 
-def regularity(pair: DataFrame, roles: TableRoles, interval: float) -> DataFrame:
+def regularity(pair: DataFrame, roles: TableRoles, interval: float, steps: DataFrame | None = None) -> DataFrame:
     """Share of synthetic intervals within 1 % of the representative interval."""
     off = F.abs(F.col("interval") - interval) > interval * INTERVAL_TOLERANCE
-    return share_without(intervals(pair.where(SYNTH), roles), off, 0.0)
+    return share_without(_synthetic_steps(pair, roles, steps), off, 0.0)
 
 
 def grid_completeness(pair: DataFrame, roles: TableRoles, interval: float) -> DataFrame:
@@ -139,9 +144,10 @@ def grid_completeness(pair: DataFrame, roles: TableRoles, interval: float) -> Da
     )
 
 
-def interval_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def interval_similarity(pair: DataFrame, roles: TableRoles, steps: DataFrame | None = None) -> DataFrame:
     n = pair.count()
-    return complement(ks_by(intervals(pair, roles, rows=n), [], "interval", n), 0.0)
+    steps = intervals(pair, roles, rows=n) if steps is None else steps
+    return complement(ks_by(steps, [], "interval", n), 0.0)
 
 
 def periodicity(pair: DataFrame, roles: TableRoles) -> DataFrame:
@@ -193,21 +199,23 @@ def suite(pair: DataFrame, roles: TableRoles) -> DataFrame:
     """All timestamp scores of one table; those that do not apply are null."""
     kind = periodicity(pair, roles).first()
     rep = representation(pair, roles).first()["representation"]
+    # Equal subplans share one exchange, so the table is shuffled once for all interval scores.
+    steps = intervals(pair, roles, rows=pair.count())
     scores = [
         named(order_consistency(pair, roles), "TemporalOrderConsistency"),
-        named(uniqueness(pair, roles), "TimestampUniqueness"),
+        named(uniqueness(pair, roles, steps), "TimestampUniqueness"),
         named(duration_similarity(pair, roles), "TrajectoryDurationSimilarity"),
         named(range_compliance(pair, roles, rep), "TemporalRangeCompliance"),
     ]
     none = pair.sparkSession.range(1).select(F.lit(None).cast("double").alias("score"))
     if kind["periodicity"] == "Regular" and kind["interval"] is not None:
         scores += [
-            named(regularity(pair, roles, kind["interval"]), "RegularityConsistency"),
+            named(regularity(pair, roles, kind["interval"], steps), "RegularityConsistency"),
             named(grid_completeness(pair, roles, kind["interval"]), "GridCompleteness"),
             named(none, "TimeIntervalDistributionSim"),
         ]
     else:
-        irregular = interval_similarity(pair, roles) if kind["periodicity"] == "Irregular" else none
+        irregular = interval_similarity(pair, roles, steps) if kind["periodicity"] == "Irregular" else none
         scores += [
             named(none, "RegularityConsistency"),
             named(none, "GridCompleteness"),
