@@ -18,7 +18,7 @@ from chronofid.operators.spectra import (
 )
 from chronofid.plans import panel
 from chronofid.plans.roles import TableRoles, named, union_all
-from chronofid.session import segment_rows
+from chronofid.session import checkpointed, segment_rows
 
 PROJECTIONS = 50
 MIN_NORM = 1e-12
@@ -69,14 +69,14 @@ def transition_shares(pair: DataFrame, roles: TableRoles) -> DataFrame:
     cells = adjacent.groupBy(*group, "next_value").agg(
         F.count_if(~F.col(SYNTH)).alias("r"), F.count_if(F.col(SYNTH)).alias("s")
     )
-    totals = cells.groupBy(*group).agg(F.sum("r").alias("r_all"), F.sum("s").alias("s_all"))
-    shares = cells.join(totals, group, "inner")
-    return shares.withColumns(
+    # Counted cells are few: one per time and category pair. A group holds at most one per category.
+    whole = Window.partitionBy(*group)
+    return checkpointed(cells).withColumns(
         {
-            "real_share": F.coalesce(F.try_divide("r", "r_all"), F.lit(0.0)),
-            "synth_share": F.coalesce(F.try_divide("s", "s_all"), F.lit(0.0)),
+            "real_share": F.coalesce(F.try_divide(F.col("r"), F.sum("r").over(whole)), F.lit(0.0)),
+            "synth_share": F.coalesce(F.try_divide(F.col("s"), F.sum("s").over(whole)), F.lit(0.0)),
         }
-    ).drop("r_all", "s_all")
+    )
 
 
 def transition_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
@@ -194,7 +194,8 @@ def spectrum(
         raise ValueError("reduce must be one of none, mean, sum, median")
     index = panel.time_index(pair, roles.time)
     width = index.count()
-    grid = panel.align(pair, roles, fill_method, index=index, width=width)
+    # The panel feeds both the channel moments and the transform: written once, read twice.
+    grid = checkpointed(panel.align(pair, roles, fill_method, index=index, width=width))
     length = width - 1 if apply_diff else width
     if length < 2:
         raise ValueError("need at least two values per trajectory after differencing")
@@ -219,8 +220,9 @@ def spectrum(
         merge = {"mean": F.avg, "sum": F.sum, "median": F.median}[reduce]
         spec = spec.groupBy(*entity, "freq").agg(merge("mag").alias("mag")).withColumn("channel", F.lit("*"))
     if normalize:
-        totals = spec.groupBy(*entity).agg(F.sum("mag").alias("_total"))
-        spec = spec.join(totals, entity).withColumn("mag", F.col("mag") / F.greatest("_total", F.lit(MIN_NORM)))
+        # An entity has as many rows as channels times bins, whatever the size of the table.
+        total = F.sum("mag").over(Window.partitionBy(*entity))
+        spec = spec.withColumn("mag", F.col("mag") / F.greatest(total, F.lit(MIN_NORM)))
     place = {c: i for i, c in enumerate(roles.num_cols)}
     offset = F.coalesce(*[F.when(F.col("channel") == c, i) for c, i in place.items()], F.lit(0)) * bins
     return spec.select(*entity, "channel", "freq", (offset + F.col("freq")).cast("long").alias("dim"), "mag")
