@@ -25,7 +25,12 @@ class Catalogue:
 
     def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def register(query: Query) -> Query:
-            self.queries[name] = lambda spark, folder: rounded(query(spark, folder))
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                # The tables hold clock times without a zone; their seconds are counted in UTC.
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+                return rounded(query(spark, folder))
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return query

@@ -14,12 +14,14 @@ from chronofid.functions.times import (
 from chronofid.functions.vectors import class_text, parse_code_map
 from chronofid.operators import encode
 from chronofid.operators.distributions import ks_by
-from chronofid.operators.joins import attach_parent, Relationship
+from chronofid.operators.joins import Relationship, attach_parent
 from chronofid.operators.ordered import ordered
+from chronofid.operators.sampling import first_rows
 from chronofid.plans.columns import covered_share
 from chronofid.plans.roles import pair_of
 from chronofid.sources import scores as sc
 from chronofid.sources import tables as src
+from chronofid.session import shared_folder
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -34,6 +36,38 @@ def src1(spark, folder):
     return src.read_table(spark, f"{folder}/customer.parquet", schema, row=None)
 
 
+PART = T.StructType([
+    T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_retailprice", T.DoubleType()),
+])
+
+
+@add("src1_csv_scan", """SELECT p_partkey, p_name, round(p_retailprice, 6) AS p_retailprice FROM part""")
+def src1_csv(spark, folder):
+    path = f"{shared_folder(spark)}/part.csv"
+    # Column order on disk differs from the schema: columns are found by header name.
+    table(spark, folder, "part").select("p_retailprice", "p_name", "p_partkey").write.csv(path, header=True)
+    return src.read_table(spark, path, PART, row=None)
+
+
+@add("src4_gzip_shards", """SELECT p_partkey, p_name, round(p_retailprice, 6) AS p_retailprice FROM part""")
+def src4(spark, folder):
+    path = shared_folder(spark)
+    df = table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
+    df.repartition(4, "p_partkey").write.csv(path, header=False, compression="gzip")
+    return src.read_shards(spark, [path], PART)
+
+
+@add("snk1_variant_tables", """
+SELECT o_orderkey, o_orderstatus, variant FROM orders, (VALUES ('raw'), ('default')) v(variant)
+WHERE variant = 'raw' OR o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)""")
+def snk1(spark, folder):
+    root = shared_folder(spark)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    src.write_variant(orders, root, "raw")
+    src.write_variant(first_rows(orders, ["o_custkey"], "o_orderkey"), root, "default")
+    return src.read_variants(spark, root).select("o_orderkey", "o_orderstatus", "variant")
+
+
 VARIANTS = """v AS (SELECT event_id, user_id, event_type AS variant_source,
     CASE event_type WHEN 'click' THEN 'interp_fill' WHEN 'view' THEN 'default' WHEN 'signup' THEN 'raw' WHEN 'error' THEN 'real' ELSE 'other' END AS variant FROM events),
 r AS (SELECT *, CASE variant WHEN 'interp_fill' THEN 0 WHEN 'default' THEN 1 WHEN 'raw' THEN 2 WHEN 'real' THEN 3 END AS rk FROM v)"""
@@ -295,6 +329,8 @@ def snk4_family(spark, folder):
     return sc.by_family(scores(spark, folder), ["sd", "timestamp"])
 
 
-@add("snk2_long_scores", SCORES + """SELECT 'events' AS dataset, model, variant, family, metric, 'events' AS "table", feature, round(score, 6) AS score FROM s""")
+@add("snk2_stored_scores", SCORES + """SELECT 'events' AS dataset, model, variant, family, metric, 'events' AS "table", feature, round(score, 6) AS score FROM s""")
 def snk2(spark, folder):
-    return scores(spark, folder)
+    path = shared_folder(spark)
+    sc.write_scores(scores(spark, folder), path)
+    return spark.read.parquet(path)

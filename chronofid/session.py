@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,29 @@ def segment_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SEGMENT_CONF, str(SEGMENT_ROWS)))
 
 
+def _ensure_checkpoint_folder(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="chronofid-")
+    context.setCheckpointDir(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 
     The folder comes from ``spark.checkpoint.dir``. Only a local session may fall back to a
     temporary folder, since on a cluster that would live on one machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="chronofid-")
-        context.setCheckpointDir(folder)
+    _ensure_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path below the shared checkpoint folder, for files that are written and read back."""
+    _ensure_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
