@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofid.catalog.base import EV, Catalogue, ctes, events, ks_cte, sided, table
+from chronofid.catalog.base import EV, Catalogue, ctes, events, ks_cte, table
 from chronofid.functions.labels import alpha_rank, plain_label, safe_token
 from chronofid.functions.numeric import bool_to_int, clip01, to_double, to_long
 from chronofid.functions.times import (

@@ -45,9 +45,12 @@ def coerce_time(df: DataFrame, c: str, fmt: str | None = None, min_rate: float =
     return df
 
 
-def time_or_number(c: str | Column, any_time: bool, fmt: str | None = None) -> Column:
-    """Timestamp if any value of the column parsed as one, else the number."""
-    return parse_time(c, fmt) if any_time else to_double(c)
+def convert_time(df: DataFrame, c: str, fmt: str | None = None) -> DataFrame:
+    """Turn text into timestamps, or into numbers if not one value parses as a time; other types stay."""
+    if df.schema[c].dataType.typeName() != "string":
+        return df
+    any_time = df.agg(F.bool_or(parse_time(c, fmt).isNotNull())).first()[0]
+    return df.withColumn(c, parse_time(c, fmt) if any_time else to_double(c))
 
 
 def seconds(c: str | Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofid.functions.labels import alpha_rank, boolean_label, join_key, safe_token, token
-from chronofid.functions.times import digits_to_time, parse_time, ymd
+from chronofid.functions.times import coerce_time, convert_time, digits_to_time, parse_time, ymd
 from chronofid.operators import encode
 from chronofid.plans.roles import labelled
 from chronofid.sources import scores, tables
@@ -140,3 +140,12 @@ def test_ranked_dates_span_the_reference(spark):
     got = sorted((str(r["d"].date())) for r in encode.repair_dates(raw, ref, "d").collect())
     # Positions 0, 4.5 rounded to even 4, and 9.
     assert got == ["2020-01-01", "2020-01-01", "2020-01-05", "2020-01-10"]
+
+
+def test_time_columns_become_times_or_numbers(spark):
+    dates = spark.createDataFrame([("2020-01-02",), ("nonsense",)], "t string")
+    assert [r["t"] is None for r in convert_time(dates, "t").collect()].count(True) == 1
+    # Half of it parses, which is too little for the stricter rule.
+    assert coerce_time(dates, "t").schema["t"].dataType.typeName() == "string"
+    steps = spark.createDataFrame([("x",), ("y3",), (None,)], "t string").union(spark.createDataFrame([("-1.5",)], "t string"))
+    assert sorted(r["t"] for r in convert_time(steps, "t").collect() if r["t"] is not None) == [-1.5]
