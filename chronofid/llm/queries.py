@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofid.llm import line_dedup, quality_rules, sharding
+from chronofid.llm import line_dedup, preference, quality_rules, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,3 +63,21 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shard_slots(table(spark, folder, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def scored(score: DataFrame, folds: int, fold: int) -> DataFrame:
+    return score.select("doc_id", toxicity.held_out(folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@CATALOGUE.add("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = preference.fit_quality(docs, labels.where(~toxicity.held_out(3, 1)))
+    return scored(preference.score_quality(docs, model), 3, 1)
+
+
+@CATALOGUE.add("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit_toxicity(docs, labels.where(~toxicity.held_out(5, 0)))
+    return scored(toxicity.score_toxicity(docs, model), 5, 0)
