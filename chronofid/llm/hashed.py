@@ -67,7 +67,7 @@ def margins(lists: list[list[bytes]], models: list[Weights], screens: list[np.nd
     return out
 
 
-def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS) -> pa.Table:
+def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS, split=folded_words) -> pa.Table:
     """``extra`` and the distinct features of each row (as bytes), for a sample that is small by construction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +75,7 @@ def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS)
             for piece, texts in chunks(batch, "text"):
                 packed = []
                 for text in texts:
-                    parts = [f for _, f in features([folded_words(text)], gaps)]
+                    parts = [f for _, f in features([split(text)], gaps)]
                     packed.append(np.unique(np.concatenate(parts)).tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column(extra), pa.array(packed, pa.binary())], names=[extra, "features"])
 

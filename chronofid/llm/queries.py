@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofid.llm import line_dedup, preference, quality_rules, sharding, toxicity
+from chronofid.llm import line_dedup, mixing, preference, quality_rules, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,3 +81,22 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = toxicity.fit_toxicity(docs, labels.where(~toxicity.held_out(5, 0)))
     return scored(toxicity.score_toxicity(docs, model), 5, 0)
+
+
+@CATALOGUE.add("op1_token_counts")
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+#: Expected token shares of the domains that ``labels`` tell apart.
+TARGETS = {"clean": 0.90, "junk": 0.06, "toxic": 0.04}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@CATALOGUE.add("op4_mixing_sources")
+def op4_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, folder, "documents"), label_domains(table(spark, folder, "labels")), TARGETS)
