@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofid.llm import line_dedup, mixing, preference, quality_rules, sharding, token_counts, toxicity
+from chronofid.llm import licenses, line_dedup, mixing, preference, quality_rules, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,3 +100,8 @@ def label_domains(labels: DataFrame) -> DataFrame:
 @CATALOGUE.add("op4_mixing_sources")
 def op4_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, folder, "documents"), label_domains(table(spark, folder, "labels")), TARGETS)
+
+
+@CATALOGUE.add("op3_license_scan", licenses.oracle_sql())
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
