@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofid.llm import licenses, line_dedup, mixing, ngram_join, preference, quality_rules, sharding, token_counts, toxicity
+from chronofid.llm import decontamination, licenses, line_dedup, mixing, ngram_join, preference, quality_rules, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,3 +125,28 @@ FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.
 @CATALOGUE.add("op2_ngram_jaccard_join", JACCARD_SQL)
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"), width=3, percent=90)
+
+
+LEAKS_SQL = r"""WITH d AS (SELECT doc_id, string_split(t, ' ') AS ws FROM
+        (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents) a WHERE t <> ''),
+i AS (SELECT item_id, string_split(t, ' ') AS ws FROM
+        (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM benchmark) a WHERE t <> ''),
+ds AS (SELECT doc_id, len(ws) AS size, k, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM d) x),
+s AS (SELECT item_id, len(ws) AS length, k, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM i) x),
+w AS (SELECT DISTINCT ds.doc_id, s.item_id, s.length, greatest(0, least(ds.k - s.k, ds.size - s.length)) AS start FROM ds JOIN s ON ds.g = s.g),
+wg AS (SELECT w.doc_id, w.item_id, w.start, ds.g, count(*) AS n FROM w JOIN ds ON ds.doc_id = w.doc_id AND ds.k > w.start AND ds.k <= w.start + w.length - 4
+       GROUP BY ALL),
+ig AS (SELECT item_id, g, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT wg.doc_id, wg.item_id, wg.start, sum(least(wg.n, ig.n)) AS i FROM wg JOIN ig ON wg.item_id = ig.item_id AND wg.g = ig.g GROUP BY ALL),
+t AS (SELECT doc_id, item_id, start, sum(n) AS n FROM wg GROUP BY ALL),
+f AS (SELECT o.doc_id, o.item_id, o.start, CAST(o.i AS DOUBLE) / CAST(t.n + c.n - o.i AS DOUBLE) AS similarity
+      FROM o JOIN t ON o.doc_id = t.doc_id AND o.item_id = t.item_id AND o.start = t.start
+      JOIN (SELECT item_id, sum(n) AS n FROM ig GROUP BY item_id) c ON o.item_id = c.item_id
+      WHERE 100 * o.i >= 80 * (t.n + c.n - o.i))
+SELECT doc_id, item_id, similarity, start FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
+
+@CATALOGUE.add("op8_benchmark_decontamination", LEAKS_SQL)
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", F.col("start").cast("long").alias("start"))
