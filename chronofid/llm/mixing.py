@@ -2,9 +2,10 @@
 
 Method. A labelled table names the domain of some documents. One sparse logistic model per domain, trained on a
 bounded sample of it, gives every document a posterior over the domains: it belongs to all of them in part. With
-``a[d, i] = tokens_i * posterior_id``, nonnegative rates ``x`` minimise ``sum_d (a x - t)_d**2 / m_d``, where ``t``
-holds the targets and ``m`` the totals at rate 1. Projected gradient steps in the metric of the tokens read
-``x_i <- max(0, x_i - sum_d posterior_id * (a x - t)_d / m_d)``; the curvature never exceeds 1, so full steps are safe.
+``a[d, i] = tokens_i * posterior_id`` and the targets ``t``, nonnegative rates ``x`` minimise the least squares
+``(a x - t)' inverse(b) (a x - t)``, where ``b = sum_i tokens_i * posterior_i posterior_i'`` puts the domains on one scale.
+Projected gradient steps in the metric of the tokens read ``x_i <- max(0, x_i - posterior_i' inverse(b) (a x - t))``;
+the curvature is 1 in every direction, so a full step meets the targets at once as long as no rate hits zero.
 
 How it runs. Posteriors are checkpointed once, a few numbers a row. A step is one aggregation over all rows that sends one
 sum per domain to the driver; a row's rate follows from the steps so far as a column expression.
@@ -13,7 +14,7 @@ Defined cases. A null or empty text has no tokens; it has a rate all the same, w
 of the labelled table without id or domain, or with a domain that has no target, are not learned from; of several
 domains for one ``doc_id`` the largest counts. Without labelled rows the posterior is uniform. A domain with no expected
 tokens is left out of the fit. Repeated rows are weighed one by one. Columns beyond ``doc_id`` and ``text``
-don't reach a posterior.
+don't reach a posterior. Targets that no nonnegative rates can meet are met as nearly as ``STEPS`` steps allow.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from chronofid.session import checkpointed
 
 SAMPLE_ROWS = 8_000
 MIN_DOCS = 5
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 60, 1e-7
 
 _UPPER, _SYMBOLS, _MARKS = bytes(range(65, 91)), b"#*$%&|<>", b"!?.,;:"
 
@@ -65,6 +67,11 @@ def posterior_columns(domains: list[str]) -> list[str]:
     return [f"p_{d}" for d in domains]
 
 
+def posteriors(listed: list[list[bytes]], models: list[Weights], screens: list[np.ndarray]) -> np.ndarray:
+    odds = sigmoid(margins(listed, models, screens, ()))
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
 def domain_posteriors(docs: DataFrame, models: list[Weights], domains: list[str]) -> DataFrame:
     """All columns of ``docs`` but the text, ``n_tokens`` and a posterior column for each domain."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -76,8 +83,7 @@ def domain_posteriors(docs: DataFrame, models: list[Weights], domains: list[str]
         for batch in batches:
             for piece, texts in chunks(batch, "text"):
                 listed = [marked_words(t) for t in texts]
-                odds = sigmoid(margins(listed, weights, screens, ()))
-                odds /= odds.sum(axis=1, keepdims=True)
+                odds = posteriors(listed, weights, screens)
                 looks = len(marked_words(None))
                 columns = [piece.column("doc_id"), pa.array([len(x) - looks for x in listed], pa.int64()), *map(pa.array, odds.T)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -85,42 +91,63 @@ def domain_posteriors(docs: DataFrame, models: list[Weights], domains: list[str]
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"`{n}` double" for n in names[2:]))
 
 
-def _rate(posteriors: list[str], steps: list[list[float]]) -> Column:
+def rate_column(domains: list[str], steps: list[list[float]]) -> Column:
     """The rate after the given steps, each one number per domain."""
     rate = F.lit(1.0)
     for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(p) * s for p, s in zip(posteriors, step)), F.lit(0.0)))
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"`{p}`") * s for p, s in zip(posterior_columns(domains), step)), F.lit(0.0)))
+    return rate
+
+
+def rates_of(posteriors: np.ndarray, steps: list[list[float]]) -> np.ndarray:
+    """``rate_column`` for an array with a row per document."""
+    rate = np.ones(len(posteriors))
+    for step in steps:
+        rate = np.maximum(0.0, rate - posteriors @ np.array(step))
     return rate
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
-    """Column expression of the rates, over rows of ``n_tokens`` and posteriors; ``targets`` are relative weights."""
-    names = posterior_columns(list(targets))
-    of = lambda rate: [F.sum(F.col("n_tokens") * F.col(p) * rate).alias(p) for p in names]
+def fit_steps(members: DataFrame, targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+    """The gradient steps of the rates, over rows of ``n_tokens`` and posteriors; ``targets`` are relative weights."""
+    names = [F.col(f"`{p}`") for p in posterior_columns(list(targets))]
+    tokens = F.col("n_tokens")
     share = np.array(list(targets.values()), float) / sum(targets.values())
+    first = members.agg(*(F.sum(tokens * p).alias("m") for p in names), *(F.sum(tokens * p * q).alias("b") for p in names for q in names)).first()
+    now, curvature = np.array([x or 0.0 for x in first[: len(names)]]), np.array([x or 0.0 for x in first[len(names) :]]).reshape(len(names), -1)
+    want, inverse = share * now.sum(), np.linalg.pinv(curvature, rcond=1e-9, hermitian=True)
     taken: list[list[float]] = []
-    totals = want = None
-    for _ in range(steps):
-        now = np.array([x or 0.0 for x in members.agg(*of(_rate(names, taken))).first()])
-        if totals is None:
-            totals, want = now, share * now.sum()
-        used = totals > 0
-        move = np.where(used, (now - want) / np.where(used, totals, 1.0), 0.0)
-        if np.abs(move).max() < tolerance:
-            break
-        taken.append([float(x) for x in move])
-    return _rate(names, taken)
+    while len(taken) < steps and np.abs(now - want).max() > tolerance * want.sum():
+        taken.append([float(x) for x in inverse @ (now - want)])
+        rate = rate_column(list(targets), taken)
+        now = np.array([x or 0.0 for x in members.agg(*(F.sum(tokens * rate * p) for p in names)).first()])
+    return taken
+
+
+def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample_rows: int) -> tuple[list[Weights], DataFrame, list[list[float]]]:
+    """The domain models, every document's posteriors (checkpointed) and the steps of the rates."""
+    models = fit_domains(docs, labelled, list(targets), sample_rows)
+    members = checkpointed(domain_posteriors(docs, models, list(targets)))
+    return models, members, fit_steps(members, targets)
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, n_tokens``, a posterior per domain and ``rate`` of every document."""
-    domains = list(targets)
-    models = fit_domains(docs, labelled, domains, sample_rows)
-    members = checkpointed(domain_posteriors(docs, models, domains))
-    return members.withColumn("rate", fit_rates(members, targets))
+    _, members, steps = fitted(docs, labelled, targets, sample_rows)
+    return members.withColumn("rate", rate_column(list(targets), steps))
 
 
-def copies(rate: Column, doc_id: Column) -> Column:
-    """How often a document is taken: the rate, rounded up or down by a fixed draw from its id."""
-    draw = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
-    return F.floor(rate + draw).cast("int")
+def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents, each as often as its rate says: rounded up or down by a fixed draw from its id, so 0 times or more."""
+    models, _, steps = fitted(docs, labelled, targets, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        screens = [m.screen() for m in weights]
+        for batch in batches:
+            for piece, texts in chunks(batch, "text"):
+                rate = rates_of(posteriors([marked_words(t) for t in texts], weights, screens), steps)
+                draw = np.array([xxhash.xxh3_64_intdigest(str(i)) / 2**64 for i in piece.column("doc_id").to_pylist()])
+                yield piece.take(pa.array(np.repeat(np.arange(len(texts)), np.floor(rate + draw).astype(int))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ no row passes through the driver and rows that nothing pushes along stay where t
 
 Defined cases. A null text has size 16 and the checksum of the empty text. Rows without a ``doc_id`` lie where
 the empty text lies. Repeated rows are dealt one by one; equal rows are interchangeable. An empty table gives an
-empty result. Only ``doc_id`` and ``text`` are read. Rows that repeat one ``doc_id`` are numbered by one task,
+empty result. Columns beyond ``doc_id`` and ``text`` are not read, only carried. Rows that repeat one ``doc_id`` are numbered by one task,
 which sorts them on disk if need be; the column is an id, so they are few.
 """
 
@@ -94,31 +94,41 @@ def arc_table(spark: SparkSession, points: list[tuple[int, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "bucket long, low long, high long, arc int")
 
 
-def located(docs: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
-    """``doc_id, size, text_crc32, position, arc`` of every row."""
+def located(docs: DataFrame, points: list[tuple[int, int]], carry: bool) -> DataFrame:
+    """``doc_id, size, text_crc32, position, arc`` of every row, and with ``carry`` the whole ``row``."""
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         place(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("position"),
+        *([F.struct("*").alias("row")] if carry else []),
     )
     arcs = F.broadcast(arc_table(docs.sparkSession, points))
     inside = (F.floor(F.col("position") / (RING // BUCKETS)) == F.col("bucket")) & (F.col("position") > F.col("low")) & (F.col("position") <= F.col("high"))
     return rows.join(arcs, inside).select(*rows.columns, "arc")
 
 
-def shard_slots(docs: DataFrame, shards: int = 40, nodes: int = VIRTUAL_NODES) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot`` of every row; slots of a shard run from 0 without a gap."""
+def _dealt(docs: DataFrame, shards: int, nodes: int, carry: bool) -> DataFrame:
     spark = docs.sparkSession
     points = ring(spark, shards, nodes)
-    rows = located(docs, points)
-    counts = {r.arc: r.n for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    counts = {r.arc: r.n for r in located(docs, points, False).groupBy("arc").agg(F.count("*").alias("n")).collect()}
     stretches = cuts(points, counts, bounds(sum(counts.values()), shards))
-    stretched = spark.createDataFrame(stretches, "arc int, first long, last long, shard int, slot long")
+    stretched = spark.createDataFrame(stretches, "of int, first long, last long, shard int, slot long")
     order = Window.partitionBy("arc").orderBy("position", "doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("at", F.row_number().over(order) - 1)
-    found = numbered.join(F.broadcast(stretched.withColumnRenamed("arc", "of")), (F.col("arc") == F.col("of")) & F.col("at").between(F.col("first"), F.col("last")))
-    return found.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("at") - F.col("first")).alias("slot"))
+    numbered = located(docs, points, carry).withColumn("at", F.row_number().over(order) - 1)
+    found = numbered.join(F.broadcast(stretched), (F.col("arc") == F.col("of")) & F.col("at").between(F.col("first"), F.col("last")))
+    return found.withColumn("slot", F.col("slot") + F.col("at") - F.col("first"))
+
+
+def shard_slots(docs: DataFrame, shards: int = 40, nodes: int = VIRTUAL_NODES) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot`` of every row; slots of a shard run from 0 without a gap."""
+    return _dealt(docs, shards, nodes, False).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def sharded(docs: DataFrame, shards: int = 40, nodes: int = VIRTUAL_NODES) -> DataFrame:
+    """All columns of every row, with ``shard`` and ``slot`` (which replace columns of these names)."""
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return _dealt(docs, shards, nodes, True).select(*kept, "shard", "slot")
 
 
 def nearest(points: list[tuple[int, int]], position: int) -> int:
