@@ -178,5 +178,5 @@ SELECT a, b FROM (
 WHERE n <= 500""")
 def fil7(spark, folder):
     cats = ["l_returnflag", "l_linestatus", "l_linenumber", "l_partkey"]
-    pairs = col.contingency_pairs(lineitem(spark, folder), cats)
+    pairs = col.contingency_pairs(lineitem(spark, folder), cats, limit=500)
     return spark.createDataFrame(pairs, "a string, b string")

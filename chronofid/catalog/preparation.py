@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofid.catalog.base import EV, Catalogue, ctes, events, ks_cte, table
-from chronofid.functions.labels import alpha_rank, plain_label, safe_token
+from chronofid.functions.labels import alpha_rank, column_token, plain_label
 from chronofid.functions.numeric import bool_to_int, clip01, to_double, to_long
 from chronofid.functions.times import (
     day_of, digits_to_time, floor_time, month_day, month_number, month_of, parse_time, seconds, ymd,
@@ -140,12 +140,12 @@ def prj6(spark, folder):
 
 @add("prj8_rank_time", """
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS row_rank,
-  CAST(CASE event_type WHEN 'view' THEN ((22 * 26 + 9) * 26 + 5) * 26 + 23 ELSE -1 END AS DOUBLE) AS alpha FROM events""")
+  CAST(CASE WHEN regexp_full_match(lower(event_type), '[a-z]+') THEN list_reduce(list_transform(string_split(lower(event_type), ''),
+       lambda x: CAST(ascii(x) - 96 AS HUGEINT)), lambda a, b: a * 26 + b) ELSE -1 END AS DOUBLE) AS alpha FROM events""")
 def prj8(spark, folder):
     df = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
     ranked = ordered(df, ["user_id"], ["ts", "event_id"]).numbered("row_rank").result()
-    view = F.when(F.col("event_type") == "view", F.col("event_type")).otherwise(F.lit("n/a"))
-    return ranked.select("event_id", "user_id", "row_rank", alpha_rank(view).alias("alpha"))
+    return ranked.select("event_id", "user_id", "row_rank", alpha_rank("event_type").cast("double").alias("alpha"))
 
 
 @add("prj11_category_codes", """
@@ -234,13 +234,13 @@ def prj17(spark, folder):
 @add("scl1_text_functions", r"""
 SELECT p_partkey, trim(p_name) AS label, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits, lower(p_type) AS lowered,
   lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, concat_ws('-', p_brand, p_type) AS joined, regexp_full_match(p_brand, 'Brand#\d{2}') AS two_digits,
-  substring(p_name, 1, 3) AS start, 'Brand_1' AS safe FROM part""")
+  substring(p_name, 1, 3) AS start, 'Brand_23_1_23_' AS safe FROM part""")
 def scl1(spark, folder):
     return table(spark, folder, "part").select(
         "p_partkey", plain_label("p_name").alias("label"), F.regexp_replace("p_brand", r"\D", "").alias("digits"),
         F.lower("p_type").alias("lowered"), F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"),
         F.concat_ws("-", "p_brand", "p_type").alias("joined"), F.col("p_brand").rlike(r"^Brand#\d{2}$").alias("two_digits"),
-        F.substring("p_name", 1, 3).alias("start"), F.lit(safe_token("Brand#1#")).alias("safe"),
+        F.substring("p_name", 1, 3).alias("start"), F.lit(column_token("Brand#1#")).alias("safe"),
     )
 
 

@@ -157,14 +157,14 @@ def joi8_end(spark, folder):
     return nearest(lines, sizes, "l_tax_start", end="l_end")
 
 
-DAILY = """u AS (SELECT user_id, day, sum(value) AS value FROM ev WHERE syn GROUP BY 1, 2)"""
+DAILY = """u AS (SELECT user_id, day, sum(value) AS value FROM ev GROUP BY 1, 2)"""
 
 
 @add("joi9_grid_left_join", ctes(EV, DAILY) + """, b AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM u GROUP BY 1),
 g AS (SELECT user_id, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM b)
 SELECT g.user_id, g.day, round(value, 6) AS value, u.user_id IS NULL AS "_is_imputed" FROM g LEFT JOIN u ON g.user_id = u.user_id AND g.day = u.day""")
 def joi9(spark, folder):
-    days = events(spark, folder).where("is_synth").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("value"))
+    days = events(spark, folder).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("value"))
     rules = RepairRules(key="user_id", time="day", grid_kind="date_range", num_cols=["value"])
     return rp.on_grid(days, days, rules)
 
@@ -232,4 +232,17 @@ def agg7(spark, folder):
 def srt1(spark, folder):
     rules = RepairRules(key="user_id", time="ts", row="event_id")
     sorted_rows = rp.in_order(table(spark, folder, "events").select("event_id", "user_id", "ts"), rules)
-    return ordered(sorted_rows, [], ["user_id", "ts", "event_id"]).numbered("place").result().select("event_id", "user_id", "place")
+    return _places(sorted_rows)
+
+
+def _places(sorted_rows):
+    """Number rows by where they stand: by partition, then by position in it."""
+    stood = sorted_rows.withColumn("_at", F.monotonically_increasing_id())
+    return ordered(stood, [], ["_at"]).numbered("place").result().select("event_id", "user_id", "place")
+
+
+@add("srt1_row_index_order", """SELECT event_id, user_id, row_number() OVER (ORDER BY user_id, event_id % 97, event_id) - 1 AS place FROM events""")
+def srt1_row_index(spark, folder):
+    rules = RepairRules(key="user_id", time="ts", row="event_id", row_index="step")
+    rows = table(spark, folder, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 97).alias("step"))
+    return _places(rp.in_order(rows, rules))

@@ -10,6 +10,7 @@ from chronofid.functions.labels import join_key
 from chronofid.operators import joins
 from chronofid.operators.joins import Relationship
 from chronofid.operators.sampling import first_rows, sample_entities, stratified_folds, stratified_split
+from chronofid.plans import repair
 from chronofid.plans import structure as st
 from chronofid.plans.roles import TableRoles
 
@@ -188,7 +189,8 @@ def set1(spark, folder):
 
 @add("set1_full_row", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def set1_full(spark, folder):
-    return table(spark, folder, "events").select("user_id", "event_type", F.to_date("ts").alias("day")).distinct()
+    rows = table(spark, folder, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), F.col("event_id").alias(repair.ORDER))
+    return repair.deduplicate(rows, repair.RepairRules(key="user_id", time="day", dedup="full_row")).drop(repair.ORDER)
 
 
 @add("set4_parent_union", """

@@ -20,7 +20,7 @@ DAILY_ROLES = TableRoles(
     key="user_id", time="day", row="row_ix", num_cols=["value", "k"], cat_cols=["event_type"]
 )
 MAX_LAG = 3
-RAYS = 10
+RAYS = tr.PROJECTIONS
 
 DAILY = """daily AS (
   SELECT syn, user_id, day, sum(value) AS value, sum(k) AS k, arg_min(event_type, event_id) AS event_type,
@@ -127,9 +127,9 @@ DEP_LONG = """long AS (SELECT feature, syn, 0 AS user_id, day, avg(value) AS val
 
 
 @add("win9_lagged_products", ctes(EV, DAILY, LONG, ACF) + """
-SELECT feature, syn AS is_synth, user_id, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acf WHERE feature = 'value'""")
+SELECT feature, syn AS is_synth, user_id, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acf""")
 def win9(spark, folder):
-    df = daily(spark, folder).withColumn("feature", F.lit("value"))
+    df = daily(spark, folder).unpivot(["is_synth", "user_id", "day"], ["value", "k"], "feature", "value")
     return tr.autocorrelation(df, ["feature", "is_synth", "user_id"], ["day"], "value", MAX_LAG)
 
 

@@ -64,25 +64,48 @@ def token(c: str | Column) -> Column:
 
 
 def alpha_rank(c: str | Column) -> Column:
-    """Letters read as a base-26 number (a=1 … z=26, aa=27); -1 if any other character occurs."""
+    """Letters read as a whole base-26 number (a=1 … z=26, aa=27); -1 if any other character occurs.
+
+    Exact up to 26 letters; longer tokens have no number (null) but keep their place in ``alpha_order``.
+    """
+    whole = "decimal(38,0)"
     text = F.lower(col(c))
     letters = F.filter(F.split(text, ""), lambda x: x != "")
-    value = F.aggregate(letters, F.lit(0.0), lambda acc, x: acc * 26 + F.ascii(x) - 96)
-    return F.when(text.rlike("^[a-z]+$"), value).otherwise(F.lit(-1.0))
+    value = F.aggregate(letters, F.lit(0).cast(whole), lambda acc, x: (acc * 26 + F.ascii(x) - 96).cast(whole))
+    fits = text.rlike("^[a-z]{1,26}$")
+    return F.when(fits, value).when(text.rlike("^[a-z]+$"), F.lit(None)).otherwise(F.lit(-1)).cast(whole)
+
+
+def alpha_order(c: str | Column) -> Column:
+    """Sort key in the order of ``alpha_rank`` for tokens of any length: shorter ones first, then by letters."""
+    text = F.lower(col(c))
+    return F.when(text.rlike("^[a-z]+$"), F.struct(F.length(text).alias("n"), text.alias("t"))).otherwise(
+        F.struct(F.lit(0).alias("n"), F.lit("").alias("t"))
+    )
+
+
+def column_token(text: str) -> str:
+    """A category spelt with letters, digits and underscores only; different categories stay different.
 
+    Any other character, the underscore too, becomes its code point in hexadecimal between underscores.
+    """
+    return "".join(ch if ch.isalnum() else f"_{ord(ch):x}_" for ch in text)
 
-def safe_token(text: str) -> str:
-    """Column-name-safe form of a category, at most 40 characters."""
-    cleaned = "".join(ch if ch.isalnum() else "_" for ch in text).strip("_")
-    return cleaned[:40] or "empty"
 
+def indicators(c: str, categories: list[str]) -> dict[str, Column]:
+    """A 0/1 column for each of ``categories`` and one for every other value; nulls read ``<NA>``.
 
-def one_hot(c: str, categories: list[str]) -> dict[str, Column]:
-    """One 0/1 column per reference category and one for everything else."""
-    text = F.coalesce(col(c).cast("string"), F.lit("<NA>"))
-    columns = {f"{c}_is_{safe_token(k)}": (text == k).cast("double") for k in categories}
-    columns[f"{c}_is_OTHER"] = (~text.isin(categories)).cast("double") if categories else F.lit(1.0)
-    return columns
+    Column names don't tell upper from lower case, so a name that is taken gets the category's number as well.
+    """
+    value, out, taken = F.coalesce(col(c).cast("string"), F.lit("<NA>")), {}, {"other"}
+    for number, category in enumerate(categories):
+        name = column_token(category)
+        while name.lower() in taken:
+            name = f"{name}_{number}"
+        taken.add(name.lower())
+        out[f"{c}_is_{name}"] = value.eqNullSafe(F.lit(category)).cast("double")
+    known = value.isin(categories) if categories else F.lit(False)
+    return out | {f"{c}_is_OTHER": (~known).cast("double")}
 
 
 def right_closed_bin(c: str | Column, edges: list[float]) -> Column:

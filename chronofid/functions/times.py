@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofid.functions.numeric import col, to_double, to_long
 
-# Digits a strftime directive takes, and its Spark pattern letter group.
+# Digits a strftime directive takes (where that is certain), and its Spark pattern letter group.
 DIRECTIVE_WIDTH = {"%Y": 4, "%y": 2, "%m": 2, "%d": 2, "%H": 2, "%M": 2, "%S": 2}
-DIRECTIVE_PATTERN = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
+DIRECTIVE_PATTERN = {
+    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss",
+    "%b": "MMM", "%B": "MMMM", "%f": "SSSSSS", "%I": "hh", "%p": "a", "%j": "DDD",
+}
+
+
+def format_parts(strftime: str) -> list[str]:
+    """Directives and the literal text between them, in order."""
+    return re.findall(r"%.|[^%]+", strftime)
 
 
 def spark_pattern(strftime: str) -> str:
-    """Translate a strftime format of numeric directives to a Spark datetime pattern."""
-    for directive, pattern in DIRECTIVE_PATTERN.items():
-        strftime = strftime.replace(directive, pattern)
-    return strftime
+    """Translate a strftime format to a Spark datetime pattern; literal text is quoted."""
+    out = []
+    for part in format_parts(strftime):
+        if part in DIRECTIVE_PATTERN:
+            out.append(DIRECTIVE_PATTERN[part])
+        elif part.startswith("%") and part != "%%":
+            raise ValueError(f"no pattern for {part!r} in {strftime!r}")
+        else:
+            text = "%" if part == "%%" else part
+            out.append("'" + text.replace("'", "''") + "'")
+    return "".join(out)
 
 
 def parse_time(c: str | Column, fmt: str | None = None) -> Column:
@@ -76,11 +93,14 @@ def month_day(month: str | Column, day: str | Column) -> Column:
 def digits_to_time(c: str | Column, fmt: str, numeric: bool = False) -> Column:
     """Parse dates stored as packed digits, keeping the end of the text if the year comes last.
 
-    ``numeric`` columns are rounded first, so that ``19950101.0`` reads as eight digits.
+    ``numeric`` columns are rounded first, so that ``19950101.0`` reads as eight digits. A format that has more than
+    directives of fixed width is parsed as it stands.
     """
-    directives = [fmt[i : i + 2] for i in range(0, len(fmt), 2)]
-    width = sum(DIRECTIVE_WIDTH[d] for d in directives)
+    directives = format_parts(fmt)
     text = F.trim((to_long(c) if numeric else col(c)).cast("string"))
+    if not directives or not all(d in DIRECTIVE_WIDTH for d in directives):
+        return parse_time(text, fmt)
+    width = sum(DIRECTIVE_WIDTH[d] for d in directives)
     digits = F.regexp_replace(text, r"\D", "")
     year_last = directives[-1] in ("%Y", "%y") and directives[0] not in ("%Y", "%y")
     kept = F.right(digits, F.lit(width)) if year_last else F.left(digits, F.lit(width))

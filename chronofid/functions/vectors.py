@@ -33,7 +33,7 @@ def parse_code_map(c: str | Column) -> Column:
 def class_text(df: DataFrame, key: str, codes: str, classes: DataFrame, code: str, label: str, out: str) -> DataFrame:
     """Map the keys of each record's code map to classes: sorted distinct classes joined with ``|``."""
     listed = df.select(key, F.explode(F.map_keys(F.col(codes))).alias("_code"))
-    known = classes.select(F.col(code).alias("_code"), F.col(label).alias("_class")).dropDuplicates(["_code"])
+    known = classes.select(F.col(code).alias("_code"), F.col(label).alias("_class")).groupBy("_code").agg(F.min("_class").alias("_class"))
     found = listed.join(known, "_code").groupBy(key).agg(F.array_sort(F.collect_set("_class")).alias("_set"))
     text = F.coalesce(F.array_join("_set", "|"), F.lit(""))
     return df.join(found, key, "left").withColumn(out, text).drop("_set")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofid.functions.labels import one_hot
+from chronofid.functions.labels import indicators
 from chronofid.functions.numeric import bool_to_int, to_double, to_long
 from chronofid.functions.times import digits_to_time, month_number, parse_time
 from chronofid.operators.ordered import ordered
 
 NUMERIC_SHARE = 0.95
+#: Columns that the categories of one column may become.
+MAX_INDICATORS = 10_000
 UNKNOWN = -1
 
 
@@ -47,16 +49,20 @@ def encode_values(df: DataFrame, reference: DataFrame, cols: list[str]) -> DataF
 
 
 def reference_categories(reference: DataFrame, c: str) -> list[str]:
-    """Sorted categories of the reference. They become columns, so their number is bounded by the schema."""
+    """Sorted categories of the reference. They become columns, so more than ``MAX_INDICATORS`` are refused."""
     text = F.coalesce(F.col(c).cast("string"), F.lit("<NA>")).alias("v")
-    return [r["v"] for r in reference.select(text).distinct().orderBy("v").collect()]
+    found = [r["v"] for r in reference.select(text).distinct().limit(MAX_INDICATORS + 1).collect()]
+    if len(found) > MAX_INDICATORS:
+        raise ValueError(f"{c} has over {MAX_INDICATORS} categories; name those that should become columns")
+    return sorted(found)
 
 
-def expand_categories(df: DataFrame, reference: DataFrame, cats: list[str]) -> DataFrame:
-    """One-hot columns per reference category and one for all other values."""
+def expand_categories(df: DataFrame, reference: DataFrame, cats: list[str], declared: dict[str, list[str]] | None = None) -> DataFrame:
+    """Indicator columns per category, declared or of the reference, and one for all other values."""
     columns = {}
     for c in cats:
-        columns.update(one_hot(c, reference_categories(reference, c)))
+        known = (declared or {}).get(c)
+        columns.update(indicators(c, reference_categories(reference, c) if known is None else known))
     return df.withColumns(columns).drop(*cats)
 
 
@@ -85,6 +91,20 @@ def repair_dates(df: DataFrame, reference: DataFrame, c: str, fmt: str | None =
     return mapped.withColumn(c, F.coalesce("_parsed", F.col("_rest").cast("timestamp_ntz"))).select(*df.columns)
 
 
+def encode_dates(df: DataFrame, reference: DataFrame, c: str, fmt: str) -> DataFrame:
+    """Parse dates; texts that are none are mapped onto the reference dates by rank before anything else sees them."""
+    parsed = lambda frame: digits_to_time(c, fmt, frame.schema[c].dataType.typeName() != "string")
+    read = df.withColumn("_parsed", parsed(df))
+    if read.where(F.col(c).isNotNull() & F.col("_parsed").isNull()).isEmpty():
+        return df.withColumn(c, parsed(df))
+    typed = reference.schema[c].dataType.typeName().startswith(("timestamp", "date"))
+    real = reference.select((F.col(c).cast("timestamp_ntz") if typed else parsed(reference)).alias("_rest"))
+    if real.where(F.col("_rest").isNotNull()).isEmpty():
+        raise ValueError(f"{c} holds texts that are no dates, and the reference has no dates to put in their place")
+    rest = read.withColumn("_rest", F.when(F.col("_parsed").isNull(), F.col(c)))
+    return dates_by_rank(rest, real, "_rest").withColumn(c, F.coalesce("_parsed", F.col("_rest").cast("timestamp_ntz"))).select(*df.columns)
+
+
 def encode_table(df: DataFrame, reference: DataFrame, columns: dict[str, dict]) -> DataFrame:
     """Encode every declared column by its ``sdtype``; ids stay."""
     plain = {}
@@ -100,6 +120,9 @@ def encode_table(df: DataFrame, reference: DataFrame, columns: dict[str, dict])
             plain[c] = bool_to_int(c)
         elif kind == "datetime" and not typed.startswith(("timestamp", "date")):
             plain[c] = digits_to_time(c, info["datetime_format"], typed != "string")
+    for c in [c for c, info in columns.items() if c in plain and info.get("sdtype") == "datetime"]:
+        df = encode_dates(df, reference, c, columns[c]["datetime_format"])
+        del plain[c]
     df = df.withColumns(plain)
     for c, info in columns.items():
         if c in df.columns and info.get("sdtype") == "categorical":

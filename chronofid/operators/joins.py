@@ -17,6 +17,14 @@ class Relationship:
     child: str
     parent_key: str
     child_key: str
+    parent_order: str | None = None
+
+
+def one_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the first by ``order``, else the smallest, so that every run gives the same."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != key))
+    pick = F.min(rest) if order is None else F.min_by(rest, F.struct(F.col(f"`{order}`"), rest))
+    return df.groupBy(F.col(f"`{key}`")).agg(pick.alias("_row")).select(key, "_row.*")
 
 
 def attach_parent(
@@ -24,12 +32,13 @@ def attach_parent(
 ) -> DataFrame:
     """Left join of one parent row per child row.
 
-    ``prefix`` renames colliding parent columns to ``parent.col`` and takes one parent row per key;
+    ``prefix`` renames colliding parent columns to ``parent.col`` and takes one parent row per key, the first by
+    ``parent_order`` if the relationship names one;
     ``drop`` leaves colliding columns out.
     """
     fk, pk = rel.child_key, rel.parent_key
     if collisions == "prefix":
-        parent = parent.dropDuplicates([pk])
+        parent = one_per_key(parent, pk, rel.parent_order) if len(parent.columns) > 1 else parent.distinct()
         kept = {c: (f"{rel.parent}.{c}" if c in child.columns else c) for c in parent.columns if c != pk}
     elif collisions == "drop":
         kept = {c: c for c in parent.columns if c not in child.columns}

@@ -20,7 +20,6 @@ from chronofid.operators.shape import (
 from chronofid.plans.roles import named, union_all
 
 STATISTICS = ["mean", "median", "std", "min", "max"]
-MAX_CARDINALITY_PRODUCT = 500
 
 
 def category_label(df: DataFrame, c: str) -> Column:
@@ -95,9 +94,9 @@ def correlation_similarity(pair: DataFrame, nums: list[str]) -> DataFrame:
 
 
 def contingency_pairs(
-    pair: DataFrame, cats: list[str], limit: int | None = MAX_CARDINALITY_PRODUCT
+    pair: DataFrame, cats: list[str], limit: int | None = None
 ) -> list[tuple[str, str]]:
-    """Category pairs whose joint table on the real side stays within ``limit`` cells."""
+    """All category pairs; with a ``limit``, those whose joint table on the real side stays within so many cells."""
     if limit is None:
         return column_pairs(cats)
     sizes = distinct_counts(pair.where(~F.col(SYNTH)), cats)

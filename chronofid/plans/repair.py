@@ -76,7 +76,8 @@ def keep_real_dates(synth: DataFrame, real: DataFrame, time: str) -> DataFrame:
 
 def in_order(df: DataFrame, rules: RepairRules) -> DataFrame:
     """Rows ordered by key, then time or row index, ties in source order; for output."""
-    return df.repartitionByRange(rules.key, rules.time).sortWithinPartitions(*_order_columns(rules))
+    columns = _order_columns(rules)
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
 def _order_columns(rules: RepairRules) -> list[str]:

@@ -74,14 +74,10 @@ def range_compliance(pair: DataFrame, roles: TableRoles, representation: str) ->
             .groupBy(roles.key)
             .agg(F.min_by(t, F.struct(t.isNull(), t, roles.row)).alias("start"))
         )
-        off_origin = F.sum((F.col("start").isNull() | (F.abs("start") > 1e-8)).cast("long"))
-        # Only a trajectory's first row can be off origin; it counts once even if also out of range.
-        outside_too = F.sum(
-            (F.col("start").isNull() | (F.col("start") < 0) | (F.col("start") > F.col("high"))).cast("long")
-        )
-        starts = first.join(F.broadcast(bounds), F.lit(True), "left").agg(
-            (off_origin - outside_too).alias("extra")
-        )
+        # Only a trajectory's first row can be off origin; one that is out of range is counted below.
+        inside = (F.col("start") >= 0) & (F.col("start") <= F.col("high"))
+        extra = F.sum((F.coalesce(inside, F.lit(False)) & (F.abs("start") > 1e-8)).cast("long"))
+        starts = first.join(F.broadcast(bounds), F.lit(True), "left").agg(extra.alias("extra"))
     else:
         bounds = timed.where(~F.col(SYNTH)).agg(F.min(t).alias("low"), F.max(t).alias("high"))
         starts = None

@@ -72,13 +72,13 @@ def signal_rows(
 ) -> DataFrame:
     """Unroll a signal of steps by leads into rows ``(key, ts, step, lead_0, …, attributes)``.
 
-    The attributes ride along through the unrolling, so they need no join. The number of leads is read
-    from the first record.
+    The attributes ride along through the unrolling, so they need no join. There are as many
+    leads as the widest step of all records has; narrower steps give nulls.
     """
-    first = records.select(F.size(F.element_at(signal, 1)).alias("n")).first()
-    width = first["n"] if first else 0
+    widest = F.aggregate(F.col(signal), F.lit(0), lambda most, step: F.greatest(most, F.size(step)))
+    width = max(0, records.agg(F.max(widest)).first()[0] or 0)
     rest = [c for c in records.columns if c not in (key, start, signal)]
     steps = records.select(key, start, *rest, F.posexplode(signal).alias("step", "_leads"))
     offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("step") * F.lit(step_seconds)).cast("decimal(18,6)"))
-    leads = [F.col("_leads")[i].cast("double").alias(f"{lead}_{i}") for i in range(width)]
+    leads = [F.get("_leads", F.lit(i)).cast("double").alias(f"{lead}_{i}") for i in range(width)]
     return steps.select(key, (F.col(start) + offset).alias("ts"), "step", *leads, *rest)

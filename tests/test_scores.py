@@ -86,6 +86,9 @@ def test_range_compliance(spark):
     assert only(timestamps.range_compliance(df, ROLES, "Absolute")) == pytest.approx(2 / 5)
     # Relative: -1 is out of range and off origin but counts once; 11 and the null are out of range.
     assert only(timestamps.range_compliance(df, ROLES, "Relative")) == pytest.approx(2 / 5)
+    # A start just below zero is out of range, but near enough to the origin; it takes nothing from the late one.
+    near = pair(spark, [row(1, 0), row(1, 5)], [row(1, -1e-9), row(2, 3)])
+    assert only(timestamps.range_compliance(near, ROLES, "Relative")) == pytest.approx(0.0)
     late = pair(spark, [row(1, 0), row(1, 10)], [row(1, 2), row(1, 5)])
     assert only(timestamps.range_compliance(late, ROLES, "Relative")) == pytest.approx(1 / 2)
 

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofid.functions.labels import alpha_rank, boolean_label, join_key, safe_token, token
+from chronofid.functions.labels import alpha_order, alpha_rank, boolean_label, column_token, indicators, join_key, token
 from chronofid.functions.times import coerce_time, convert_time, digits_to_time, parse_time, ymd
 from chronofid.operators import encode
+from chronofid.operators.joins import Relationship, attach_parent
 from chronofid.plans.roles import labelled
 from chronofid.sources import scores, tables
 from chronofid.sources.metadata import dataset
@@ -114,14 +115,64 @@ def test_labels_and_times(spark):
     assert value(boolean_label(F.lit(" TRUE "))) == "True" and value(boolean_label(F.lit("0.0"))) == "False"
     assert value(join_key(F.lit(3.0))) == value(join_key(F.lit(3))) == value(join_key(F.lit(" 3 "))) == "3"
     assert value(token(F.lit(None).cast("double"))) == "__NA__" and value(token(F.lit(2.5))) == "2.5"
-    assert value(alpha_rank(F.lit("aA"))) == 27.0 and value(alpha_rank(F.lit("a1"))) == -1.0
-    assert safe_token("##") == "empty" and safe_token("a b/c") == "a_b_c"
+    assert value(alpha_rank(F.lit("aA"))) == 27 and value(alpha_rank(F.lit("a1"))) == -1
+    long_ = [value(alpha_rank(F.lit("z" * 13 + last))) for last in "abc"]
+    assert long_[1] - long_[0] == long_[2] - long_[1] == 1
+    orders = [value(alpha_order(F.lit(t))) for t in ("a1", "b", "aa", "z" * 40 + "a", "z" * 40 + "b")]
+    assert orders == sorted(orders) and len(set(orders)) == 5
+    assert len({column_token(t) for t in ("a b", "a/b", "a_b", "a  b", "ab")}) == 5
     assert value(ymd(F.lit(95), F.lit(2), F.lit(30), base=1900)) is None
     assert str(value(ymd(F.lit(95), F.lit(2), F.lit(3), base=1900))) == "1995-02-03"
     assert value(parse_time(F.lit("2020-13-40"))) is None and value(parse_time(F.lit("03/02/2020"), "%d/%m/%Y")).month == 2
     assert value(digits_to_time(F.lit(950103.0), "%y%m%d", numeric=True)).day == 3
 
 
+def test_indicators_keep_categories_apart(spark):
+    names = ["a b", "a/b", "A b", "x" * 60 + "1", "x" * 60 + "2", "OTHER", None, "unseen"]
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    got = df.select("c", *(e.alias(n) for n, e in indicators("c", names[:6]).items())).collect()
+    assert len(got[0]) == 8 and all(sum(r[1:]) == 1.0 for r in got)
+    assert [r["c_is_OTHER"] for r in got] == [0.0] * 6 + [1.0, 1.0]
+
+
+def test_formats_with_literals_and_names(spark):
+    cases = [("%Y-%m-%d", "2020-02-03"), ("%Y-%m-%dT%H:%M:%S", "2020-02-03T00:00:00"), ("%d-%b-%Y", "03-Feb-2020"), ("%Y/%m/%d %H:%M:%S.%f", "2020/02/03 00:00:00.000000"), ("%d of %B, %Y", "03 of February, 2020"), ("%I:%M %p on %d.%m.%y", "12:00 AM on 03.02.20"), ("%Y%m%d", "20200203"), ("%Y%j", "2020034")]
+    df = spark.range(1)
+    for fmt, text in cases:
+        for read in (parse_time, digits_to_time):
+            got = df.select(read(F.lit(text), fmt).alias("v")).first()["v"]
+            assert got is not None and (got.year, got.month, got.day, got.hour) == (2020, 2, 3, 0), (fmt, read)
+    with pytest.raises(ValueError):
+        parse_time(F.lit("x"), "%Q")
+
+
+def test_dates_are_repaired_before_encoding(spark):
+    real = spark.createDataFrame([("2020-01-01",), ("2020-01-02",), ("2020-01-03",)], "d string")
+    synth = spark.createDataFrame([("2020-01-02",), ("aa",), ("bb",), ("cc",), (None,)], "d string")
+    columns = {"d": {"sdtype": "datetime", "datetime_format": "%Y-%m-%d"}}
+    got = sorted(str(r["d"])[:10] for r in encode.encode_table(synth, real, columns).collect())
+    assert got == ["2020-01-01", "2020-01-02", "2020-01-02", "2020-01-03", "None"]
+    with pytest.raises(ValueError):
+        encode.encode_table(synth, real.where("d IS NULL"), columns)
+
+
+def test_one_parent_row_per_key_is_the_same_every_time(spark):
+    rel = Relationship("p", "c", "id", "id")
+    parents = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1)], "id long, v string, o int")
+    child = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id long")
+    for frame in (parents, parents.orderBy("o"), parents.orderBy(F.desc("o")).repartition(3)):
+        assert {(r.id, r.v) for r in attach_parent(child, frame, rel).collect()} == {(1, "a"), (2, None), (3, None), (None, None)}
+        first = attach_parent(child, frame, Relationship("p", "c", "id", "id", parent_order="o"))
+        assert {(r.id, r.v) for r in first.collect()} == {(1, "b"), (2, None), (3, None), (None, None)}
+
+
+def test_signal_width_is_that_of_the_widest_step(spark):
+    records = spark.createDataFrame([(1, [[1.0], [2.0]]), (2, [[3.0, 4.0, 5.0], [6.0]]), (3, None)], "id long, s array<array<double>>")
+    got = tables.signal_rows(records.withColumn("t", F.lit("2020-01-01").cast("timestamp_ntz")), "id", "t", "s", 0.5)
+    assert [c for c in got.columns if c.startswith("lead")] == ["lead_0", "lead_1", "lead_2"]
+    assert {(r.id, r.lead_0, r.lead_1, r.lead_2) for r in got.collect()} == {(1, 1.0, None, None), (1, 2.0, None, None), (2, 3.0, 4.0, 5.0), (2, 6.0, None, None)}
+
+
 def test_encoding(spark):
     real = spark.createDataFrame([("b", "1"), ("a", "2"), (None, "3")], "c string, n string")
     synth = spark.createDataFrame([("b", "9"), ("z", "x"), (None, "5")], "c string, n string")
