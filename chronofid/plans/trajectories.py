@@ -191,7 +191,7 @@ def spectrum(
     if feature_type not in ("magnitude", "power"):
         raise ValueError("feature_type must be 'magnitude' or 'power'")
     if reduce not in ("none", "mean", "sum", "median"):
-        raise ValueError("reduce must be one of none, mean, sum, median")
+        raise ValueError(f"channels can be kept (none) or reduced by mean, sum or median, not by {reduce!r}")
     index = panel.time_index(pair, roles.time)
     width = index.count()
     # The panel feeds both the channel moments and the transform: written once, read twice.

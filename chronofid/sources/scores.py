@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Score names per family, in report order.
@@ -39,6 +39,7 @@ FAMILY_VARIANT = {
     "timestamp": "raw", "sd": "default", "cross_sectional": "default", "structural": "default",
     "longitudinal": "interp_fill", "privacy": "default",
 }
+# Scores that describe the table before any repair, and former names of scores.
 RAW_STRUCTURAL = ["SequenceLengthSimilarity", "TemporalCardinalityShapeSimilarity"]
 OLD_NAMES = {"TransitionMatrixSimilarity": "TransitionMatrixTVDComplement", "temporal_dcr": "cs_dcr", "temporal_nndr": "cs_nndr"}
 
@@ -63,24 +64,45 @@ def canonical_metric(metric: str) -> Column:
 
 
 def read_score_files(spark: SparkSession, root: str) -> DataFrame:
-    """Scores from JSON files ``root/dataset/model/family/file.json`` with a ``summary`` object.
+    """Scores from JSON files ``root/dataset/model/family/file.json``.
 
-    The variant is the end of the file name. Several files of one variant are averaged.
+    A file holds a ``summary`` of scores. Structural scores may also stand under ``per_metric`` (numbers, or objects of
+    them), which goes before the summary, or under ``details`` (objects with a ``score``), which do so if nothing
+    structural stands under ``per_metric``. The variant is the end of the file name. Several files of one variant
+    are averaged.
     """
-    raw = spark.read.schema("summary map<string,double>").json(f"{root}/*/*/*/*.json", multiLine=True)
+    schema = "summary map<string,double>, per_metric map<string,string>, details map<string,string>"
+    raw = spark.read.schema(schema).json(f"{root}/*/*/*/*.json", multiLine=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.json$", "")
     ending = F.regexp_extract(stem, f"(?:^|_)({'|'.join(VARIANTS)})$", 1)
     family = F.element_at(parts, -2)
-    rows = raw.select(
+    files = raw.select(
+        F.col("_metadata.file_path").alias("file"),
         F.element_at(parts, -4).alias("dataset"),
         F.element_at(parts, -3).alias("model"),
         F.when(ending != "", ending).when(family == "timestamp", "raw").otherwise("default").alias("variant"),
         F.when(family == "trajectory_privacy", "privacy").otherwise(family).alias("family"),
-        F.explode("summary").alias("stored", "score"),
+        "summary", "per_metric", "details",
     )
-    named = rows.withColumn("metric", canonical_metric("stored")).where(F.col("score").isNotNull() & ~F.isnan("score"))
-    return named.groupBy("dataset", "model", "variant", "family", "metric").agg(F.avg("score").alias("score"))
+    place = ["file", "dataset", "model", "variant", "family"]
+    structural = lambda name: canonical_metric(name).isin(list(STRUCTURAL_PREFIXES.values()))
+    summed = files.select(*place, F.lit("summary").alias("part"), F.explode("summary").alias("stored", "score"))
+    per_metric = files.select(*place, F.explode("per_metric").alias("parent", "text"))
+    numbers = F.coalesce(F.from_json("text", "map<string,double>"), F.create_map("parent", F.col("text").try_cast("double")))
+    children = per_metric.select(*place, "parent", F.explode(numbers).alias("child", "score"))
+    named = children.select(*place, F.lit("per_metric").alias("part"), F.when(structural("child"), F.col("child")).otherwise(F.col("parent")).alias("stored"), "score")
+    detailed = files.select(*place, F.lit("details").alias("part"), F.explode("details").alias("stored", "text")).select(
+        *place, "part", "stored", F.get_json_object("text", "$.score").try_cast("double").alias("score")
+    )
+    rows = summed.unionByName(named.where(structural("stored"))).unionByName(detailed.where(structural("stored")))
+    valid = rows.withColumn("metric", canonical_metric("stored")).where(F.col("score").isNotNull() & ~F.isnan("score"))
+    mean = lambda part: F.avg(F.when(F.col("part") == part, F.col("score"))).alias(part)
+    each = valid.groupBy(*place, "metric").agg(*map(mean, ("summary", "per_metric", "details")))
+    # A file has a handful of metrics.
+    has_per_metric = F.count("per_metric").over(Window.partitionBy("file")) > 0
+    chosen = each.withColumn("score", F.coalesce("per_metric", F.when(~has_per_metric, F.col("details")), "summary")).where("score IS NOT NULL")
+    return chosen.groupBy("dataset", "model", "variant", "family", "metric").agg(F.avg("score").alias("score"))
 
 
 def metric_names() -> list[str]:

@@ -101,6 +101,23 @@ def test_score_files_roll_up(spark, tmp_path):
         pytest.approx(0.6), 0.25, 0.75, 0.4, 2.0, None)
 
 
+def test_structural_scores_under_other_headings(spark, tmp_path):
+    def put(model, payload):
+        folder = tmp_path / "shops" / model / "structural"
+        folder.mkdir(parents=True)
+        (folder / "struct_default.json").write_text(json.dumps(payload))
+
+    length, shape = "sequence_length_similarity", "temporal_cardinality_shape_similarity"
+    put("per", {"summary": {length: 0.1, shape: 0.2}, "per_metric": {length: {f"{length}__a": 0.5, "b": 0.7}, "other": {"x": 9.0}}, "details": {shape: {"score": 0.9}}})
+    put("flat", {"per_metric": {length: 0.25, "unknown": 1.0}})
+    put("detail", {"summary": {length: 0.1, "KSComplement": 0.3}, "details": {length: {"score": 0.8, "n": 3}, shape: {"note": "none"}, "other": {"score": 5}}})
+    got = {(r.model, r.metric): r.score for r in scores.read_score_files(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("per", "SequenceLengthSimilarity"): pytest.approx(0.6), ("per", "TemporalCardinalityShapeSimilarity"): 0.2,
+        ("flat", "SequenceLengthSimilarity"): 0.25, ("detail", "SequenceLengthSimilarity"): 0.8, ("detail", "KSComplement"): 0.3,
+    }
+
+
 def test_scores_are_stored_without_nan(spark, tmp_path):
     df = spark.createDataFrame([("KSComplement", "x", float("nan")), ("KSComplement", "y", 0.5)], "metric string, feature string, score double")
     scores.write_scores(labelled(df, "shops", "m1", "raw", "sd", "weeks"), str(tmp_path / "scores"))
