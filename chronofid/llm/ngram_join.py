@@ -42,8 +42,9 @@ from chronofid.session import checkpointed
 #: Bits of a signature, of that of a set above LONG_SET shingles, and of the bitmap before an exact intersection.
 BITS, LONG_BITS, WIDE_BITS = 256, 1024, 2048
 LONG_SET = 1000
-#: Sets compared in one unit at most (a unit of two blocks and landmarks holds some more than twice that).
-BLOCK = 1024
+#: Weight of the sets compared in one unit at most (a unit of two blocks and landmarks holds some more than twice that);
+#: a set whose array travels weighs one for every HEAVY shingles it has.
+BLOCK, HEAVY = 4096, 1000
 LANDMARKS = 32
 #: A shingle is frequent if this share of the documents of a stretch of input has it, and at least so many.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.005, 16
@@ -239,26 +240,26 @@ def _links(units: DataFrame, percent: int, exact: bool) -> DataFrame:
 
 
 def connected(members: DataFrame, bodies: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links that connect the members (``group, rep, home``) of each group; ``bodies`` has ``rep, n, body`` once per rep."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    """Links that connect the members (``group, rep, home, weight``) of each group; ``bodies`` has ``rep, n, body`` of each rep."""
+    sizes = members.groupBy("group").agg(F.sum("weight").alias("size")).where(F.col("size") > BLOCK)
     large = checkpointed(sizes)
     row = lambda frame, *unit: frame.join(bodies, "rep").withColumns({"unit": F.xxhash64("group", *unit), "comp": F.coalesce("comp", "rep")})
-    alone = members.withColumn("comp", F.lit(None).cast("long"))
+    alone = members.drop("weight").withColumn("comp", F.lit(None).cast("long"))
     if large.isEmpty():
         return _links(row(alone), percent, exact)
     # First every block by itself, with the landmarks of its group.
     small = alone.join(large, "group", "left_anti")
-    cut = checkpointed(alone.join(large, "group"))
+    cut = checkpointed(members.join(large, "group").withColumn("comp", F.lit(None).cast("long")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     landmark = F.pmod(F.xxhash64("rep", F.lit("landmark")), F.ceil(F.col("size") / LANDMARKS)) == 0
     everywhere = cut.where(landmark).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = cut.withColumn("block", block).unionByName(everywhere).dropDuplicates(["group", "block", "rep", "home"])
-    first = checkpointed(_links(row(small.withColumn("block", F.lit(0)).unionByName(dealt.drop("size")), "block"), percent, exact))
+    first = checkpointed(_links(row(small.withColumn("block", F.lit(0)).unionByName(dealt.drop("size", "weight")), "block"), percent, exact))
     # Then what lies outside the largest component of its group, with all blocks.
     joined = cut.drop("comp").join(components(first), F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
-    joined = checkpointed(joined.select("group", "rep", "home", "comp"))
-    counts = joined.groupBy("group", "comp").agg(F.count("*").alias("c"))
+    joined = checkpointed(joined.select("group", "rep", "home", "comp", "weight"))
+    counts = joined.groupBy("group", "comp").agg(F.sum("weight").alias("c"))
     core = counts.groupBy("group").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
     known = joined.join(core.select("group", F.col("top.comp").alias("core"), F.col("top.c").alias("in_core"), (F.col("all") - F.col("top.c")).alias("rest")).where("rest > 0"), "group")
     core_blocks, rest_blocks = F.ceil(F.col("in_core") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
@@ -281,22 +282,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = checkpointed(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "band", "prefix", "signature"))))
     entries = reps.select(F.explode("prefix").alias("h"), "band", "rep")
     tiles = entries.repartition("h").sortWithinPartitions("h", "band").mapInArrow(_tiles, "h long, tile_band int, home boolean, rep long")
-    members = checkpointed(tiles.select(F.xxhash64("h", "tile_band").alias("group"), "rep", "home"))
+    members = checkpointed(tiles.select(F.xxhash64("h", "tile_band").alias("group"), "rep", "home", F.lit(1).alias("weight")))
     near = connected(members, reps.select("rep", "n", F.col("signature").alias("body")), percent, exact=False)
-    clusters = components(near)
-    clusters = checkpointed(clusters.select(F.col("component").alias("group"), F.col("node").alias("rep")).union(clusters.select("component", "component").distinct()))
-    links = connected(clusters.withColumn("home", F.lit(True)), shingle_arrays(docs, clusters.select("rep"), width), percent, exact=True)
+    found = components(near)
+    named = found.select(F.col("component").alias("group"), F.col("node").alias("rep")).union(found.select("component", "component").distinct())
+    clusters = checkpointed(named.join(reps.select("rep", (1 + F.floor(F.col("n") / HEAVY)).alias("weight")), "rep").withColumn("home", F.lit(True)))
+    links = connected(clusters, checkpointed(shingle_arrays(docs, clusters, width)), percent, exact=True)
     linked = components(links)
     of_rep = reps.select("rep", "digest").join(linked, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(of_rep, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+#: Bits of the table that tells which documents to make arrays of, whatever their number: 8 MB.
+FILTER_BITS = 1 << 26
+
+
 def shingle_arrays(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """``rep, n, body`` (the sorted array) of the documents that ``reps`` names, read from their texts again."""
+    """``rep, n, body`` (the sorted array) of the documents that ``reps`` names, and of a few more, from their texts.
+
+    A broadcast table of fixed size with a bit for the hash of each id saves a shuffle of the texts; whoever uses the
+    arrays joins them by id.
+    """
+    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    set_ = reps.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(rep), {FILTER_BITS}) & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[set_.column("word").to_numpy()] = set_.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.view(np.uint64)
         for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for piece, texts in chunks(batch, "text"):
                 arrays = [shingle_set(t, width) for t in texts]
                 yield pa.RecordBatch.from_arrays(
@@ -304,5 +322,5 @@ def shingle_arrays(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                     names=["rep", "n", "body"],
                 )
 
-    named = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.distinct(), "rep", "left_semi")
-    return named.mapInArrow(run, "rep long, n long, body binary")
+    rows = docs.select(F.col("doc_id").alias("rep"), "text").withColumn("bit", bit)
+    return rows.mapInArrow(run, "rep long, n long, body binary").where("n > 0")
