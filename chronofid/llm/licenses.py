@@ -5,7 +5,7 @@ copyright lines removed, equivalent spellings made one. The SHA-256 of the canon
 looked up, by a hash join, in the digests of known licences; so is the digest of every canonical line, as a notice
 is a whole text of one line. All of it is DataFrame expressions; texts are never shuffled, only matches are.
 
-``known`` is a DataFrame (``license_id``, ``text``); Spark broadcasts its digests only while they are small.
+``known`` is a DataFrame (``license_id``, ``text``); its digests are broadcast up to ``BROADCAST_ROWS`` of them, and shuffled beyond.
 
 Defined cases. A null or empty text, or one without letters and digits, has the digest of the empty text and matches
 nothing. A known text with an empty canonical form is ignored; of several ids for one canonical text the
@@ -17,6 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofid.session import checkpointed
+
+#: Known digests that are broadcast, about 100 bytes each.
+BROADCAST_ROWS = 200_000
+
 #: Equivalent spellings (fixed values), applied in this order to canonical text.
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("copyright holder", "copyright owner"),
@@ -68,7 +73,7 @@ def canonical_lines(text: Column) -> Column:
 
 def canonical(lines: Column) -> Column:
     """The canonical text in one line, from ``canonical_lines``."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(lines, r" *\n[ \n]*", " "))
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -84,19 +89,21 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``doc_id, digest, license_id`` (of the whole text, or null), ``n_notices`` and ``notices`` (ids, joined by comma)."""
-    table = digests(known_licenses(docs.sparkSession) if known is None else known)
+    table = checkpointed(digests(known_licenses(docs.sparkSession) if known is None else known))
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    whole = lines.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest"))
-    each = lines.select(
-        "doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest"), F.posexplode(F.split("lines", "\n")).alias("at", "line")
-    ).where(F.trim("line") != "")
-    found = each.withColumn("line_digest", F.sha2(F.trim("line"), 256)).join(table.withColumnRenamed("digest", "line_digest"), "line_digest")
-    notices = found.groupBy("doc_id", "digest").agg(
-        F.countDistinct("at").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices")
+    whole = lines.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest"), F.split("lines", "\n").alias("lines"))
+    # The outer form keeps Spark from evaluating the canonical text once more to test for empty arrays.
+    each = whole.select("doc_id", "digest", F.posexplode_outer("lines").alias("at", "line"))
+    notice = table.select(F.col("digest").alias("line_digest"), F.col("license_id").alias("notice"))
+    looked = each.withColumn("line_digest", F.sha2(F.trim("line"), 256)).join(notice, "line_digest", "left")
+    # The first lines count the rows that agree in id and text; they are told apart again at the end.
+    found = looked.groupBy("doc_id", "digest").agg(
+        F.count_if(F.col("at") == 0).alias("rows"), F.count("notice").alias("matches"), F.array_join(F.sort_array(F.collect_set("notice")), ",").alias("notices")
     )
-    of = notices.select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "n_notices", "notices")
-    scanned = whole.join(table, "digest", "left").join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left")
-    return scanned.select("doc_id", "digest", "license_id", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    one_each = found.withColumn("n_notices", (F.col("matches") / F.col("rows")).cast("long")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return one_each.join(table, "digest", "left").select("doc_id", "digest", "license_id", "n_notices", "notices")
 
 
 def oracle_sql() -> str:
