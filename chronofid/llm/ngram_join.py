@@ -9,8 +9,9 @@ representative from the start. Two sets link when ``100 * intersection >= percen
 * Signatures. Each set has a bitmap of the parities of its hashed shingles. A bit that differs stands for at least one
   shingle that only one set has, so bit counts bound the overlap from above; pairs in a tile that the bound
   rules out are gone. What remains joins sets into clusters.
-* Intersection. Inside a cluster, pairs not yet connected are bounded once more by wider bitmaps, and then the
-  sorted arrays are intersected exactly. Only links that connect something new are put out.
+  Clusters are refined by the same bound with bitmaps as wide as the sets, which long texts need.
+* Intersection. Inside a refined cluster, pairs not yet connected that the bound still allows have their
+  sorted arrays intersected exactly. Only links that connect something new are put out.
 
 Scale. The order puts shingles that are frequent in any stretch of the input last (the list of them comes from all
 documents; it steers cost, never a result), so a passage that many documents share makes no large tile.
@@ -39,9 +40,10 @@ from chronofid.llm.graph import components
 from chronofid.llm.text import chunks, lower_words, mixed, shingle_hashes, word_hashes
 from chronofid.session import checkpointed
 
-#: Bits of a signature, of that of a set above LONG_SET shingles, and of the bitmap before an exact intersection.
-BITS, LONG_BITS, WIDE_BITS = 256, 1024, 2048
-LONG_SET = 1000
+#: Bits of a signature, and of that of a set above LONG_SET shingles.
+BITS, LONG_BITS, LONG_SET = 256, 1024, 1000
+#: Words of bitmaps compared at a time.
+PAIR_WORDS = 1 << 22
 #: Weight of the sets compared in one unit at most (a unit of two blocks and landmarks holds some more than twice that);
 #: a set whose array travels weighs one for every HEAVY shingles it has.
 BLOCK, HEAVY = 4096, 1000
@@ -75,6 +77,11 @@ def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
+def wide_bits(n: int) -> int:
+    """Width of the bitmap that a set of ``n`` shingles gets inside its cluster: a bit or two per shingle."""
+    return 1 << max(10, int(n).bit_length())
+
+
 def folded(signature: np.ndarray, bits: int) -> np.ndarray:
     """The narrower bitmap of the same set."""
     return np.bitwise_xor.reduce(signature.reshape(-1, bits // 64), axis=0)
@@ -175,15 +182,18 @@ def _whole_units(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _bitmaps(bodies: list[bytes], exact: bool) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """Matrices of bitmaps, each with the rows that it can be read for (None: all)."""
-    if exact:
-        return [(np.array([parity(np.frombuffer(b, np.uint64), WIDE_BITS) for b in bodies]), None)]
+def _bitmaps(bodies: list[bytes], exact: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each width a matrix of bitmaps, and each set's row in it (-1 for sets whose own bitmap is narrower)."""
     words = [np.frombuffer(b, np.uint64) for b in bodies]
-    long_ = np.array([len(w) * 64 == LONG_BITS for w in words])
-    out = [(np.array([folded(w, BITS) for w in words]), None)]
-    if long_.any():
-        out.append((np.array([w if x else np.zeros(LONG_BITS // 64, np.uint64) for w, x in zip(words, long_)]), long_))
+    if exact:
+        words = [parity(w, wide_bits(len(w))) for w in words]
+    bits = np.array([64 * len(w) for w in words])
+    out = []
+    for width in np.unique(bits):
+        rows = np.flatnonzero(bits >= width)
+        place = np.full(len(words), -1)
+        place[rows] = np.arange(len(rows))
+        out.append((np.array([folded(words[r], width) for r in rows]), place))
     return out
 
 
@@ -213,9 +223,11 @@ def _examine(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -> It
             if not len(i):
                 continue
             apart = np.zeros(len(i), np.int64)
-            for matrix, rows in maps:
-                use = np.ones(len(i), bool) if rows is None else rows[i] & rows[j]
-                apart[use] = np.maximum(apart[use], np.bitwise_count(matrix[i[use]] ^ matrix[j[use]]).sum(axis=1, dtype=np.int64))
+            for matrix, place in maps:
+                use = np.flatnonzero((place[i] >= 0) & (place[j] >= 0))
+                for part in np.array_split(use, 1 + len(use) * matrix.shape[1] // PAIR_WORDS):
+                    differ = np.bitwise_count(matrix[place[i[part]]] ^ matrix[place[j[part]]]).sum(axis=1, dtype=np.int64)
+                    apart[part] = np.maximum(apart[part], differ)
             overlap = (n[i] + n[j] - apart) // 2
             may = overlap * (100 + percent) >= percent * (n[i] + n[j])
             for a, b in zip(i[may].tolist(), j[may].tolist()):
@@ -284,25 +296,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tiles = entries.repartition("h").sortWithinPartitions("h", "band").mapInArrow(_tiles, "h long, tile_band int, home boolean, rep long")
     members = checkpointed(tiles.select(F.xxhash64("h", "tile_band").alias("group"), "rep", "home", F.lit(1).alias("weight")))
     near = connected(members, reps.select("rep", "n", F.col("signature").alias("body")), percent, exact=False)
-    found = components(near)
-    named = found.select(F.col("component").alias("group"), F.col("node").alias("rep")).union(found.select("component", "component").distinct())
-    clusters = checkpointed(named.join(reps.select("rep", (1 + F.floor(F.col("n") / HEAVY)).alias("weight")), "rep").withColumn("home", F.lit(True)))
-    links = connected(clusters, checkpointed(shingle_arrays(docs, clusters, width)), percent, exact=True)
+    clusters = clusters_of(near, reps, 16 * HEAVY)
+    near = connected(clusters, checkpointed(shingle_bodies(docs, clusters, width, arrays=False)), percent, exact=False)
+    clusters = clusters_of(near, reps, HEAVY)
+    links = connected(clusters, checkpointed(shingle_bodies(docs, clusters, width, arrays=True)), percent, exact=True)
     linked = components(links)
     of_rep = reps.select("rep", "digest").join(linked, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(of_rep, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-#: Bits of the table that tells which documents to make arrays of, whatever their number: 8 MB.
+def clusters_of(near: DataFrame, reps: DataFrame, heavy: int) -> DataFrame:
+    """``group, rep, home, weight`` of the sets that ``near`` connects."""
+    found = components(near)
+    named = found.select(F.col("component").alias("group"), F.col("node").alias("rep")).union(found.select("component", "component").distinct())
+    weight = (1 + F.floor(F.col("n") / heavy)).alias("weight")
+    return checkpointed(named.join(reps.select("rep", weight), "rep").withColumn("home", F.lit(True)))
+
+
+#: Bits of the table that tells which documents to make bodies of, whatever their number: 8 MB.
 FILTER_BITS = 1 << 26
 
 
-def shingle_arrays(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """``rep, n, body`` (the sorted array) of the documents that ``reps`` names, and of a few more, from their texts.
+def shingle_bodies(docs: DataFrame, reps: DataFrame, width: int, arrays: bool) -> DataFrame:
+    """``rep, n, body`` (the sorted array, or a wide bitmap) of the documents that ``reps`` names, and of a few more, from their texts.
 
     A broadcast table of fixed size with a bit for the hash of each id saves a shuffle of the texts; whoever uses the
-    arrays joins them by id.
+    bodies joins them by id.
     """
     bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     set_ = reps.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(rep), {FILTER_BITS}) & 63 AS INT))")).alias("bits")).toArrow()
@@ -316,9 +336,10 @@ def shingle_arrays(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             bit = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for piece, texts in chunks(batch, "text"):
-                arrays = [shingle_set(t, width) for t in texts]
+                sets = [shingle_set(t, width) for t in texts]
+                body = [(s if arrays else parity(s, wide_bits(len(s)))).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("rep"), pa.array(map(len, arrays), pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary())],
+                    [piece.column("rep"), pa.array(map(len, sets), pa.int64()), pa.array(body, pa.binary())],
                     names=["rep", "n", "body"],
                 )
 

@@ -47,6 +47,8 @@ def families():
     texts += family(draw, texts[0], 25, 1) + family(draw, texts[1], 25, 2) + family(draw, texts[2], 10, 3)
     chain = sentence(draw, 120, "abcdefghijklmnop").split()
     texts += [" ".join(chain[k * 3 : 90 + k * 3]) for k in range(10)]
+    long_ = sentence(draw, 2500, "abcdefghijklmnop")
+    texts += [long_, *family(draw, long_, 3, 20), *family(draw, long_, 3, 200), sentence(draw, 2600)]
     texts += texts[:3] * 2 + ["Same WORDS", "same words", "a", "a b", "", "   "]
     return list(enumerate(texts))
 
