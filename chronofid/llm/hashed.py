@@ -82,6 +82,11 @@ def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS,
     return docs.select(extra, "text").mapInArrow(run, f"{extra} int, features binary").toArrow()
 
 
+def feature_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of ``sampled_features``, without copying them."""
+    return [np.frombuffer(x.as_buffer(), np.uint32) for chunk in column.chunks for x in chunk]
+
+
 def shared_features(rows: list[np.ndarray], min_docs: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Features that at least ``min_docs`` rows have, and each row's places among them."""
     # Counts by the upper bits are never too low, so they rule out most of the rare features cheaply.
@@ -96,7 +101,7 @@ def shared_features(rows: list[np.ndarray], min_docs: int) -> tuple[np.ndarray,
     for row in rows:
         at = np.searchsorted(known, row)
         at[at == len(known)] = 0
-        places.append(at[known[at] == row] if len(known) else at[:0])
+        places.append((at[known[at] == row] if len(known) else at[:0]).astype(np.int32))
     return known, places
 
 

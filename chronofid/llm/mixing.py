@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofid.llm.hashed import Weights, fit_ftrl, margins, sampled_features, shared_features, sigmoid
+from chronofid.llm.hashed import Weights, feature_rows, fit_ftrl, margins, sampled_features, shared_features, sigmoid
 from chronofid.llm.text import chunks, folded_words
 from chronofid.session import checkpointed
 
@@ -59,7 +59,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     sample = F.broadcast(labelled_domains(labelled, domains, sample_rows))
     got = sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"), "label", (), marked_words)
     y = got.column("label").to_numpy()
-    known, rows = shared_features([np.frombuffer(x.as_py(), np.uint32) for x in got.column("features")], MIN_DOCS)
+    known, rows = shared_features(feature_rows(got.column("features")), MIN_DOCS)
     return [fit_ftrl(known, rows, (y == k).astype(float)) for k in range(len(domains))]
 
 

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofid.llm.hashed import Weights, fit_ftrl, margins, sampled_features, shared_features, sigmoid
+from chronofid.llm.hashed import Weights, feature_rows, fit_ftrl, margins, sampled_features, shared_features, sigmoid
 from chronofid.llm.quality_rules import labelled_sample
 from chronofid.llm.text import chunks, folded_words
 
 #: Labelled rows to learn from at most.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 #: Features of fewer sampled rows than this say too little and are left out.
 MIN_DOCS = 5
 #: Weights kept at most, the largest; with 12 bytes each this bounds the broadcast.
@@ -45,7 +45,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
     if len(y) == 0 or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return Weights(float(np.clip(np.log(max(share, 1e-15) / max(1 - share, 1e-15)), -35, 35)), np.zeros(0, np.uint32), np.zeros(0))
-    known, rows = shared_features([np.frombuffer(x.as_py(), np.uint32) for x in got.column("features")], MIN_DOCS)
+    known, rows = shared_features(feature_rows(got.column("features")), MIN_DOCS)
+    del got
     model = fit_ftrl(known, rows, y, **options)
     largest = np.sort(np.argsort(-np.abs(model.weight), kind="stable")[:MAX_WEIGHTS])
     return Weights(model.bias, model.index[largest], model.weight[largest])
