@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from chronofid.llm.text import chunks, folded_words, many_word_hashes, mixed
 
-#: Distances between the two words of a pair: neighbours, and pairs that skip one or two words.
-GAPS = (1, 2, 3)
+#: Distances between the two words of a pair: neighbours, and pairs that skip one word.
+GAPS = (1, 2)
 #: A feature is a 32-bit number; its upper bits index a table that rules most features out.
 SCREEN_BITS = 22
 

@@ -1,7 +1,7 @@
 """Score documents for toxicity with a sparse logistic regression on hashed words and word pairs.
 
-Method. Features of a text are its distinct single words, neighbouring pairs and pairs that skip one or two
-words, each hashed to 32 bits (A-Z lower-cased, ASCII punctuation read as space). FTRL-proximal training on a
+Method. Features of a text are its distinct single words, neighbouring pairs and pairs that skip one
+word, each hashed to 32 bits (A-Z lower-cased, ASCII punctuation read as space). FTRL-proximal training on a
 bounded sample of labelled rows gives every coordinate its own rate and, by L1, leaves most weights at zero;
 the few that remain are broadcast (``max_weights`` at most) and applied to the whole of every text in one pass without a shuffle.
 
@@ -25,7 +25,7 @@ from chronofid.llm.quality_rules import labelled_sample
 from chronofid.llm.text import chunks, folded_words
 
 #: Labelled rows to learn from at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 16_000
 #: Features of fewer sampled rows than this say too little and are left out.
 MIN_DOCS = 5
 #: Weights kept at most, the largest; with 12 bytes each this bounds the broadcast.
