@@ -67,7 +67,7 @@ def margins(lists: list[list[bytes]], models: list[Weights], screens: list[np.nd
     return out
 
 
-def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS, split=folded_words) -> pa.Table:
+def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS, split=folded_words) -> DataFrame:
     """``extra`` and the distinct features of each row (as bytes), for a sample that is small by construction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,12 +79,12 @@ def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS,
                     packed.append(np.unique(np.concatenate(parts)).tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column(extra), pa.array(packed, pa.binary())], names=[extra, "features"])
 
-    return docs.select(extra, "text").mapInArrow(run, f"{extra} int, features binary").toArrow()
+    return docs.select(extra, "text").mapInArrow(run, f"{extra} int, features binary")
 
 
-def feature_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+def feature_rows(chunks_: list[pa.Array]) -> list[np.ndarray]:
     """The rows of ``sampled_features``, without copying them."""
-    return [np.frombuffer(x.as_buffer(), np.uint32) for chunk in column.chunks for x in chunk]
+    return [np.frombuffer(x.as_buffer(), np.uint32) for chunk in chunks_ for x in chunk]
 
 
 def shared_features(rows: list[np.ndarray], min_docs: int) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -57,9 +57,9 @@ def labelled_domains(labelled: DataFrame, domains: list[str], rows: int) -> Data
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS) -> list[Weights]:
     """One model per domain, from at most ``sample_rows`` rows of ``labelled`` (``doc_id``, ``domain``)."""
     sample = F.broadcast(labelled_domains(labelled, domains, sample_rows))
-    got = sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"), "label", (), marked_words)
+    got = sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"), "label", (), marked_words).toArrow()
     y = got.column("label").to_numpy()
-    known, rows = shared_features(feature_rows(got.column("features")), MIN_DOCS)
+    known, rows = shared_features(feature_rows(got.column("features").chunks), MIN_DOCS)
     return [fit_ftrl(known, rows, (y == k).astype(float)) for k in range(len(domains))]
 
 

@@ -40,16 +40,28 @@ def held_out(folds: int, fold: int) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, **options) -> Weights:
     """Learn from at most ``sample_rows`` rows of ``labels`` (``doc_id`` and the 0/1 column ``label``)."""
     sample = F.broadcast(labelled_sample(labels, label, sample_rows))
-    got = sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"), "label")
-    y = got.column("label").to_numpy().astype(float)
-    if len(y) == 0 or y.min() == y.max():
-        share = y.mean() if len(y) else 0.0
-        return Weights(float(np.clip(np.log(max(share, 1e-15) / max(1 - share, 1e-15)), -35, 35)), np.zeros(0, np.uint32), np.zeros(0))
-    known, rows = shared_features(feature_rows(got.column("features")), MIN_DOCS)
-    del got
-    model = fit_ftrl(known, rows, y, **options)
-    largest = np.sort(np.argsort(-np.abs(model.weight), kind="stable")[:MAX_WEIGHTS])
-    return Weights(model.bias, model.index[largest], model.weight[largest])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        y = np.concatenate([b.column("label").to_numpy() for b in got]).astype(float) if got else np.zeros(0)
+        if len(y) == 0 or y.min() == y.max():
+            share = y.mean() if len(y) else 0.0
+            model = Weights(float(np.clip(np.log(max(share, 1e-15) / max(1 - share, 1e-15)), -35, 35)), np.zeros(0, np.uint32), np.zeros(0))
+        else:
+            known, rows = shared_features(feature_rows([b.column("features") for b in got]), MIN_DOCS)
+            model = fit_ftrl(known, rows, y, **options)
+        largest = np.sort(np.argsort(-np.abs(model.weight), kind="stable")[:MAX_WEIGHTS])
+        index = np.append(model.index[largest].astype(np.int64), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(np.append(model.weight[largest], model.bias))], names=["index", "weight"])
+
+    # The sample is bounded, so one task can learn from it; the driver gets the weights alone. Its rows come in the
+    # order of their features, whatever task they were made in.
+    features = sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"), "label")
+    got = features.repartition(1).sortWithinPartitions("features", "label").mapInArrow(train, "index long, weight double").toArrow()
+    index, weight = got.column("index").to_numpy(), got.column("weight").to_numpy()
+    if not len(index):
+        return Weights(-35.0, np.zeros(0, np.uint32), np.zeros(0))
+    return Weights(float(weight[index < 0][0]), index[index >= 0].astype(np.uint32), weight[index >= 0])
 
 
 def score_toxicity(docs: DataFrame, model: Weights) -> DataFrame:
