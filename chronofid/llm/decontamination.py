@@ -2,8 +2,9 @@
 
 Method. Words are runs of letters and digits, in lower case. A window is as long as an item. It is laid over a document
 wherever one of the item's five-word shingles lines up with its place in the item (moved inwards at the ends of
-the text), so any window that shares enough shingles in place is among them. Windows with equal words are one from
-there on. SimHash gives each window and each item 64 bits from its words, repeats counting as often as they occur.
+the text), and at every start between two such neighbours that ``gap`` allows. A best window is among them: one with all
+its shared shingles lined up on one side loses nothing when it moves there, and one between neighbours farther apart
+than ``gap`` cannot share enough. Windows with equal words are one from there on. SimHash gives each window and each item 64 bits from its words, repeats counting as often as they occur.
 Fingerprints are cut in ``BLOCKS`` blocks; two within ``RADIUS`` bits differ by at most one bit in some block, so an
 index of every block of every item with every single bit turned finds all of them by equality. Candidates
 within the radius are verified by the weighted Jaccard similarity of five-word shingles (each weighs as often as it
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofid.session import checkpointed
@@ -69,26 +70,43 @@ def item_table(items: DataFrame) -> DataFrame:
     return words.withColumn("length", F.size("item_words")).where("length > 0").dropDuplicates(["item_id", "item_words"])
 
 
+def gap(width: int) -> Column:
+    """How far apart the lined-up starts on both sides of a window that reaches ``PERCENT`` can be, for items of ``length`` words.
+
+    Of ``n`` shingles at most ``n - x`` line up ``x`` or more words before the window and ``n - y`` at least ``y`` after it; the
+    share needed is ``2 n PERCENT / (100 + PERCENT)``, so ``x + y`` is at most ``200 n / (100 + PERCENT)``.
+    """
+    return F.floor(200 * (F.col("length") - (width - 1)) / (100 + PERCENT)).cast("int")
+
+
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, start, length, window``: item-sized windows laid where a shingle lines up; ``window`` is text."""
+    """``doc_id, text_hash, start, length, window``: item-sized windows laid where a shingle lines up and between; ``window`` is text."""
     widths = [r.width for r in items.select(F.least("length", F.lit(WIDTH)).alias("width")).distinct().orderBy("width").collect()]
     found = []
     for width in widths:
         own = items.where(F.least("length", F.lit(WIDTH)) == width)
-        placed = checkpointed(own.select("length", F.posexplode(shingles(F.col("item_words"), width)).alias("offset", "h")).distinct())
+        item = F.xxhash64("item_words").alias("item")
+        placed = checkpointed(own.select("length", item, F.posexplode(shingles(F.col("item_words"), width)).alias("offset", "h")).distinct())
         slices = max(1, -(-placed.count() // SLICE))
-        words = docs.select("doc_id", text_words(F.col("text")).alias("words"))
-        runs = words.select("doc_id", "words", F.size("words").alias("size"), shingles(F.col("words"), width).alias("hs"))
+        words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_words(F.col("text")).alias("words"))
+        runs = words.select("doc_id", "text_hash", "words", F.size("words").alias("size"), shingles(F.col("words"), width).alias("hs"))
         # The outer form keeps Spark from pushing a test for empty arrays, and with it the splitting, below the projection.
-        rows = runs.select("doc_id", "words", "size", F.posexplode_outer("hs").alias("at", "h"))
+        rows = runs.select("doc_id", "text_hash", "words", "size", F.posexplode_outer("hs").alias("at", "h"))
         for k in range(slices):
             part = F.broadcast(placed.where(F.pmod("h", F.lit(slices)) == k))
             start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("length")))
-            laid = rows.join(part, "h").select("doc_id", start.alias("start"), "length", F.array_join(F.slice("words", start + 1, F.col("length")), " ").alias("window"))
+            # Words enough for every window up to the next start, if that is near.
+            stretch = F.array_join(F.slice("words", start + 1, F.col("length") + gap(width)), " ")
+            laid = rows.join(part, "h").select("doc_id", "text_hash", "item", "length", gap(width).alias("gap"), start.alias("start"), stretch.alias("stretch"))
             found.append(laid)
     if not found:
-        return docs.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, found).distinct()
+        return docs.select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window")).where(F.lit(False))
+    lined_up = reduce(DataFrame.unionByName, found).distinct()
+    following = F.lead("start").over(Window.partitionBy("doc_id", "text_hash", "item", "length").orderBy("start")) - F.col("start")
+    between = F.when(F.col("following") <= F.col("gap"), F.col("following") - 1).otherwise(F.lit(0))
+    each = lined_up.withColumn("following", following).withColumn("on", F.explode(F.sequence(F.lit(0), between)))
+    window = F.array_join(F.slice(F.split("stretch", " "), F.col("on") + 1, F.col("length")), " ")
+    return each.select("doc_id", "text_hash", (F.col("start") + F.col("on")).alias("start"), "length", window.alias("window")).distinct()
 
 
 def verified(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -111,12 +129,17 @@ def verified(texts: DataFrame, items: DataFrame) -> DataFrame:
     return counted.where(100 * F.col("both") >= PERCENT * F.col("all")).select("length", "window", "item_id", "hamming", (F.col("both") / F.col("all")).alias("similarity"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, similarity, start, hamming``: the best window for each document and item it holds."""
+def leaking_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, start, item_id, similarity, hamming`` of every laid window that holds an item."""
     items = checkpointed(item_table(benchmark))
     laid = checkpointed(windows(docs, items))
     held = checkpointed(verified(laid.select("length", "window").distinct(), items))
-    each = laid.join(held, ["length", "window"])
+    return laid.join(held, ["length", "window"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, similarity, start, hamming``: the best window for each document and item it holds."""
+    each = leaking_windows(docs, benchmark)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), (-F.col("hamming")).alias("apart")))
     return each.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", "best.similarity", (-F.col("best.before")).alias("start"), (-F.col("best.apart")).alias("hamming")

@@ -60,6 +60,21 @@ def test_equals_all_windows(spark, planted):
     assert all(abs(r.similarity - want[r.doc_id, r.item_id]) < 1e-9 for r in got)
 
 
+def test_edits_that_shift_both_sides_of_the_best_window(spark):
+    draw = random.Random(31)
+    items, docs = [], []
+    for i, (n, gone, more) in enumerate([(59, 1, 2), (200, 8, 16), (90, 2, 4)]):
+        words = [f"w{i}x{k}" for k in range(n)]
+        items.append((i, " ".join(words)))
+        left = words[gone : n - gone]
+        left = left[: len(left) // 2] + [f"new{i}x{k}" for k in range(more)] + left[len(left) // 2 :]
+        docs.append((i, " ".join([sentence(draw, 80), *left, sentence(draw, 80)])))
+    got = {(r.doc_id, r.item_id): r for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert set(got) == set(want) == {(0, 0), (1, 1), (2, 2)}
+    assert all(abs(got[k].similarity - want[k]) < 1e-9 for k in want) and got[0, 0].start == 80
+
+
 def test_slices_change_nothing(spark, planted, monkeypatch):
     docs, items = (spark.createDataFrame(x, f"{n} long, text string") for x, n in zip(planted, ("doc_id", "item_id")))
     whole = {tuple(r) for r in D.leaks(docs, items).collect()}
