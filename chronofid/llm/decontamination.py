@@ -147,6 +147,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of the documents that hold no item."""
+    """All columns of the documents whose ``doc_id`` no text that holds an item has; rows without an id count as one id."""
     held = leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_doc")).distinct()
     return docs.join(held, docs["doc_id"].eqNullSafe(held["leaked_doc"]), "left_anti")
+
+
+def decontaminate_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All columns of the rows whose own text holds no item, whatever other rows have the same ``doc_id`` or none."""
+    held = leaking_windows(docs, benchmark).select(F.col("doc_id").alias("leaked_doc"), F.col("text_hash").alias("leaked_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(held["leaked_doc"]) & (F.xxhash64(docs["text"]) == held["leaked_text"])
+    return docs.join(held, same, "left_anti")

@@ -137,7 +137,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents, each as often as its rate says: rounded up or down by a fixed draw from its id, so 0 times or more."""
+    """The documents, each as often as its rate says: rounded up or down by a fixed draw from its id and text, so 0 times or more."""
     models, _, steps = fitted(docs, labelled, targets, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -147,7 +147,7 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, flo
         for batch in batches:
             for piece, texts in chunks(batch, "text"):
                 rate = rates_of(posteriors([marked_words(t) for t in texts], weights, screens), steps)
-                draw = np.array([xxhash.xxh3_64_intdigest(str(i)) / 2**64 for i in piece.column("doc_id").to_pylist()])
+                draw = np.array([xxhash.xxh3_64_intdigest(f"{i} {t or ''}") / 2**64 for i, t in zip(piece.column("doc_id").to_pylist(), texts)])
                 yield piece.take(pa.array(np.repeat(np.arange(len(texts)), np.floor(rate + draw).astype(int))))
 
     return docs.mapInArrow(run, docs.schema)

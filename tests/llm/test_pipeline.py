@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from chronofid.llm import mixing
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,6 +36,22 @@ def test_one_document_of_each_group_stays(spark, folder, messy_rows):
     assert got == sorted(["0", "1", "2", "3", "4", "5", "30", "31", "32", "33", "34", "35", "40", "41", "None", "None"])
 
 
+def test_a_leak_takes_only_its_own_text(spark, folder, messy_rows):
+    leak = messy_rows[2][1]
+    rows = [(None, leak), (None, "clean text without an id"), (None, None), (7, leak), (7, "clean text under a repeated id"), (8, "another clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, folder).collect()), key=str)
+    assert got == sorted((r for r in rows if r[1] != leak), key=str)
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good {i}") for i in range(6)] + [(None, f"text number {k}") for k in range(200)], "doc_id long, text string")
+    domains = spark.createDataFrame([(i, "clean" if i % 2 else "junk") for i in range(6)], "doc_id long, domain string")
+    models = mixing.fit_domains(docs, domains, ["clean", "junk"])
+    monkeypatch.setattr(mixing, "fitted", lambda *_: (models, None, [[0.5, 0.5]]))  # a rate of one half for every row
+    assert 60 < mixing.mixed_documents(docs, domains, {"clean": 0.5, "junk": 0.5}).where("doc_id is null").count() < 140
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
 def test_run(spark):
     got = corpus_pipeline.run(spark, FOLDER)
