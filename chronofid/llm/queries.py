@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofid.llm import decontamination, licenses, line_dedup, mixing, ngram_join, preference, quality_rules, sharding, token_counts, toxicity
+from chronofid.llm import decontamination, licenses, line_dedup, merkle, mixing, ngram_join, preference, quality_rules, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,3 +150,42 @@ SELECT doc_id, item_id, similarity, start FROM f QUALIFY row_number() OVER (PART
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "similarity", F.col("start").cast("long").alias("start"))
+
+
+MERKLE_SQL = r"""WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, CAST(n_chars AS VARCHAR) AS chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 3 = 0 AS bad
+  FROM documents),
+f AS (SELECT *, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+             coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(chars) || ':' || chars, '-')) AS head FROM d),
+h AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN bad THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS shown FROM f),
+g AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, leaf, shown, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY lang) AS n FROM h),
+t(lvl, grp, pos, n, node) AS (
+  SELECT 0, grp, pos, n, leaf FROM g
+  UNION ALL SELECT lvl + 1, grp, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lvl, grp, pos // 8, n),
+s AS (SELECT grp, node, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, pos, n, node) AS (
+  SELECT 0, pos, n, node FROM s
+  UNION ALL SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 8, n),
+x AS (SELECT 0 AS tree, lvl, grp, pos, n, node FROM t UNION ALL SELECT 1, lvl, '', pos, n, node FROM u),
+b AS (SELECT tree, lvl, grp, pos, n, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+             coalesce(string_agg(node, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+      FROM x WINDOW r AS (PARTITION BY tree, lvl, grp, pos // 8 ORDER BY pos)),
+v(doc_id, grp, lvl, pos, n, leaf, now, seen) AS (
+  SELECT doc_id, grp, 0, pos, n, leaf, shown, '' FROM g
+  UNION ALL SELECT v.doc_id, v.grp, v.lvl + 1, v.pos // 8, (v.n + 7) // 8, v.leaf, sha256(b.l || v.now || b.r), v.seen || b.l || b.r
+    FROM v JOIN b ON b.tree = 0 AND b.lvl = v.lvl AND b.pos = v.pos AND b.grp = v.grp WHERE v.n > 1),
+w(doc_id, grp, lvl, pos, n, leaf, now, seen) AS (
+  SELECT v.doc_id, v.grp, 0, s.pos, s.n, v.leaf, v.now, v.seen FROM v JOIN s ON s.grp = v.grp WHERE v.n = 1
+  UNION ALL SELECT w.doc_id, w.grp, w.lvl + 1, w.pos // 8, (w.n + 7) // 8, w.leaf, sha256(b.l || w.now || b.r), w.seen || b.l || b.r
+    FROM w JOIN b ON b.tree = 1 AND b.lvl = w.lvl AND b.pos = w.pos WHERE w.n > 1)
+SELECT w.doc_id, w.leaf, s.node AS subroot, u.node AS root, sha256(w.seen) AS proof_sha256, w.now AS folded_root, w.now = u.node AS verified
+FROM w JOIN s ON s.grp = w.grp JOIN u ON u.n = 1 WHERE w.n = 1"""
+
+
+@CATALOGUE.add("op12_merkle_manifest", MERKLE_SQL)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.lowered_where_three_divides(table(spark, folder, "documents"))

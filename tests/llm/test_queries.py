@@ -16,9 +16,9 @@ def test_query(spark, name):
     got = CATALOGUE.queries[name](spark, FOLDER).toPandas()
     if name in CATALOGUE.sql:
         assert differences(got, connect(FOLDER).execute(CATALOGUE.sql[name]).df()) is None
-    elif name != "op8_benchmark_decontamination":
+    elif name not in ("op8_benchmark_decontamination", "op11_phrase_collocations"):
         assert len(got) == 200
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in CATALOGUE.queries) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in CATALOGUE.queries) == [*range(1, 11), 12]
