@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofid.llm import decontamination, licenses, line_dedup, merkle, mixing, ngram_join, preference, quality_rules, sharding, token_counts, toxicity
+from chronofid.llm import decontamination, licenses, line_dedup, merkle, mixing, ngram_join, preference, quality_rules, sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,3 +189,8 @@ FROM w JOIN s ON s.grp = w.grp JOIN u ON u.n = 1 WHERE w.n = 1"""
 @CATALOGUE.add("op12_merkle_manifest", MERKLE_SQL)
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.lowered_where_three_divides(table(spark, folder, "documents"))
+
+
+@CATALOGUE.add("op13_simhash_near_dedup")
+def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), width=4)
