@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofid.llm import decontamination, licenses, line_dedup, merkle, mixing, ngram_join, preference, quality_rules, sharding, simhash, token_counts, toxicity
+from chronofid.llm import collocations, decontamination, licenses, line_dedup, merkle, mixing, ngram_join, preference, quality_rules, sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -194,3 +194,30 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOGUE.add("op13_simhash_near_dedup")
 def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), width=4)
+
+
+COLLOCATIONS_SQL = r"""WITH p AS (
+  SELECT lang, row_number() OVER () AS piece, piece AS body
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) x),
+w AS (SELECT lang, list_filter(regexp_split_to_array(body, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(ws) >= k) x),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+a AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 30),
+s AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, ws, k, a, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM a WHERE k > 2) y) z
+      WHERE j - i + 1 < k GROUP BY ALL),
+o AS (SELECT a.* FROM a LEFT JOIN s ON a.lang = s.lang AND a.phrase = s.phrase WHERE s.longer IS NULL OR 100 * s.longer < 80 * a.a),
+h AS (SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM o) z),
+q AS (SELECT h.lang, h.phrase, h.a, h.cut, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * h.a) // (l.f + r.f) AS BIGINT) AS score
+      FROM h JOIN c l ON l.lang = h.lang AND l.phrase = h.x JOIN c r ON r.lang = h.lang AND r.phrase = h.y
+      QUALIFY row_number() OVER (PARTITION BY h.lang, h.phrase ORDER BY score, cut) = 1)
+SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, CAST(cut AS INT) AS cut
+FROM q JOIN n ON n.lang = q.lang QUALIFY rank <= 2000"""
+
+
+@CATALOGUE.add("op11_phrase_collocations", COLLOCATIONS_SQL)
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), min_count=30, top=2000)

@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     least = named.join(known, F.col("node") == F.col("print")).groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = named.join(least, "component").select(F.col("node").alias("print"), "component_id")
     classes = known.join(of_print, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    out = prints.join(classes, "print", "left")
+    # Written, so that the join below has two plain sides and the fingerprint of many copies can be split.
+    out = prints.join(checkpointed(classes), "print", "left")
     digits = F.lpad(F.lower(F.hex("print")), 16, "0")
     return out.select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
