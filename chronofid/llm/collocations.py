@@ -15,7 +15,7 @@ Method. Texts (A-Z in lower case) fall into pieces at ``[.,;:!?\\x0A-\\x0D]`` an
 
 Scale. A partition's header rows carry its mass and come first, so its capacity is fixed before the first counter and its memory follows
 mass / threshold, not the number of distinct n-grams. Stretches travel as sorted 32-bit remainders, by differences, compressed. The
-number of partitions follows the bytes of text. The second pass tests n-grams against a bit table of the survivors (16 bits
+number of partitions follows the bytes of text. The second pass tests n-grams against a bit table of the survivors (two of 32 bits
 each, at most ``MAX_BITS`` in all; beyond, more n-grams travel and none is lost). Frequent words or phrases are counted where they are before
 they travel. The ranking cuts languages by a hash of the phrase first.
 
@@ -47,9 +47,9 @@ CAPACITY = 4
 #: Text bytes for each hash partition, and partitions at most.
 PARTITION_BYTES, MAX_PARTITIONS = 4 << 20, 1 << 18
 #: Words counted together, and bytes of a text split into words at a time.
-STRETCH, PART = 1 << 20, 1 << 21
+STRETCH, PART = 1 << 19, 1 << 21
 #: Counters that wait to be merged, and phrases that a task counts before it sends them on.
-WAITING, PHRASES = 1 << 20, 300_000
+WAITING, PHRASES = 1 << 20, 250_000
 #: Bits of the table of survivors at most: 128 MB.
 MAX_BITS = 1 << 30
 
@@ -242,35 +242,79 @@ def survivors(docs: DataFrame, least: int, bits: int) -> DataFrame:
     return sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(partial(_merged, least=least), "key long")
 
 
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each phrase, from rows sorted by (part, lang); those below ``least`` go."""
+    at, sums = None, {}
+
+    def settled() -> pa.RecordBatch:
+        kept = [(p, n) for p, n in sums.items() if n >= least or not p]
+        phrases = pa.array([p for p, _ in kept], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(kept), pa.string()), phrases, pa.array([n for _, n in kept], pa.int64())], names=["lang", "phrase", "f"])
+
+    for batch in batches:
+        for part, lang, phrases, counts in zip(*(batch.column(c) for c in ("part", "lang", "phrases", "counts"))):
+            if (part.as_py(), lang.as_py()) != at:
+                if sums:
+                    yield settled()
+                at, sums = (part.as_py(), lang.as_py()), {}
+            for p, n in zip(zstandard.decompress(phrases.as_py()).split(b"\n"), unpacked(counts.as_py()).tolist()):
+                sums[p] = sums.get(p, 0) + n
+    if sums:
+        yield settled()
+
+
+def probes(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in a table of ``size`` bits."""
+    both = mixed(keys.astype(np.uint64))
+    return ((both & np.uint64(size - 1)).astype(np.int64), (both >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64))
+
+
+def has_bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def _rows_of(columns: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First row, and for each row the number, of each distinct (tag, word, ...) row."""
     return np.unique(np.column_stack([tags, columns]), axis=0, return_index=True, return_inverse=True, return_counts=True)[1:]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[pa.RecordBatch]:
-    """Exact counts of the phrases whose hash survived; the empty phrase counts all words."""
+    """Exact counts of the phrases whose hash survived, a row per hash partition and language; the empty phrase counts all words."""
     table = shared.value.view(np.uint64)
-    mask = np.uint64(len(table) * 64 - 1)
     held: dict[tuple[str, bytes], int] = {}
+    seen = 0
 
     def settled() -> pa.RecordBatch:
-        keys, counts = list(held), list(held.values())
+        groups: dict[tuple[int, str], list[tuple[bytes, int]]] = {}
+        for (name, phrase), n in held.items():
+            part = xxhash.xxh3_64_intdigest(phrase, len(name)) >> (64 - bits)
+            groups.setdefault((part, name), []).append((phrase, n))
         held.clear()
+        # No phrase holds a line feed, which ends a piece.
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-            names=["lang", "phrase", "f"],
+            [
+                pa.array([part for part, _ in groups], pa.int32()),
+                pa.array([name for _, name in groups], pa.string()),
+                pa.array([zstandard.compress(b"\n".join(p for p, _ in g), 1) for g in groups.values()], pa.binary()),
+                pa.array([packed(np.array([n for _, n in g])) for g in groups.values()], pa.binary()),
+            ],
+            names=["part", "lang", "phrases", "counts"],
         )
 
     for stretch in stretches(batches):
+        seen += len(stretch.ids)
+        if seen >> 32:  # counts travel as 32 bits
+            yield settled()
+            seen = len(stretch.ids)
         hashes, starts = stretch.hashes(), stretch.starts()
         every = np.bincount(stretch.langs[starts[0]], minlength=len(stretch.names))
         for name, n in zip(stretch.names, every.tolist()):
             if n:
                 held[name, b""] = held.get((name, b""), 0) + n
         for k in range(LONGEST):
-            key = hashes[k] >> np.uint64(32 - bits) & mask
-            found = starts[k] & (table[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
-            at = np.flatnonzero(found)
+            at = np.flatnonzero(starts[k])
+            one, two = probes(hashes[k][at] >> np.uint64(32 - bits), 64 * len(table))
+            at = at[has_bit(table, one) & has_bit(table, two)]
             if not len(at):
                 continue
             columns = stretch.ids[at[:, None] + np.arange(k + 1)]
@@ -282,17 +326,22 @@ def _counted(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[p
             for row, tag, n in zip(columns[first].tolist(), tags[first].tolist(), counts.tolist()):
                 entry = stretch.names[tag], b" ".join([stretch.words[w] for w in row])
                 held[entry] = held.get(entry, 0) + n
-        if len(held) > PHRASES:
-            yield settled()
+            if len(held) > PHRASES:
+                yield settled()
     if held:
         yield settled()
 
 
+def _bits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.concatenate(probes(batch.column("key").to_numpy(), size))
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.int64(1) << (at & 63))], names=["word", "bits"])
+
+
 def bit_table(keys: DataFrame) -> np.ndarray:
-    """A bit set for each key, at its low bits; 16 bits a key, within ``MAX_BITS``."""
-    size = 1 << max(16, min(MAX_BITS.bit_length() - 1, (16 * keys.count()).bit_length()))
-    low = f"(key & {size - 1})"
-    rows = keys.groupBy(F.expr(f"CAST(shiftright({low}, 6) AS INT)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} & 63 AS INT))")).alias("bits"))
+    """A table with the ``probes`` of each key set; 32 bits a key, within ``MAX_BITS``."""
+    size = 1 << max(16, min(MAX_BITS.bit_length() - 1, (32 * keys.count()).bit_length()))
+    rows = keys.mapInArrow(partial(_bits, size=size), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     found = rows.toArrow()
     table = np.zeros(size // 64, np.int64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
@@ -303,8 +352,8 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """``lang, phrase, f`` of all phrases of one to four words with ``f >= least``; the empty phrase has the number of all words."""
     bits = partition_bits(docs)
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(checkpointed(survivors(docs, least, bits))))
-    parts = docs.select("lang", "text").mapInArrow(partial(_counted, shared=shared, bits=bits), "lang string, phrase string, f long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(f"f >= {int(least)} OR phrase = ''")
+    sent = docs.select("lang", "text").mapInArrow(partial(_counted, shared=shared, bits=bits), "part int, lang string, phrases binary, counts binary")
+    return sent.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(partial(_summed, least=least), "lang string, phrase string, f long")
 
 
 def words_between(begin: int, end: int) -> str:

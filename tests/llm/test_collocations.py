@@ -104,7 +104,7 @@ def test_hashes_that_collide_do_not_mix_counts(monkeypatch, rows):
     monkeypatch.setattr(collocations.Stretch, "hashes", lambda s: [np.zeros(len(s.ids) - k, np.uint64) for k in range(4)])
     table = pa.table({"text": [t for t, _ in rows], "lang": [x for _, x in rows]})
     found = defaultdict(Counter)
-    for batch in collocations._counted(iter(table.to_batches()), Shared, 0):
+    for batch in collocations._summed(collocations._counted(iter(table.to_batches()), Shared, 0), 1):
         for r in batch.to_pylist():
             found[r["lang"]][tuple(r["phrase"].split(" "))] += r["f"]
     for lang, f in counted(rows).items():
