@@ -1,11 +1,19 @@
 """Exact nearest-neighbour distances from real to synthetic vectors.
 
-Vectors are reduced to distinct ones with counts, so copies cost nothing. A key with many synthetic
-vectors is partitioned around sampled pivots (Voronoi cells). Each real vector is first compared with
-the cell of its nearest pivot, which gives an upper bound on its neighbour distance. The triangle
-inequality then tells which other cells can hold anything closer, and only those are visited. Cells meet
-in blocks of bounded size, and a block returns k distances per real vector, never its pairs.
-The pivots only steer the work: any choice of them gives the same distances.
+Vectors are reduced to distinct ones with counts and ids, so copies cost nothing. Small keys are compared directly. Others use
+an index of two layers:
+
+* Codes. Each vector has one byte per dimension (its offset from its pivot, in steps of its own largest offset) and the exact
+  length of what the code leaves out. Distances between codes plus or minus both rests bound the true distance from both sides.
+  Offsets from a pivot keep the rests small among near copies too. Below ``EXACT_DIMS`` dimensions the code is the vector.
+* Cells. A key with many synthetic vectors is partitioned around sampled pivots. The triangle inequality tells
+  which cells can hold anything closer than what is known.
+
+A real vector is visited in three rounds: with the cell of its nearest pivot, with the ``NEAR`` most promising cells, and with what
+cells remain, by wards of about ``WARD_ROWS`` codes. So it travels at most ``1 + NEAR + wards`` times, whatever its dimension,
+as id and code, not as an array. Cells and wards meet in blocks of bounded size; a block returns the ids of those that may be among
+the ``k`` nearest, by their bounds. Only these few pairs fetch their vectors and get exact distances.
+Pivots and codes steer the work: any choice of them gives the same distances.
 """
 
 from __future__ import annotations
@@ -24,6 +32,12 @@ CELL_ROWS = 4096
 MAX_PIVOTS = 8192
 BLOCK_REAL = 4096
 BLOCK_SYNTH = 16384
+#: Cells that a vector visits before the rest, and codes of a ward.
+NEAR = 8
+WARD_ROWS = 65536
+#: Share of the length of two codes that their computed distance may be off.
+SLACK = 1e-6
+EXACT_DIMS = 16
 CELLS_CONF = "spark.chronofid.knnCellRows"
 
 _BLOCK = "key string, vec array<double>, n long, best array<double>"
@@ -67,12 +81,6 @@ def _meet(real: DataFrame, synth: DataFrame, k: int, on: list[str]) -> DataFrame
     return real.groupBy(*on).cogroup(other.groupBy(*names)).applyInPandas(_compare(k), _BLOCK)
 
 
-def _merge(parts: DataFrame, k: int) -> DataFrame:
-    """Best distances over all blocks a real vector met; each synthetic vector is in one block only."""
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    return parts.groupBy("key", "vec").agg(F.max("n").alias("n"), merged.alias("best"))
-
-
 def distances(pair: DataFrame, key: str | None, vector: str, k: int) -> DataFrame:
     """Per key and distinct real vector: its count ``n`` and ``best``, up to ``k`` ascending distances.
 
@@ -81,15 +89,16 @@ def distances(pair: DataFrame, key: str | None, vector: str, k: int) -> DataFram
     text = F.lit("") if key is None else F.col(key).cast("string")
     slim = pair.where(F.col(vector).isNotNull()) if key is None else pair.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
     vectors = slim.select(text.alias("key"), F.col(vector).cast("array<double>").alias("vec"), SYNTH)
-    distinct = checkpointed(vectors.groupBy("key", "vec", SYNTH).agg(F.count(F.lit(1)).alias("n")))
+    counted = vectors.groupBy("key", "vec", SYNTH).agg(F.count(F.lit(1)).alias("n"))
+    distinct = checkpointed(counted.withColumn("id", F.monotonically_increasing_id()))
     sizes = {r[SYNTH]: r["count"] for r in distinct.groupBy(SYNTH).count().collect()}
     real = distinct.where(~F.col(SYNTH)).drop(SYNTH)
     synth = distinct.where(SYNTH).drop(SYNTH)
     cell_rows = int(pair.sparkSession.conf.get(CELLS_CONF, str(CELL_ROWS)))
     if sizes.get(True, 0) <= cell_rows and sizes.get(False, 0) <= BLOCK_REAL:
-        found = _meet(real, synth, k, ["key"])
+        found = _meet(real.drop("id"), synth.drop("id"), k, ["key"])
     else:
-        found = _by_cells(real, synth, k, max(cell_rows, sizes.get(True, 0) // MAX_PIVOTS))
+        found = _by_codes(real, synth, k, max(cell_rows, sizes.get(True, 0) // MAX_PIVOTS))
     # Callers read the distances several times; the blocks must not be compared again for each.
     found = checkpointed(found)
     if key is None:
@@ -98,18 +107,55 @@ def distances(pair: DataFrame, key: str | None, vector: str, k: int) -> DataFram
 
 
 class Cells:
-    """Pivots per large key with the radius, inner radius and block count of each cell."""
+    """Pivots per large key, with the radius, inner radius and ward of each cell."""
 
     def __init__(self, pivots: dict[str, np.ndarray], stats: dict[tuple[str, int], tuple[float, float, int]]):
         self.pivots = pivots
-        self.outer = {}
-        self.inner = {}
-        self.blocks = {}
+        self.outer, self.inner, self.ward = {}, {}, {}
         for key, points in pivots.items():
             rows = [stats.get((key, c), (-np.inf, np.inf, 0)) for c in range(len(points))]
             self.outer[key] = np.array([r[0] for r in rows])
             self.inner[key] = np.array([r[1] for r in rows])
-            self.blocks[key] = np.array([max(1, -(-r[2] // BLOCK_SYNTH)) for r in rows])
+            # Wards follow the distance from one pivot, so that cells of a ward are not strewn all over.
+            order = np.argsort(_to_pivots(points, points[:1])[:, 0], kind="stable")
+            sizes = np.array([r[2] for r in rows])[order]
+            ward = np.empty(len(points), np.int64)
+            ward[order] = (np.cumsum(sizes) - sizes) // WARD_ROWS
+            self.ward[key] = ward
+
+
+def encode(vectors: np.ndarray, centres: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Codes of vectors around their centres, their scales, and the lengths of what they leave out (infinite if not finite)."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        rounding = 1e-15 * np.sqrt(np.square(vectors).sum(axis=1))
+    if vectors.shape[1] < EXACT_DIMS:
+        finite = np.isfinite(vectors).all(axis=1)
+        return [v.tobytes() for v in np.where(finite[:, None], vectors, 0.0)], np.ones(len(vectors)), np.where(finite, rounding, np.inf)
+    with np.errstate(invalid="ignore", over="ignore"):
+        offsets = vectors - centres
+        scales = np.abs(offsets).max(axis=1)
+        fine = np.isfinite(scales) & (scales > 0)
+        codes = np.rint(np.where(fine[:, None], offsets, 0.0) / np.where(fine, scales, 1.0)[:, None] * 127).astype(np.int8)
+        rest = np.sqrt(np.square(offsets - codes * (np.where(fine, scales, 0.0) / 127)[:, None]).sum(axis=1))
+    return [c.tobytes() for c in codes], np.where(fine, scales, 0.0), np.where(np.isfinite(rest), rest + rounding, np.inf)
+
+
+def decode(codes: pd.Series, scales: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The points that codes stand for."""
+    dims, body = centres.shape[1], b"".join(codes)
+    if dims < EXACT_DIMS:
+        return np.frombuffer(body, np.float64).reshape(len(codes), dims)
+    return centres + np.frombuffer(body, np.int8).reshape(len(codes), dims) * (scales / 127)[:, None]
+
+
+def bounds_between(x: np.ndarray, x_rest: np.ndarray, y: np.ndarray, y_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the distances of all vectors of two sides, from the points of their codes and their rests."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    xx, yy = np.square(x).sum(axis=1), np.square(y).sum(axis=1)
+    between = np.sqrt(np.maximum(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 0))
+    off = x_rest[:, None] + y_rest[None, :] + SLACK * np.sqrt(xx[:, None] + yy[None, :])
+    return between - off, between + off
 
 
 def _to_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -140,73 +186,147 @@ def _pick_pivots(synth: DataFrame, cell_rows: int) -> dict[str, np.ndarray]:
     return {key: np.array(points, dtype=np.float64) for key, points in grouped.items()}
 
 
-def _by_cells(real: DataFrame, synth: DataFrame, k: int, cell_rows: int) -> DataFrame:
+_CANDIDATES = "id long, other long, upper double"
+
+
+def _centres(pivots: dict[str, np.ndarray], keys: pd.Series, cells: pd.Series, dims: int) -> np.ndarray:
+    """The pivot of each row's cell; the origin for keys without pivots."""
+    out = np.zeros((len(keys), dims))
+    for key in keys.unique():
+        if key in pivots:
+            mine = (keys == key).to_numpy()
+            out[mine] = pivots[key][cells[mine].to_numpy()]
+    return out
+
+
+def _candidates(k: int, pivots, dims: int):
+    """Of a block, the pairs that may be among the ``k`` nearest of a real vector."""
+
+    def block(real: pd.DataFrame, synth: pd.DataFrame) -> pd.DataFrame:
+        if real.empty or synth.empty:
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "upper": np.zeros(0)})
+        points = lambda side: decode(side["code"], side["scale"].to_numpy(), _centres(pivots.value, side["key"], side["cell"], dims))
+        theirs, rest, names = points(synth), synth["rest"].to_numpy(), synth["id"].to_numpy()
+        mine, own, known, ids = points(real), real["rest"].to_numpy(), real["bound"].to_numpy(), real["id"].to_numpy()
+        step, out = max(1, 2_000_000 // len(names)), []
+        for a in range(0, len(ids), step):
+            lower, upper = bounds_between(mine[a : a + step], own[a : a + step], theirs, rest)
+            kth = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(names) >= k else np.full(len(upper), np.inf)
+            row, col = np.nonzero(lower <= np.minimum(kth, known[a : a + step])[:, None])
+            out.append(pd.DataFrame({"id": ids[a + row], "other": names[col], "upper": upper[row, col]}))
+        return pd.concat(out)
+
+    return block
+
+
+_CODE = ["key", "cell", "id", "code", "scale", "rest"]
+
+
+def _against(routed: DataFrame, placed: DataFrame, place: str, k: int, pivots, dims: int) -> DataFrame:
+    """Candidates of real codes routed to a cell or ward (column ``place``), block by block."""
+    crowd = routed.groupBy("key", place).agg(F.ceil(F.count("id") / BLOCK_REAL).alias("crowd"))
+    depth = placed.groupBy("key", place).agg(F.ceil(F.count("id") / BLOCK_SYNTH).alias("depth"))
+    cuts = checkpointed(crowd.join(depth, ["key", place]))
+    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    here = routed.join(cuts, ["key", place]).withColumn("rb", F.pmod(F.xxhash64("id"), F.col("crowd"))).withColumn("sb", spread("depth"))
+    there = placed.join(cuts, ["key", place]).withColumn("sb", F.pmod(F.xxhash64("id"), F.col("depth"))).withColumn("rb", spread("crowd"))
+    # Both sides stem from one table: without names of its own the second would share columns with the first.
+    on = ["key", place, "rb", "sb"]
+    there = there.select(*[F.col(c).alias(f"_{c}") for c in on], *[F.col(c).alias(c) for c in _CODE])
+    blocks = here.select(F.struct(*on).alias("at"), *_CODE, "bound").groupBy("at").cogroup(there.select(F.struct(*[F.col(f"_{c}").alias(c) for c in on]).alias("_at"), *_CODE).groupBy("_at"))
+    return blocks.applyInPandas(_candidates(k, pivots, dims), _CANDIDATES)
+
+
+def _kth_upper(found: DataFrame, k: int) -> DataFrame:
+    """Per real vector, what its k-th neighbour is within; no row if fewer than ``k`` are known."""
+    best = F.slice(F.array_sort(F.collect_list("upper")), 1, k)
+    return found.groupBy("id").agg(best.alias("best")).where(F.size("best") >= k).select("id", F.element_at("best", k).alias("kth"))
+
+
+def _exact(real: DataFrame, synth: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Distances of the candidate pairs that no bound excludes; every real vector has a row."""
+    squares = F.zip_with("vec", "svec", lambda x, y: (x - y) * (x - y))
+    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+    pairs = found.select("id", "other").join(real.select("id", "vec"), "id").join(
+        synth.select(F.col("id").alias("other"), F.col("vec").alias("svec"), F.least("n", F.lit(k)).cast("int").alias("copies")), "other"
+    )
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.array_repeat("distance", F.col("copies"))))), 1, k)
+    per = pairs.select("id", "copies", distance.alias("distance")).groupBy("id").agg(best.alias("best"))
+    none = F.array().cast("array<double>")
+    return real.join(per, "id", "left").select("key", "vec", "n", F.coalesce("best", none).alias("best"))
+
+
+def _by_codes(real: DataFrame, synth: DataFrame, k: int, cell_rows: int) -> DataFrame:
     context = real.sparkSession.sparkContext
     pivots = context.broadcast(_pick_pivots(synth, cell_rows))
-    columns = "key string, vec array<double>, n long"
-    one_cell = {"cell": F.lit(0).cast("long"), "dist": F.lit(0.0)}
+    dims = (real.select(F.size("vec")).first() or synth.select(F.size("vec")).first() or [1])[0]
 
     def assign(batches):
         for _, rows, points in _slices(batches, pivots.value):
-            if points is None:
-                yield rows.assign(cell=0, dist=0.0)
-                continue
-            far = _to_pivots(_matrix(rows["vec"]), points)
-            cell = far.argmin(axis=1)
-            yield rows.assign(cell=cell, dist=far[np.arange(len(rows)), cell])
-
-    if pivots.value:
-        placed = checkpointed(synth.mapInPandas(assign, f"{columns}, cell long, dist double"))
-    else:
-        placed = synth.withColumns(one_cell)
+            vectors = _matrix(rows["vec"])
+            cell, dist, centres = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.zeros(vectors.shape)
+            if points is not None:
+                far = _to_pivots(vectors, points)
+                cell = far.argmin(axis=1)
+                dist = far[np.arange(len(rows)), cell]
+                centres = points[cell]
+            code, scale, rest = encode(vectors, centres)
+            yield rows[["key", "id"]].assign(cell=cell, code=code, scale=scale, rest=rest, dist=dist)
+
+    schema = "key string, id long, cell long, code binary, scale double, rest double, dist double"
+    home = checkpointed(real.mapInPandas(assign, schema))
+    placed = checkpointed(synth.mapInPandas(assign, schema))
     # One row per pivot of a large key, so the table is as bounded as the pivots; other keys have one cell.
-    big = list(pivots.value)
     sizes = placed.groupBy("key", "cell").agg(F.max("dist").alias("u"), F.min("dist").alias("l"), F.count("cell").alias("c"))
-    wanted = real.sparkSession.createDataFrame([(x,) for x in big], "key string")
+    wanted = real.sparkSession.createDataFrame([(x,) for x in pivots.value], "key string")
     stats = {(r["key"], r["cell"]): (r["u"], r["l"], r["c"]) for r in sizes.join(F.broadcast(wanted), "key", "left_semi").collect()}
     cells = context.broadcast(Cells(pivots.value, stats))
-    counts = sizes.select("key", "cell", F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK_SYNTH)).alias("blocks"))
-    synth_blocks = placed.join(counts, ["key", "cell"]).withColumn(
-        "sb", F.pmod(F.xxhash64("vec"), F.col("blocks"))
-    ).select("key", "cell", "sb", "vec", "n")
-
-    def go_home(batches):
-        for _, rows, points in _slices(batches, cells.value.pivots):
-            home = 0 if points is None else _to_pivots(_matrix(rows["vec"]), points).argmin(axis=1)
-            yield rows.assign(cell=home)
-
-    def visit(batches):
-        for key, rows, points in _slices(batches, cells.value.pivots):
-            if points is None:
-                continue
+    # The place of a visit; for real vectors the cell stays the one their code refers to.
+    others = placed.select(*_CODE, F.col("cell").alias("place"))
+    visits = home.select(*_CODE, F.col("cell").alias("place"), F.lit(float("inf")).alias("bound"))
+    found = checkpointed(_against(visits, others, "place", k, pivots, dims))
+    if pivots.value:
+        large = real.join(F.broadcast(wanted), "key", "left_semi").select("key", "id", "vec")
+
+        def promising(key: str, rows: pd.DataFrame, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Least distance that each cell may hold, which cells are worth a visit, and the bound of each row."""
             far = _to_pivots(_matrix(rows["vec"]), points)
             # Pivots are synthetic vectors, so the k-th nearest pivot bounds the k-th neighbour as well.
             bound = np.sort(far, axis=1)[:, k - 1] if len(points) >= k else np.full(len(rows), np.inf)
-            known = np.array([b[k - 1] if len(b) >= k else np.inf for b in rows["best"]])
-            bound = np.minimum(bound, known)
+            bound = np.fmin(bound, rows["kth"].fillna(np.inf).to_numpy())
             least = np.maximum(far - cells.value.outer[key], cells.value.inner[key] - far)
             # Rounding may lift a bound by a hair; the slack only adds visits.
-            wanted = least <= bound[:, None] * (1 + 1e-9) + 1e-12
-            wanted[np.arange(len(rows)), far.argmin(axis=1)] = False
-            at, cell = np.nonzero(wanted)
-            yield rows.iloc[at][["key", "vec", "n"]].assign(cell=cell)
-
-    def against(routed: DataFrame) -> DataFrame:
-        """Compare routed real vectors with their cell, block by block."""
-        crowd = routed.groupBy("key", "cell").agg(F.ceil(F.count("n") / BLOCK_REAL).alias("crowd"))
-        spread = routed.join(crowd, ["key", "cell"]).join(counts, ["key", "cell"], "left")
-        spread = spread.withColumn("rb", F.pmod(F.xxhash64("vec"), F.col("crowd"))).withColumn(
-            "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
-        )
-        copies = synth_blocks.join(crowd, ["key", "cell"]).withColumn(
-            "rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowd") - 1))
-        )
-        on = ["key", "cell", "rb", "sb"]
-        return _meet(spread.select(*on, "vec", "n"), copies.select(*on, "vec", "n"), k, on)
-
-    if not pivots.value:
-        return _merge(against(real.withColumn("cell", one_cell["cell"])), k)
-    schema = f"{columns}, cell long"
-    home = checkpointed(_merge(against(checkpointed(real.mapInPandas(go_home, schema))), k))
-    away = against(checkpointed(home.mapInPandas(visit, schema)))
-    return _merge(home.unionByName(away), k)
+            worth = ~(least > bound[:, None] * (1 + 1e-9) + 1e-12)
+            worth[np.arange(len(rows)), far.argmin(axis=1)] = False
+            return least, worth, bound
+
+        def near(batches):
+            for key, rows, points in _slices(batches, cells.value.pivots):
+                least, worth, bound = promising(key, rows, points)
+                order = np.argsort(np.where(worth, least, np.inf), axis=1, kind="stable")[:, :NEAR]
+                at, slot = np.nonzero(np.take_along_axis(worth, order, axis=1))
+                yield rows.iloc[at][["id"]].assign(place=order[at, slot], bound=bound[at])
+
+        def rest(batches):
+            for key, rows, points in _slices(batches, cells.value.pivots):
+                _, worth, bound = promising(key, rows, points)
+                for at, seen in enumerate(rows["seen"]):
+                    if seen is not None:
+                        worth[at, np.asarray(seen, np.int64)] = False
+                at, cell = np.nonzero(worth)
+                trips = np.unique(np.column_stack([at, cells.value.ward[key][cell]]), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+                yield rows.iloc[trips[:, 0]][["id"]].assign(place=trips[:, 1], bound=bound[trips[:, 0]])
+
+        trips = "id long, place long, bound double"
+        body = home.select(*_CODE)
+        first = large.join(_kth_upper(found, k), "id", "left").select("key", "id", "vec", "kth")
+        routed = checkpointed(first.mapInPandas(near, trips))
+        found = checkpointed(found.unionByName(_against(routed.join(body, "id"), others, "place", k, pivots, dims)))
+        seen = routed.groupBy("id").agg(F.collect_list("place").alias("seen"))
+        second = large.join(_kth_upper(found, k), "id", "left").join(seen, "id", "left").select("key", "id", "vec", "kth", "seen")
+        routed = checkpointed(second.mapInPandas(rest, trips))
+        names = [(key, c, int(w)) for key, ward in cells.value.ward.items() for c, w in enumerate(ward)]
+        wards = real.sparkSession.createDataFrame(names, "key string, cell long, place long")
+        by_ward = placed.select(*_CODE).join(F.broadcast(wards), ["key", "cell"])
+        found = checkpointed(found.unionByName(_against(routed.join(body, "id"), by_ward, "place", k, pivots, dims)).dropDuplicates(["id", "other"]))
+    return _exact(real, synth, found, k)

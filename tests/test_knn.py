@@ -59,3 +59,45 @@ def test_one_synthetic_vector(spark):
     df = frame(spark, (np.zeros(2), np.zeros(1)), np.array([[0.0], [3.0]]), np.array([[1.0]]))
     best = {r["vec"][0]: r["best"] for r in knn.distances(df, None, "vec", 2).collect()}
     assert best == {0.0: [1.0], 3.0: [2.0]}
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-4])
+def test_trips_are_bounded_in_many_dimensions(spark, monkeypatch, spread):
+    """64 dimensions, where hardly any cell can be left out: a vector still travels 1 + NEAR + wards times at most."""
+    monkeypatch.setattr(knn, "WARD_ROWS", 1000)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 64))
+    draw = lambda n: centres[rng.integers(0, 4, n)] + rng.normal(size=(n, 64)) * spread
+    real, synth = draw(300), draw(4000)
+    real[0], real[1] = 50.0, synth[7]
+    trips, pairs, against, exact = [], [], knn._against, knn._exact
+    monkeypatch.setattr(knn, "_against", lambda routed, *rest: trips.append(routed.groupBy("id").count()) or against(routed, *rest))
+    monkeypatch.setattr(knn, "_exact", lambda r, s, found, k: pairs.append(found.count()) or exact(r, s, found, k))
+    spark.conf.set(knn.CELLS_CONF, "40")
+    try:
+        rows = knn.distances(frame(spark, (np.zeros(300), np.zeros(4000)), real, synth), None, "vec", 2).collect()
+    finally:
+        spark.conf.unset(knn.CELLS_CONF)
+    found = {tuple(r["vec"]): r["best"] for r in rows}
+    for vector, distances in zip(real, brute(real, synth, 2)):
+        assert found[tuple(vector)] == pytest.approx(list(distances), rel=1e-9, abs=1e-12)
+    most = [t.agg({"count": "max"}).first()[0] or 0 for t in trips]
+    assert len(most) == 3 and most[0] == 1 and most[1] <= knn.NEAR and most[2] <= 5
+    assert pairs[0] < 40 * len(real)
+
+
+@pytest.mark.parametrize("dims", [3, 64])
+def test_codes_bound_distances_from_both_sides(dims):
+    rng = np.random.default_rng(2)
+    for size in (1e-9, 1.0, 1e9):
+        points = rng.normal(size=(200, dims)) * size + 5 * size
+        points[:20] = points[0]
+        points[20:40] = points[0] + rng.normal(size=(20, dims)) * size * 1e-6
+        centres = points[rng.integers(0, 200, 200)]
+        code, scale, rest = knn.encode(points, centres)
+        seen = knn.decode(code, scale, centres)
+        lower, upper = knn.bounds_between(seen, rest, seen, rest)
+        true = np.sqrt(np.square(points[:, None, :] - points[None, :, :]).sum(axis=2))
+        assert (lower <= true).all() and (true <= upper).all()
+    code, scale, rest = knn.encode(np.array([[np.nan] * dims, [np.inf] * dims, [0.0] * dims]), np.zeros((3, dims)))
+    assert list(rest) == [np.inf, np.inf, 0.0] and np.isfinite(knn.decode(code, scale, np.zeros((3, dims)))).all()
