@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from chronofid.catalog.base import EV, Catalogue, ctes, events, ks_cte, sided, tvd_cte
 from chronofid.functions.times import seconds
-from chronofid.operators.correlation import pair_corr
+from chronofid.operators.moments import pair_correlations
 from chronofid.operators.distributions import ks_by, tvd_by
-from chronofid.operators.shape import unpivot_pairs
 from chronofid.plans import columns as col
 from chronofid.plans.roles import summary
 
@@ -151,8 +150,7 @@ def agg2(spark, folder):
 SELECT l_returnflag, feature, real_n, synth_n, round(real_rho, 6) AS real_rho, round(synth_rho, 6) AS synth_rho FROM rho""")
 def agg3(spark, folder):
     pairs = [("l_quantity", "l_extendedprice"), ("l_discount", "l_tax")]
-    long = unpivot_pairs(lineitem(spark, folder), ["is_synth", "l_returnflag"], pairs, numbers=True)
-    return pair_corr(long, ["l_returnflag", "feature"])
+    return pair_correlations(lineitem(spark, folder), ["l_returnflag"], pairs)
 
 
 @add("agg4_entity_statistics", ctes(LI) + """

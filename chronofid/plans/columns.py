@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofid.functions.labels import whole_label
-from chronofid.operators.correlation import pair_corr
+from chronofid.operators.contingency import pair_distances
 from chronofid.operators.distributions import SYNTH, ks_by, medians, tvd_by
+from chronofid.operators.moments import pair_correlations
 from chronofid.operators.shape import (
     FEATURE,
     VALUE,
@@ -15,7 +16,6 @@ from chronofid.operators.shape import (
     distinct_counts,
     unpivot_labels,
     unpivot_numbers,
-    unpivot_pairs,
 )
 from chronofid.plans.roles import named, union_all
 
@@ -88,7 +88,7 @@ def range_coverage(pair: DataFrame, nums: list[str]) -> DataFrame:
 
 def correlation_similarity(pair: DataFrame, nums: list[str]) -> DataFrame:
     """One minus half the difference of the correlations; an undefined correlation counts as 0."""
-    rho = pair_corr(unpivot_pairs(pair, [SYNTH], column_pairs(nums), numbers=True), [FEATURE])
+    rho = pair_correlations(pair, [], column_pairs(nums))
     gap = F.abs(F.coalesce("real_rho", F.lit(0.0)) - F.coalesce("synth_rho", F.lit(0.0)))
     return rho.select(FEATURE, (1 - gap / 2).alias("score"))
 
@@ -106,8 +106,7 @@ def contingency_pairs(
 def contingency_similarity(pair: DataFrame, cats: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """One minus the distance of the joint category tables; a null is a category of its own."""
     pairs = contingency_pairs(pair, cats) if pairs is None else pairs
-    long = unpivot_pairs(labels(pair, cats), [SYNTH], pairs, numbers=False)
-    return tvd_by(long, [FEATURE], ["a", "b"]).select(FEATURE, _both(1 - F.col("tvd")))
+    return pair_distances(labels(pair, cats), [], pairs, nulls=True).select(FEATURE, _both(1 - F.col("tvd")))
 
 
 def entity_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:

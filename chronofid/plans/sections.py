@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from chronofid.functions.labels import align_labels
 from chronofid.functions.numeric import clip01
 from chronofid.functions.times import coerce_time
-from chronofid.operators.correlation import pair_corr
+from chronofid.operators.contingency import pair_distances
 from chronofid.operators.distributions import SYNTH, ks_by, medians, tvd_by
+from chronofid.operators.moments import pair_correlations
 from chronofid.operators.shape import (
     FEATURE,
     VALUE,
     column_pairs,
     unpivot_labels,
     unpivot_numbers,
-    unpivot_pairs,
 )
 from chronofid.plans.columns import covered_share, seen_categories
 from chronofid.plans.roles import TableRoles, named, union_all
@@ -75,10 +75,8 @@ def statistic_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
 
 
 def correlation_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
-    ids = [SYNTH, roles.time]
     timed = pair.where(F.col(roles.time).isNotNull())
-    long = unpivot_pairs(timed, ids, column_pairs(roles.num_cols), numbers=True)
-    rho = pair_corr(long, [FEATURE, roles.time]).where(
+    rho = pair_correlations(timed, [roles.time], column_pairs(roles.num_cols)).where(
         (F.col("real_n") >= MIN_CORR_ROWS)
         & (F.col("synth_n") >= MIN_CORR_ROWS)
         & F.col("real_rho").isNotNull()
@@ -99,9 +97,8 @@ def category_coverage(pair: DataFrame, roles: TableRoles) -> DataFrame:
 
 def contingency_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
     """Unlike the static score this one leaves rows with a null category out."""
-    long = unpivot_pairs(pair, [SYNTH, roles.time], column_pairs(roles.cat_cols), numbers=False)
-    known = long.where(F.col(roles.time).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
-    per_time = tvd_by(known, [FEATURE, roles.time], ["a", "b"])
+    timed = pair.where(F.col(roles.time).isNotNull())
+    per_time = pair_distances(timed, [roles.time], column_pairs(roles.cat_cols), nulls=False)
     return _over_time(_shared(per_time), 1 - F.col("tvd"))
 
 
