@@ -19,7 +19,8 @@ add = CATALOGUE.add
 DAILY_ROLES = TableRoles(
     key="user_id", time="day", row="row_ix", num_cols=["value", "k"], cat_cols=["event_type"]
 )
-MAX_LAG = 3
+#: The lag up to which the queries look: an eighth of the median real trajectory, as the data has it.
+LAGS = """lags AS (SELECT greatest(1, floor(floor(median(n)) / 8)) AS most FROM (SELECT user_id, count(*) AS n FROM daily WHERE NOT syn GROUP BY 1) q)"""
 RAYS = tr.PROJECTIONS
 
 DAILY = """daily AS (
@@ -39,6 +40,10 @@ def daily(spark, folder):
     )
 
 
+def max_lag(df):
+    return tr.default_max_lag(df, DAILY_ROLES).first()["max_lag"]
+
+
 def daily_typed(spark, folder):
     """The first event of each type per user and day, so that a day can hold several rows."""
     day = F.to_date("ts").alias("day")
@@ -112,12 +117,13 @@ def joi13(spark, folder):
     return shares.select("day", F.col("value").alias("from_type"), F.col("next_value").alias("to_type"), "r", "s")
 
 
-ACF = f"""pos AS (SELECT *, row_number() OVER (PARTITION BY feature, syn, user_id ORDER BY day) AS i FROM long WHERE value IS NOT NULL),
-m AS (SELECT feature, syn, user_id, count(*) AS n, avg(value) AS mean, var_pop(value) AS var FROM pos GROUP BY 1, 2, 3 HAVING count(*) > {MAX_LAG}),
+ACF = LAGS + """,
+pos AS (SELECT *, row_number() OVER (PARTITION BY feature, syn, user_id ORDER BY day) AS i FROM long WHERE value IS NOT NULL),
+m AS (SELECT feature, syn, user_id, count(*) AS n, avg(value) AS mean, var_pop(value) AS var FROM pos GROUP BY 1, 2, 3 HAVING count(*) > (SELECT most FROM lags)),
 acf AS (SELECT a.feature, a.syn, a.user_id, b.i - a.i AS lag,
     CASE WHEN any_value(var) = 0 THEN 0 ELSE avg((a.value - mean) * (b.value - mean)) / any_value(var) END AS acf
   FROM pos a JOIN m ON a.feature = m.feature AND a.syn = m.syn AND a.user_id = m.user_id
-  JOIN pos b ON a.feature = b.feature AND a.syn = b.syn AND a.user_id = b.user_id AND b.i > a.i AND b.i <= a.i + {MAX_LAG}
+  JOIN pos b ON a.feature = b.feature AND a.syn = b.syn AND a.user_id = b.user_id AND b.i > a.i AND b.i <= a.i + (SELECT most FROM lags)
   GROUP BY 1, 2, 3, 4),
 side AS (SELECT feature, syn, lag, avg(acf) AS acf FROM acf GROUP BY 1, 2, 3),
 sides AS (SELECT feature, lag, max(acf) FILTER (NOT syn) AS r, max(acf) FILTER (syn) AS s FROM side GROUP BY 1, 2)"""
@@ -129,20 +135,23 @@ DEP_LONG = """long AS (SELECT feature, syn, 0 AS user_id, day, avg(value) AS val
 @add("win9_lagged_products", ctes(EV, DAILY, LONG, ACF) + """
 SELECT feature, syn AS is_synth, user_id, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acf""")
 def win9(spark, folder):
-    df = daily(spark, folder).unpivot(["is_synth", "user_id", "day"], ["value", "k"], "feature", "value")
-    return tr.autocorrelation(df, ["feature", "is_synth", "user_id"], ["day"], "value", MAX_LAG)
+    df = daily(spark, folder)
+    long = df.unpivot(["is_synth", "user_id", "day"], ["value", "k"], "feature", "value")
+    return tr.autocorrelation(long, ["feature", "is_synth", "user_id"], ["day"], "value", max_lag(df))
 
 
 @add("l3_autocorrelation_independent", ctes(EV, DAILY, LONG, ACF) + S_ACF)
 def l3(spark, folder):
-    return tr.autocorrelation_similarity(daily(spark, folder), DAILY_ROLES, MAX_LAG)
+    df = daily(spark, folder)
+    return tr.autocorrelation_similarity(df, DAILY_ROLES, max_lag(df))
 
 
 @add("l3_autocorrelation_dependent", ctes(EV, DAILY, DEP_LONG, ACF) + S_ACF)
 def l3_dependent(spark, folder):
     from dataclasses import replace
 
-    return tr.autocorrelation_similarity(daily(spark, folder), replace(DAILY_ROLES, independence="dependent"), MAX_LAG)
+    df = daily(spark, folder)
+    return tr.autocorrelation_similarity(df, replace(DAILY_ROLES, independence="dependent"), max_lag(df))
 
 
 @add("agg6_macro_trajectory", ctes(EV, DAILY) + """
@@ -158,11 +167,12 @@ def l4(spark, folder):
     return tr.default_max_lag(events(spark, folder), EVENT_ROLES)
 
 
-@add("l4_diagnostics", ctes(EV, DAILY, LONG) + f""", n AS (SELECT feature, syn, user_id, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY 1, 2, 3)
-SELECT feature, syn AS is_synth, count(*) AS flows, count(*) FILTER (n > {MAX_LAG}) AS valid_flows, max(n) AS max_length,
-       round(median(n), 6) AS median_length, count(*) FILTER (n > {MAX_LAG}) > 0 AS can_compute FROM n GROUP BY 1, 2""")
+@add("l4_diagnostics", ctes(EV, DAILY, LONG, LAGS) + """, n AS (SELECT feature, syn, user_id, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+SELECT feature, syn AS is_synth, count(*) AS flows, count(*) FILTER (n > (SELECT most FROM lags)) AS valid_flows, max(n) AS max_length,
+       round(median(n), 6) AS median_length, count(*) FILTER (n > (SELECT most FROM lags)) > 0 AS can_compute FROM n GROUP BY 1, 2""")
 def l4_diagnostics(spark, folder):
-    return tr.autocorrelation_diagnostics(daily(spark, folder), DAILY_ROLES, MAX_LAG)
+    df = daily(spark, folder)
+    return tr.autocorrelation_diagnostics(df, DAILY_ROLES, max_lag(df))
 
 
 GRID = """times AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS time_ix FROM (SELECT DISTINCT day FROM src WHERE NOT syn) q),
@@ -310,7 +320,7 @@ UNION ALL SELECT 'AutoCorrelationSimilarity', * FROM ({S_ACF}) q
 UNION ALL SELECT 'SlicedTTWasserstein', feature, round(distance, 6) FROM dist
 UNION ALL SELECT 'TransitionMatrixTVDComplement', 'event_type', round(avg(1 - gap / (2 * c)), 6) FROM per, cats WHERE r > 0 AND s > 0""")
 def l8(spark, folder):
-    return tr.suite(daily(spark, folder), DAILY_ROLES, MAX_LAG)
+    return tr.suite(daily(spark, folder), DAILY_ROLES)
 
 
 @add("agg11_channel_zscore", ctes(EV, DAILY, LONG) + """, m AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sd FROM long WHERE NOT syn GROUP BY 1)

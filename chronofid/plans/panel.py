@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronofid.functions.numeric import to_double
 from chronofid.operators import fill
 from chronofid.operators.distributions import SYNTH
+from chronofid.operators.grid import unrolled
 from chronofid.operators.ordered import ordered
 from chronofid.operators.sampling import first_rows
 from chronofid.plans.roles import TableRoles
@@ -31,8 +32,8 @@ def align(
 ) -> DataFrame:
     """Each entity of each side on every real time point: ``(is_synth, key, time_ix, channels)``.
 
-    The result has entities times time points rows by definition; each entity unrolls its own positions,
-    and only the number of time points is known to the driver.
+    The result has entities times time points rows by definition; each entity unrolls its own positions
+    in chunks, and only the number of time points is known to the driver.
     """
     if fill_method not in FILLS:
         raise ValueError(f"fill_method must be one of {FILLS}, not {fill_method!r}")
@@ -42,7 +43,7 @@ def align(
     known = pair.where(F.col(key).isNotNull()).select(SYNTH, key, time, roles.row, *[to_double(c).alias(c) for c in cols])
     unique = first_rows(known, [SYNTH, key, time], roles.row).drop(roles.row)
     entities = known.select(SYNTH, key).distinct()
-    slots = entities.withColumn("time_ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
+    slots = unrolled(entities, [SYNTH, key], F.lit(width - 1), "time_ix")
     placed = unique.join(index, time, "inner").drop(time)
     grid = slots.join(placed, [SYNTH, key, "time_ix"], "left")
     group, order = [SYNTH, key], ["time_ix"]

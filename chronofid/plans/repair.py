@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from chronofid.functions.numeric import to_double, to_long
 from chronofid.functions.times import parse_time
 from chronofid.operators import fill
+from chronofid.operators.grid import stepped
 from chronofid.operators.ordered import ordered, same_keys
 from chronofid.operators.sampling import first_rows
 from chronofid.operators.snap import nearest, neighbours, to_step
@@ -175,14 +176,11 @@ def real_index(real: DataFrame, rules: RepairRules) -> DataFrame:
 
 
 def grid_points(spans: DataFrame, real: DataFrame, rules: RepairRules) -> DataFrame:
-    """Every grid point of every key: ``(key, time)``. Each span unrolls where it is."""
-    step = {"real": F.lit(1), "integer": F.lit(rules.grid_step), "numeric_step": F.lit(rules.grid_step)}.get(rules.grid_kind)
+    """Every grid point of every key: ``(key, time)``. Long spans unroll in chunks."""
+    step = {"real": 1, "integer": rules.grid_step, "numeric_step": rules.grid_step}.get(rules.grid_kind)
     if step is None:
-        step = F.expr("interval 1 day" if rules.grid_freq == "D" else "interval 1 month")
-    else:
-        step = step.cast("long")
-    filled = spans.where(F.col("first") <= F.col("last"))
-    points = filled.select(rules.key, F.explode(F.sequence(F.col("first"), F.col("last"), step)).alias("ix"))
+        step = "day" if rules.grid_freq == "D" else "month"
+    points = stepped(spans, [rules.key], "first", "last", step, "ix")
     if rules.grid_kind == "real":
         return points.join(real_index(real, rules), "ix").select(rules.key, rules.time)
     return points.select(rules.key, F.col("ix").cast(real.schema[rules.time].dataType).alias(rules.time))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofid.operators.distributions import SYNTH, ks_by, medians
+from chronofid.operators.grid import overlap
 from chronofid.operators.ordered import ordered
 from chronofid.plans.roles import TableRoles, named, numeric_time, union_all
 
@@ -113,26 +114,7 @@ def grid_completeness(pair: DataFrame, roles: TableRoles, interval: float) -> Da
     cell = F.rint(F.col(roles.time) / interval).cast("long")
     seen = timed.select(SYNTH, roles.key, cell.alias("cell")).distinct()
     runs = seen.where(~F.col(SYNTH)).groupBy(roles.key).agg(F.min("cell").alias("lo"), F.count("cell").alias("n"))
-    real = runs.select(
-        F.lit(False).alias(SYNTH), F.explode(F.expr("sequence(lo, lo + n - 1)")).alias("cell")
-    )
-    counts = (
-        real.unionByName(seen.where(SYNTH).select(SYNTH, "cell"))
-        .groupBy("cell")
-        .agg(
-            F.sum((~F.col(SYNTH)).cast("long")).alias("r"),
-            F.sum(F.col(SYNTH).cast("long")).alias("s"),
-        )
-        .where("r > 0")
-    )
-    both = F.col("s") > 0
-    parts = counts.agg(
-        F.sum("r").alias("total"),
-        F.sum(F.least("r", "s")).alias("covered"),
-        F.count(F.lit(1)).alias("support"),
-        F.sum(both.cast("long")).alias("shared"),
-        F.sum(F.when(both, F.col("r"))).alias("shared_mass"),
-    )
+    parts = overlap(runs, seen.where(SYNTH), 3 * pair.count())
     return parts.select(
         F.try_divide("covered", "total").alias("score"),
         F.try_divide("shared", "support").alias("support_coverage"),

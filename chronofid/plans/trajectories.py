@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofid.operators.distributions import SYNTH, ecdf_distances, medians, value_counts
+from chronofid.operators.lagged import lagged_means
 from chronofid.operators.ordered import ordered, same_keys
 from chronofid.operators.shape import FEATURE, VALUE, unpivot_labels, unpivot_numbers
 from chronofid.operators.spectra import (
@@ -101,7 +102,7 @@ def autocorrelation(
     """Autocorrelation for lags 1 to ``max_lag`` of every series that is long enough.
 
     A series longer than one segment is cut into pieces by position. The first rows of a piece are also
-    given to the piece before it, so that each pair of rows meets exactly once.
+    given to the piece before it, so that each pair of rows meets exactly once. Products are summed inside a piece.
     """
     known = series.where(F.col(value).isNotNull())
     rows = known.count() if rows is None else rows
@@ -110,20 +111,16 @@ def autocorrelation(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")
     ).where(F.col("n") > max_lag)
     joined = placed.alias("l").join(stats.alias("r"), same_keys("l", "r", keys), "inner")
-    joined = joined.select("l.*", "r.n", "r.mean", "r.var")
+    joined = joined.select("l.*", "r.mean")
     size = max(segment_rows(series.sparkSession), max_lag)
     piece = F.floor(F.col("pos") / size)
     look_ahead = (piece > 0) & (F.col("pos") % size < max_lag)
     pieces = F.when(look_ahead, F.array(piece, piece - 1)).otherwise(F.array(piece))
     cut = joined.withColumn("home", piece).withColumn("piece", F.explode(pieces))
-    w = Window.partitionBy(*keys, "piece").orderBy("pos").rowsBetween(1, max_lag)
-    ahead = cut.withColumn("ahead", F.collect_list(value).over(w)).where(F.col("home") == F.col("piece"))
-    pairs = ahead.select(*keys, "n", "mean", "var", F.col(value).alias("x"), F.posexplode("ahead").alias("at", "y"))
-    product = (F.col("x") - F.col("mean")) * (F.col("y") - F.col("mean"))
-    acf = pairs.groupBy(*keys, (F.col("at") + 1).alias("lag")).agg(
-        F.when(F.first("var") == 0, 0.0).otherwise(F.try_divide(F.avg(product), F.first("var"))).alias("acf")
-    )
-    return acf
+    cut = cut.withColumns({"_x": (F.col(value) - F.col("mean")).cast("double"), "_home": F.col("home") == F.col("piece")})
+    means = lagged_means(cut, keys, max_lag)
+    out = means.alias("l").join(stats.alias("r"), same_keys("l", "r", keys), "inner").select("l.*", "r.var")
+    return out.select(*keys, "lag", F.when(F.col("var") == 0, 0.0).otherwise(F.try_divide("product", "var")).alias("acf"))
 
 
 def default_max_lag(pair: DataFrame, roles: TableRoles) -> DataFrame:
