@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,14 +107,62 @@ def direction(projection: Column, dimension: Column) -> Column:
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2 * math.pi * v)
 
 
+def directions(dims: np.ndarray, projections: int) -> np.ndarray:
+    """``direction`` of every dimension (rows) and projection (columns)."""
+    d = dims.astype(np.int64)[:, None] + 1
+
+    def uniform(shift: int) -> np.ndarray:
+        r = np.arange(projections, dtype=np.int64)[None, :] + 1 + shift
+        mixed = r * r % HASH_MOD * HASH_A + d * d % HASH_MOD * HASH_B + r * d % HASH_MOD * HASH_C
+        return (mixed % HASH_MOD + 0.5) / HASH_MOD
+
+    return np.sqrt(-2.0 * np.log(uniform(0))) * np.cos(2 * math.pi * uniform(HASH_SECOND))
+
+
+def _ray_sums(batches, keys: list[str], projections: int):
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        coded = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+        order = np.lexsort(coded[::-1])
+        codes = np.column_stack(coded)[order]
+        starts = np.concatenate([[0], 1 + np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1))])
+        dims, at = np.unique(batch.column("_dim").to_numpy()[order], return_inverse=True)
+        rays = directions(dims, projections)[at]
+        # A null value adds nothing, yet its dimension counts for the length of the direction.
+        value = batch.column("_value").fill_null(0.0).to_numpy(zero_copy_only=False)[order]
+        known = np.asarray(batch.column("_value").is_valid())[order]
+        sums = np.add.reduceat(value[:, None] * rays, starts, axis=0)
+        lengths = np.add.reduceat(np.square(rays), starts, axis=0)
+        any_value = np.add.reduceat(known, starts) > 0
+        first, ends = pa.array(order[starts]), pa.array(np.arange(len(starts) + 1, dtype=np.int32) * projections)
+        arrays = [batch.column(k).take(first) for k in keys]
+        arrays += [pa.ListArray.from_arrays(ends, pa.array(v.reshape(-1))) for v in (sums, lengths)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(any_value)], names=[*keys, "_sums", "_lengths", "_any"])
+
+
+def ray_sums(vectors: DataFrame, keys: list[str], dim: str, value: str, projections: int) -> DataFrame:
+    """Inner products with directions that are not yet scaled, and the squared lengths of these: ``(keys, projection, part, length)``.
+
+    A task adds up all projections of the rows it has of a key, so rows are not copied per projection; a key may
+    come up several times.
+    """
+    rows = vectors.select(*keys, F.col(dim).cast("long").alias("_dim"), F.col(value).cast("double").alias("_value"))
+    fields = [rows.schema[k] for k in keys]
+    fields += [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_sums", "_lengths")] + [T.StructField("_any", T.BooleanType())]
+    parts = rows.mapInArrow(partial(_ray_sums, keys=keys, projections=projections), T.StructType(fields))
+    long = parts.select(*keys, "_any", F.posexplode(F.arrays_zip("_sums", "_lengths")).alias("projection", "x"))
+    return long.select(*keys, F.col("projection").cast("long"), F.when(F.col("_any"), F.col("x._sums")).alias("part"), F.col("x._lengths").alias("length"))
+
+
+def projected(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner products with unit directions from ``ray_sums``: ``(keys, projection, projected)``."""
+    return sums.groupBy(*keys, "projection").agg((F.sum("part") / F.sqrt(F.sum("length"))).alias("projected"))
+
+
 def project(vectors: DataFrame, keys: list[str], dim: str, value: str, projections: int) -> DataFrame:
     """Inner products with unit directions: ``(keys, projection, projected)``. Vectors are dense in ``dim``."""
-    rays = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(projections - 1).cast("long")))
-    spread = vectors.withColumn("projection", rays)
-    part = direction(F.col("projection"), F.col(dim).cast("long"))
-    return spread.groupBy(*keys, "projection").agg(
-        (F.sum(F.col(value) * part) / F.sqrt(F.sum(part * part))).alias("projected")
-    )
+    return projected(ray_sums(vectors, keys, dim, value, projections), keys)
 
 
 def sliced_wasserstein(projected: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:

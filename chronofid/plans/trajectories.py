@@ -13,7 +13,8 @@ from chronofid.operators.spectra import (
     channel_moments,
     differences,
     half_spectrum,
-    project,
+    projected,
+    ray_sums,
     scale_channels,
     sliced_wasserstein,
 )
@@ -231,11 +232,12 @@ def sliced_tt_wasserstein(
     """Sliced Wasserstein-1 distance of the spectra, jointly (feature ``*``) and per channel with its rank."""
     features = spectrum(pair, roles, fill_method)
     entity = [SYNTH, roles.key]
-    both = F.explode(F.array(F.lit("*"), F.col("channel")))
-    spread = features.select(*entity, both.alias(FEATURE), "dim", "mag")
-    projected = project(spread, [*entity, FEATURE], "dim", "mag", projections)
-    rows = pair.count() * (len(roles.num_cols) + 1) * projections
-    distances = sliced_wasserstein(projected, [FEATURE], rows)
+    # Channels are parts of the joint vector: their sums make up its sums.
+    sums = ray_sums(features, [*entity, "channel"], "dim", "mag", projections)
+    both = sums.withColumn(FEATURE, F.explode(F.array(F.lit("*"), F.col("channel")))).drop("channel")
+    entities = pair.where(F.col(roles.key).isNotNull()).select(*entity).distinct().count()
+    rows = entities * (len(roles.num_cols) + 1) * projections
+    distances = sliced_wasserstein(projected(both, [*entity, FEATURE]), [FEATURE], rows)
     # One row per channel and one joint row: these windows see as many rows as there are columns.
     single = F.col(FEATURE) != "*"
     w = Window.partitionBy(single)

@@ -96,3 +96,17 @@ def test_means_of_products_across_batches(spark, lags):
         x = np.array([r[3] for r in rows if r[0] == k])
         want |= {(k, lag): (x[:-lag] * x[lag:]).mean() for lag in range(1, min(lags, len(x) - 1) + 1)}
     assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], abs=1e-9) for c in want)
+
+
+def test_projections_equal_those_of_copied_rows(spark):
+    from chronofid.operators import spectra
+
+    rng = np.random.default_rng(0)
+    rows = [(k, "x" if d % 2 else None, d, float(rng.normal()) if (k, d) != (3, 4) else None) for k in range(40) for d in range(9)]
+    vectors = spark.createDataFrame(rows, "k long, c string, dim long, v double").repartition(3)
+    got = {(r.k, r.c, r.projection): r.projected for r in spectra.project(vectors, ["k", "c"], "dim", "v", 50).collect()}
+    spread = vectors.withColumn("projection", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))))
+    part = spectra.direction(F.col("projection"), F.col("dim"))
+    want = spread.groupBy("k", "c", "projection").agg((F.sum(F.col("v") * part) / F.sqrt(F.sum(part * part))).alias("p")).collect()
+    assert len(want) == len(got) == 40 * 2 * 50
+    assert all(got[r.k, r.c, r.projection] == pytest.approx(r.p, abs=1e-12) for r in want)
