@@ -21,7 +21,8 @@ all blocks afterwards. Different texts that are alike but do not link have to be
 made for clustered documents alone, from their texts.
 
 Defined cases. Texts without words have an empty set and link with nothing. With fewer words than ``width`` the whole sequence is
-the one shingle. Repeated rows and equal texts are one class; different texts under one ``doc_id`` count as linked. Rows without ``doc_id`` are returned
+the one shingle. Repeated rows and equal texts are one class. Different texts under one ``doc_id`` are not linked by it, but the id stands for
+all of them in names and bodies: give them ids of their own first, as ``corpus_pipeline.named_texts`` does. Rows without ``doc_id`` are returned
 with a null ``component_id`` and link nothing. An empty table gives an empty result. Columns beyond ``doc_id`` and ``text`` are not read.
 """
 

@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chronofid.llm import mixing
 
+from .conftest import sentence
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -32,8 +35,28 @@ def test_each_stage_on_messy_and_no_rows(spark, folder, name, stage):
 def test_one_document_of_each_group_stays(spark, folder, messy_rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect())
-    # 0..5 lead the copies and near copies; texts without words link with nothing.
-    assert got == sorted(["0", "1", "2", "3", "4", "5", "30", "31", "32", "33", "34", "35", "40", "41", "None", "None"])
+    # 0..5 lead the copies and near copies, one of them without an id; texts without words link with nothing.
+    assert got == sorted(["0", "1", "2", "3", "4", "5", "30", "31", "32", "33", "34", "35", "40", "41", "None"])
+
+
+A, B = sentence(random.Random(1), 60), sentence(random.Random(2), 60)
+REPEATED = [
+    ([(3, A), (5, A), (5, B)], [(3, A), (5, B)]),
+    ([(3, B), (5, A), (5, B)], [(3, B), (5, A)]),
+    ([(5, A), (5, A), (5, B), (5, B + " tail")], [(5, A), (5, B)]),
+    ([(None, A), (None, A), (None, B), (2, B), (None, None), (None, "")], [(2, B), (None, A), (None, None), (None, "")]),
+    ([((1 << 63) - 1, A), ((1 << 63) - 1, B)], [((1 << 63) - 1, A), ((1 << 63) - 1, B)]),
+]
+
+
+@pytest.mark.parametrize("rows, want", REPEATED)
+def test_no_text_is_lost_under_a_repeated_id(spark, rows, want):
+    for seed in range(2):
+        order = random.Random(seed).sample(rows, len(rows))
+        docs = spark.createDataFrame([(d, t, f"s{k}") for k, (d, t) in enumerate(order)], "doc_id long, text string, source string")
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+        near = lambda pairs: sorted((str(d), (t or "").removesuffix(" tail")) for d, t in pairs)
+        assert near(got) == near(want)
 
 
 def test_a_leak_takes_only_its_own_text(spark, folder, messy_rows):
