@@ -21,7 +21,7 @@ from chronofid.plans.columns import covered_share
 from chronofid.plans.roles import pair_of
 from chronofid.sources import scores as sc
 from chronofid.sources import tables as src
-from chronofid.session import shared_folder
+from chronofid.session import checkpointed, shared_folder
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -334,3 +334,48 @@ def snk2(spark, folder):
     path = shared_folder(spark)
     sc.write_scores(scores(spark, folder), path)
     return spark.read.parquet(path)
+
+
+def score_files(spark, folder):
+    """JSON score files that Spark writes, one per event type (as model) and family, and a second one for ``sd``."""
+    models = table(spark, folder, "events").groupBy(F.col("event_type").alias("model")).agg(
+        F.avg("value").alias("a"), F.avg(F.get_json_object("props", "$.k").cast("double")).alias("b"),
+        F.max("value").alias("m"), F.count(F.lit(1)).cast("double").alias("n"),
+    )
+    entry = lambda *pairs: F.create_map(*[x for name, value in pairs for x in (F.lit(name), value)])
+    per_metric = F.struct(
+        F.struct(F.col("a").alias("x"), F.col("b").alias("y")).alias("sequence_length_similarity_users"),
+        F.col("n").alias("temporal_cardinality_shape_similarity"),
+    )
+    summary = entry(("sequence_length_similarity", F.col("a")), ("temporal_cardinality_shape_similarity_all", F.col("b")), ("dynamic_khop", F.col("m")))
+    details = entry(("dynamic_khop_1", F.struct((F.col("b") * 2).alias("score"))))
+    bodies = {
+        "structural": F.struct(summary.alias("summary"), F.when(F.col("n") % 2 == 0, per_metric).alias("per_metric"), details.alias("details")),
+        "sd": F.struct(entry(("KSComplement", F.col("a")), ("TVComplement", F.col("b"))).alias("summary")),
+        "sd 2": F.struct(entry(("KSComplement", F.col("m"))).alias("summary")),
+        "timestamp": F.struct(entry(("GridCompleteness", F.col("n"))).alias("summary")),
+    }
+    written = models.select("model", *[body.alias(name) for name, body in bodies.items()])
+    root = shared_folder(spark)
+    # A file is named by its folders, so each of these few rows is a write of its own.
+    written = checkpointed(written)
+    for row in written.select("model").collect():
+        for name in bodies:
+            path = f"{root}/events/{row['model']}/{name.split()[0]}"
+            body = written.where(F.col("model") == row["model"]).select(F.col(f"`{name}`").alias("body")).select("body.*")
+            sc.write_score_file(body, path)
+    return root
+
+
+@add("snk3_score_files", """
+WITH s AS (SELECT event_type AS model, avg(value) AS a, avg(CAST(regexp_extract(props, '-?[0-9]+') AS DOUBLE)) AS b, max(value) AS m, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1),
+f AS (
+  SELECT model, 'default' AS variant, 'sd' AS family, 'KSComplement' AS metric, (a + m) / 2 AS score FROM s
+  UNION ALL SELECT model, 'default', 'sd', 'TVComplement', b FROM s
+  UNION ALL SELECT model, 'raw', 'timestamp', 'GridCompleteness', n FROM s
+  UNION ALL SELECT model, 'default', 'structural', 'SequenceLengthSimilarity', CASE WHEN n % 2 = 0 THEN (a + b) / 2 ELSE a END FROM s
+  UNION ALL SELECT model, 'default', 'structural', 'TemporalCardinalityShapeSimilarity', CASE WHEN n % 2 = 0 THEN n ELSE b END FROM s
+  UNION ALL SELECT model, 'default', 'structural', 'DynamicKHopCorrelationSimilarity', CASE WHEN n % 2 = 0 THEN m ELSE b * 2 END FROM s)
+SELECT 'events' AS dataset, model, variant, family, metric, round(score, 6) AS score FROM f""")
+def snk3(spark, folder):
+    return sc.read_score_files(spark, score_files(spark, folder))

@@ -50,6 +50,11 @@ def write_scores(scores: DataFrame, path: str, fmt: str = "parquet") -> None:
     clean.write.mode("append").partitionBy("dataset", "family").format(fmt).save(path)
 
 
+def write_score_file(bodies: DataFrame, folder: str) -> None:
+    """Add a JSON file with the one row of ``bodies`` (``summary``, ``per_metric``, ``details``) to ``folder``."""
+    bodies.coalesce(1).write.mode("append").json(folder)
+
+
 def canonical_metric(metric: str) -> Column:
     """Current score name of an older or prefixed one."""
     name = F.col(metric)
