@@ -74,6 +74,25 @@ def u2(spark, folder):
     return ut.train_synthetic_test_real(features(spark, folder), labels(spark, folder), ["user_id"], FEATURES, "label", SEED)
 
 
+def level(value):
+    """Three classes of an entity's mean value."""
+    return F.when(value < 40, 0).when(value < 55, 1).otherwise(2)
+
+
+@add("u2_train_synthetic_test_real_classes")
+def u2_classes(spark, folder):
+    values = ut.entity_value(events(spark, folder), ENTITY, "value", "mean")
+    labelled = values.select(*ENTITY, level(F.col("value")).alias("label"))
+    return ut.train_synthetic_test_real(features(spark, folder), labelled, ["user_id"], FEATURES, "label", SEED, "classes", 3)
+
+
+@add("u2_train_synthetic_test_real_regression")
+def u2_regression(spark, folder):
+    values = ut.entity_value(events(spark, folder), ENTITY, "value", "last", ["ts", "event_id"])
+    labelled = values.select(*ENTITY, F.col("value").alias("label"))
+    return ut.train_synthetic_test_real(features(spark, folder), labelled, ["user_id"], FEATURES, "label", SEED, "regression")
+
+
 @add("u3_detection")
 def u3(spark, folder):
     return ut.detection(features(spark, folder), ["user_id"], FEATURES, SEED)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,22 +205,70 @@ def fit_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str,
     return scored.withColumn("probability", vector_to_array("probability")[1]).select(*test.columns, "prediction", "probability")
 
 
+def fit_classes(train: DataFrame, test: DataFrame, cols: list[str], label: str, classes: int, seed: int) -> DataFrame:
+    """Trees for each class 0, 1, … against the rest: ``scores`` per class and the class with the best as ``prediction``.
+
+    A class that ``train`` lacks scores 0. The majority class where features or classes are degenerate.
+    """
+    usable = varying(train, cols)
+    present = sorted(r[0] for r in train.select(label).distinct().collect() if r[0] is not None)
+    if not usable or len(present) < 2:
+        top = majority_baseline(train, test, label).drop("probability")
+        return top.withColumn("scores", F.array(*[(F.col("prediction") == c).cast("double") for c in range(classes)]))
+    assembler = VectorAssembler(inputCols=usable, outputCol="features")
+    ready = assembler.transform(train.na.fill(0.0, usable)).select("features", label)
+    ready, scored = checkpointed(ready), assembler.transform(test.na.fill(0.0, usable))
+    for c in present:
+        learner = GBTClassifier(labelCol="_is", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=seed)
+        model = learner.fit(ready.withColumn("_is", (F.col(label) == c).cast("int")))
+        score = vector_to_array("probability")[1].alias(f"_score{c}")
+        scored = model.transform(scored).select(*scored.columns, score)
+    scores = F.array(*[F.col(f"_score{c}") if c in present else F.lit(0.0) for c in range(classes)])
+    best = (F.array_position("scores", F.array_max("scores")) - 1).cast("int")
+    return scored.withColumn("scores", scores).withColumn("prediction", best).select(*test.columns, "prediction", "scores")
+
+
+def fit_number(train: DataFrame, test: DataFrame, cols: list[str], label: str, seed: int) -> DataFrame:
+    """Trees for a number; the mean label where features or labels are degenerate."""
+    usable = varying(train, cols)
+    if not usable or not varying(train, [label]):
+        return mean_baseline(train, test, label)
+    assembler = VectorAssembler(inputCols=usable, outputCol="features")
+    learner = GBTRegressor(labelCol=label, featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=seed)
+    model = learner.fit(assembler.transform(train.na.fill(0.0, usable)))
+    return model.transform(assembler.transform(test.na.fill(0.0, usable))).select(*test.columns, "prediction")
+
+
 def train_synthetic_test_real(
-    features: DataFrame, labels: DataFrame, ids: list[str], cols: list[str], label: str, seed: int
+    features: DataFrame, labels: DataFrame, ids: list[str], cols: list[str], label: str, seed: int, task: str = "binary", classes: int = 2
 ) -> DataFrame:
     """Scores on held-out real entities of a model trained on synthetic ones and of one trained on real ones.
 
-    ``features`` and ``labels`` carry ``is_synth``; the test part is a fifth of each real class.
+    ``features`` and ``labels`` carry ``is_synth``; the test part is a fifth of each real class, or of the real
+    entities for the ``task`` ``regression``. Labels of the task ``classes`` are 0 to ``classes`` - 1.
     """
+    if task not in ("binary", "classes", "regression"):
+        raise ValueError(f"task must be binary, classes or regression, not {task!r}")
     joined = features.join(labels.where(F.col(label).isNotNull()).select(SYNTH, *ids, label), [SYNTH, *ids], "inner")
     joined = checkpointed(joined)
-    real = checkpointed(stratified_split(joined.where(~F.col(SYNTH)), label, ids, seed))
+    stratum = F.lit(0) if task == "regression" else F.col(label)
+    split = stratified_split(joined.where(~F.col(SYNTH)).withColumn("_stratum", stratum), "_stratum", ids, seed).drop("_stratum")
+    real = checkpointed(split)
     test = real.where("is_test").drop("is_test")
     runs = {"synthetic": joined.where(SYNTH), "real": real.where(~F.col("is_test")).drop("is_test")}
-    scored = union_all([
-        fit_predict(train, test, cols, label, seed).withColumn("train", F.lit(name)) for name, train in runs.items()
-    ])
-    return binary_report(scored, label, keys=["train"]).withColumn("seed", F.lit(seed))
+    if task == "binary":
+        scored = union_all([
+            fit_predict(train, test, cols, label, seed).withColumn("train", F.lit(name)) for name, train in runs.items()
+        ])
+        return binary_report(scored, label, keys=["train"]).withColumn("seed", F.lit(seed))
+    reports = []
+    for name, train in runs.items():
+        if task == "classes":
+            report = multiclass_report(checkpointed(fit_classes(train, test, cols, label, classes, seed)), label)
+        else:
+            report = regression_report(fit_number(train, test, cols, label, seed), label)
+        reports.append(report.select(F.lit(name).alias("train"), "*", F.lit(seed).alias("seed")))
+    return union_all(reports)
 
 
 def detection(features: DataFrame, ids: list[str], cols: list[str], seed: int, folds: int = 5) -> DataFrame:
