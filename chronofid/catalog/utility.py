@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofid.catalog.base import EV, Catalogue, ctes, events, table
 from chronofid.operators.encode import varying
+from chronofid.plans import repeated as rep
 from chronofid.plans import utility as ut
 
 CATALOGUE = Catalogue()
@@ -178,6 +179,71 @@ def u6(spark, folder):
     return ut.over_seeds(runs, ["method"], ["a", "b"])
 
 
+SEEDS = [1, 2, 3]
+RUN_METRICS = [*rep.METRICS, "train_rows", "test_rows", "features"]
+#: Scaled features in long form; ``SHAPES`` takes the training rows of every model from ``seen``.
+LONG = f"""lng AS (UNPIVOT (SELECT is_synth, user_id, {", ".join(f"coalesce({f}, 0) AS {f}" for f in FEATURES)} FROM feat) ON {", ".join(FEATURES)} INTO NAME f VALUE x),
+zs AS (SELECT is_synth, user_id, f, coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0) AS z FROM lng WINDOW w AS (PARTITION BY f)),
+sd AS (SELECT unnest({SEEDS}) AS seed)"""
+
+
+def _runs_sql(keys: str, classes: int) -> str:
+    """CTEs from ``seen`` (training rows per model, with ``y``) and ``judged`` (rows to score, with ``y``) to ``r``, one row per model."""
+    return f"""shp AS (SELECT {keys}, y, f, count(*) AS n, avg(z) AS m, var_pop(z) + {rep.SMOOTHING} AS v, min(z) AS lo, max(z) AS hi FROM seen JOIN zs USING (is_synth, user_id) GROUP BY ALL),
+wt AS (SELECT {keys}, is_synth, user_id, judged.y, shp.y AS c, round(ln(max(n)) - sum((z - m) * (z - m) / (2 * v) + ln(v) / 2), 6) AS w
+  FROM judged JOIN zs USING (is_synth, user_id) JOIN shp USING ({keys}, f) GROUP BY ALL),
+pr AS (SELECT {keys}, is_synth, user_id, y, arg_max(c, w * 1000000 - c / 10.0) AS p, {", ".join(f"max(w) FILTER (c = {k}) AS w{k}" for k in range(classes))} FROM wt GROUP BY ALL),
+cl AS (SELECT unnest(range({classes})) AS c),
+sc AS (SELECT {keys}, y, p, c, CASE c {" ".join(f"WHEN {k} THEN w{k}" + (f" - w{1 - k}" if classes == 2 else "") for k in range(classes))} END AS s FROM pr, cl),
+ar AS (SELECT {keys}, c, sum(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) / count(*) AS auc
+  FROM sc a JOIN sc b USING ({keys}, c) WHERE a.y = c AND b.y <> c GROUP BY ALL),
+pc AS (SELECT {keys}, c, count(*) FILTER (y = c) AS sup, count(*) FILTER (p = c) AS called, count(*) FILTER (y = c AND p = c) AS tp, count(*) AS test_rows FROM sc GROUP BY ALL),
+vary AS (SELECT {keys}, count(*) AS features FROM (SELECT {keys}, f FROM shp GROUP BY ALL HAVING min(lo) < max(hi)) q GROUP BY ALL),
+tr AS (SELECT {keys}, count(*) AS train_rows FROM seen GROUP BY ALL)"""
+
+
+BINARY_RUNS = """SELECT {keys}, auc, (pc.tp + test_rows - sup - called + pc.tp) / test_rows::DOUBLE AS accuracy, coalesce(2.0 * tp / nullif(sup + called, 0), 0) AS f1,
+  coalesce(1.0 * tp / nullif(sup, 0), 0) AS recall, coalesce(1.0 * tp / nullif(called, 0), 0) AS precision, train_rows, test_rows, features
+  FROM pc LEFT JOIN ar USING ({keys}, c) JOIN tr USING ({keys}) JOIN vary USING ({keys}) WHERE c = 1"""
+CLASS_RUNS = """SELECT {keys}, sum(sup * auc) / sum(sup) FILTER (auc IS NOT NULL) AS auc, sum(tp) / sum(sup)::DOUBLE AS accuracy, sum(sup * 2.0 * tp / (sup + called)) / sum(sup) AS f1,
+  sum(tp) / sum(sup)::DOUBLE AS recall, sum(CASE WHEN called > 0 THEN sup * 1.0 * tp / called ELSE 0 END) / sum(sup) AS precision, max(train_rows) AS train_rows, max(test_rows) AS test_rows, max(features) AS features
+  FROM pc LEFT JOIN ar USING ({keys}, c) JOIN tr USING ({keys}) JOIN vary USING ({keys}) WHERE sup > 0 GROUP BY ALL"""
+_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std" for m in RUN_METRICS)
+FOLDS_SQL = """pl AS (SELECT seed, is_synth, user_id, CAST(is_synth AS INTEGER) AS y,
+  (row_number() OVER (PARTITION BY seed, is_synth ORDER BY md5(seed || ':' || is_synth || ':' || user_id), is_synth, user_id) - 1) % 5 AS fold FROM feat, sd),
+judged AS (SELECT * FROM pl),
+seen AS (SELECT t.seed, t.fold, r.is_synth, r.user_id, r.y FROM (SELECT DISTINCT seed, fold FROM pl) t JOIN pl r ON r.seed = t.seed AND r.fold <> t.fold)"""
+HELD_SQL = """pl AS (SELECT seed, is_synth, user_id, y, row_number() OVER (PARTITION BY seed, is_synth, y ORDER BY md5(seed || ':' || is_synth || ':' || user_id), is_synth, user_id) - 1
+  < round_even(count(*) OVER (PARTITION BY seed, is_synth, y) * 0.2, 0) AS held FROM lb, sd),
+seen AS (SELECT seed, CASE WHEN is_synth THEN 'synthetic' ELSE 'real' END AS train, is_synth, user_id, y FROM pl WHERE NOT held),
+judged AS (SELECT seed, train, is_synth, user_id, y FROM pl, (SELECT DISTINCT train FROM seen) t WHERE held AND NOT is_synth)"""
+
+
+@add("u3_detection_over_seeds", ctes(EV, FEAT, LONG, FOLDS_SQL, _runs_sql("seed, fold", 2), f"r AS ({BINARY_RUNS.format(keys='seed, fold')})") + f"""
+SELECT {_MEANS}, count(*) AS runs FROM (SELECT seed, {", ".join(f"avg({m}) AS {m}" for m in RUN_METRICS)} FROM r GROUP BY 1) q""")
+def u3_seeds(spark, folder):
+    runs = rep.detection_runs(features(spark, folder), ["user_id"], FEATURES, SEEDS)
+    return ut.over_seeds(rep.averaged_folds(runs, [], RUN_METRICS), [], RUN_METRICS)
+
+
+@add("u2_utility_over_seeds", ctes(EV, FEAT, LONG, """v AS (SELECT syn AS is_synth, user_id, avg(value) AS value FROM ev GROUP BY 1, 2),
+lb AS (SELECT is_synth, user_id, CAST(value >= (SELECT median(value) FROM v WHERE NOT is_synth) AS INTEGER) AS y FROM v)""",
+    HELD_SQL, _runs_sql("seed, train", 2), f"r AS ({BINARY_RUNS.format(keys='seed, train')})") + f"SELECT train, {_MEANS}, count(*) AS runs FROM r GROUP BY 1")
+def u2_seeds(spark, folder):
+    runs = rep.utility_runs(features(spark, folder), labels(spark, folder), ["user_id"], FEATURES, "label", SEEDS)
+    return ut.over_seeds(runs, ["train"], RUN_METRICS)
+
+
+@add("u2_utility_over_seeds_classes", ctes(EV, FEAT, LONG, """v AS (SELECT syn AS is_synth, user_id, avg(value) AS value FROM ev GROUP BY 1, 2),
+lb AS (SELECT is_synth, user_id, CASE WHEN value < 40 THEN 0 WHEN value < 55 THEN 1 ELSE 2 END AS y FROM v)""",
+    HELD_SQL, _runs_sql("seed, train", 3), f"r AS ({CLASS_RUNS.format(keys='seed, train')})") + f"SELECT train, {_MEANS}, count(*) AS runs FROM r GROUP BY 1")
+def u2_seeds_classes(spark, folder):
+    values = ut.entity_value(events(spark, folder), ENTITY, "value", "mean")
+    labelled = values.select(*ENTITY, level(F.col("value")).alias("label"))
+    runs = rep.utility_runs(features(spark, folder), labelled, ["user_id"], FEATURES, "label", SEEDS, classes=3)
+    return ut.over_seeds(runs, ["train"], RUN_METRICS)
+
+
 @add("fil6_varying_features", """
 WITH d AS (SELECT *, 1 AS constant FROM customer)
 SELECT 'c_custkey' AS feature FROM d HAVING count(DISTINCT c_custkey) > 1 UNION ALL SELECT 'c_acctbal' FROM d HAVING count(DISTINCT c_acctbal) > 1

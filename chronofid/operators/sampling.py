@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofid.operators.ordered import ordered
 
 
-def draw(ids: list[str], seed: int) -> Column:
+def draw(ids: list[str], seed: int | Column) -> Column:
     """Pseudo-random order key of a row, the same on every run and engine."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
+    text = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", text, *[F.col(c).cast("string") for c in ids]))
 
 
 def sample_entities(df: DataFrame, keys: list[str], n: int | None, seed: int) -> DataFrame:
@@ -30,6 +33,15 @@ def stratified_position(df: DataFrame, label: str, ids: list[str], seed: int) ->
     return placed.join(sizes, placed[label].eqNullSafe(sizes[label]), "left").drop(sizes[label]).drop("_draw")
 
 
+def seeded_positions(df: DataFrame, label: str, ids: list[str], seeds: Iterable[int]) -> DataFrame:
+    """``seed, label, ids, _pos, _size``: ``stratified_position`` for each of several seeds in one job, without other columns."""
+    each = df.select(label, *ids).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    drawn = each.withColumn("_draw", draw(ids, F.col("seed")))
+    placed = ordered(drawn, ["seed", label], ["_draw", *ids]).numbered("_pos").result().drop("_draw")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
+    return placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+
+
 def stratified_split(df: DataFrame, label: str, ids: list[str], seed: int, test_ratio: float = 0.2) -> DataFrame:
     """Adds ``is_test``: each label gives the same share of its rows to the test part."""
     placed = stratified_position(df, label, ids, seed)

@@ -133,16 +133,19 @@ def binary_report(
     )
 
 
-def multiclass_report(df: DataFrame, label: str = "label", pred: str = "prediction", scores: str = "scores") -> DataFrame:
-    """Scores weighted by class size. ``scores`` holds one score per class, classes being 0, 1, …"""
-    pairs = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
+def multiclass_report(
+    df: DataFrame, label: str = "label", pred: str = "prediction", scores: str = "scores", keys: list[str] = ()
+) -> DataFrame:
+    """Scores weighted by class size, per key. ``scores`` holds one score per class, classes being 0, 1, …"""
+    keys = list(keys)
+    pairs = df.groupBy(*keys, label, pred).agg(F.count(F.lit(1)).alias("n"))
     hit = F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0)
-    actual = pairs.groupBy(F.col(label).alias("c")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
-    called = pairs.groupBy(F.col(pred).alias("c")).agg(F.sum("n").alias("called"))
-    per_class = actual.join(called, "c", "left").na.fill(0, ["called"])
-    long = df.select(label, F.posexplode(scores).alias("c", "score"))
-    areas = auc(long, ["c"], F.col(label) == F.col("c"), "score")
-    per_class = per_class.join(areas, "c", "left")
+    actual = pairs.groupBy(*keys, F.col(label).alias("c")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
+    called = pairs.groupBy(*keys, F.col(pred).alias("c")).agg(F.sum("n").alias("called"))
+    per_class = actual.join(called, [*keys, "c"], "left").na.fill(0, ["called"])
+    long = df.select(*keys, label, F.posexplode(scores).alias("c", "score"))
+    areas = auc(long, [*keys, "c"], F.col(label) == F.col("c"), "score")
+    per_class = per_class.join(areas, [*keys, "c"], "left")
     zero = F.lit(0.0)
     w = F.col("support")
     total = F.sum(w)
@@ -150,7 +153,7 @@ def multiclass_report(df: DataFrame, label: str = "label", pred: str = "predicti
     def weighted(x: Column) -> Column:
         return F.try_divide(F.sum(w * F.coalesce(x, zero)), total)
 
-    return per_class.agg(
+    return per_class.groupBy(*keys).agg(
         F.when(F.count("auc") > 0, F.try_divide(F.sum(w * F.col("auc")), F.sum(F.when(F.col("auc").isNotNull(), w)))).alias("auc"),
         F.try_divide(F.sum("tp"), total).alias("accuracy"),
         weighted(F.try_divide(2 * F.col("tp"), w + F.col("called"))).alias("f1"),
