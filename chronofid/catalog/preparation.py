@@ -175,6 +175,17 @@ def prj12(spark, folder):
     return encode.expand_categories(df, df.where(F.col("event_type").isin("click", "error")), ["event_type"])
 
 
+@add("prj12_sparse_indicators", """
+WITH cells AS (SELECT o_orderkey, 'o_orderdate' AS "column", CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS category FROM orders
+  UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders),
+known AS (SELECT "column", category, row_number() OVER (PARTITION BY "column" ORDER BY category) - 1 AS category_id
+  FROM (SELECT DISTINCT "column", category FROM cells WHERE o_orderkey % 2 = 0) q)
+SELECT o_orderkey, "column", coalesce(category_id, -1) AS category_id, CAST(1 AS DOUBLE) AS indicator FROM cells LEFT JOIN known USING ("column", category)""")
+def prj12_sparse(spark, folder):
+    df = table(spark, folder, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    return encode.sparse_indicators(df, df.where("o_orderkey % 2 = 0"), ["o_orderkey"], ["o_orderdate", "o_orderpriority", "o_custkey"])
+
+
 @add("prj13_packed_dates", """SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS from_number, CAST(o_orderdate AS TIMESTAMP) AS year_last FROM orders""")
 def prj13(spark, folder):
     number = F.date_format("o_orderdate", "yyyyMMdd").cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronofid.catalog import sections as sec
 from chronofid.catalog.base import EV, EVENT_ROLES, Catalogue, ctes, events, ks_cte
 from chronofid.operators import fill
 from chronofid.operators.spectra import (
@@ -11,6 +12,7 @@ from chronofid.operators.spectra import (
 )
 from chronofid.plans import panel
 from chronofid.plans import trajectories as tr
+from chronofid.plans.metrics import Scan, evaluate
 from chronofid.plans.roles import TableRoles
 
 CATALOGUE = Catalogue()
@@ -312,17 +314,33 @@ def srt2(spark, folder):
     return l7(spark, folder).where(F.col("feature") != "*").select("feature", "rank")
 
 
-@add("l8_longitudinal_suite", SPECTRUM + SLICED.replace(f"range(0, {RAYS})", f"range(0, {tr.PROJECTIONS})") + ", " + ", ".join([
+L8_SQL = (SPECTRUM + SLICED.replace(f"range(0, {RAYS})", f"range(0, {tr.PROJECTIONS})") + ", " + ", ".join([
     LONG, MOVES, ACF, """dd AS (SELECT * FROM (SELECT syn, feature, value - lag(value) OVER (PARTITION BY feature, syn, user_id ORDER BY day) AS d FROM long) q
   WHERE d IS NOT NULL)""", ks_cte("fd", "dd", "feature", "d")]) + L2 + f"""
 SELECT 'FirstDifferenceKSComplement' AS metric, feature, round(1 - ks, 6) AS score FROM fd
 UNION ALL SELECT 'AutoCorrelationSimilarity', * FROM ({S_ACF}) q
 UNION ALL SELECT 'SlicedTTWasserstein', feature, round(distance, 6) FROM dist
 UNION ALL SELECT 'TransitionMatrixTVDComplement', 'event_type', round(avg(1 - gap / (2 * c)), 6) FROM per, cats WHERE r > 0 AND s > 0""")
+
+
+@add("l8_longitudinal_suite", L8_SQL)
 def l8(spark, folder):
     return tr.suite(daily(spark, folder), DAILY_ROLES)
 
 
+#: Cross-sections of the daily table: what ``catalog.sections`` has for single events, with one category column.
+DAILY_D = "d AS (SELECT * FROM daily)"
+DAILY_CAT = "cat AS (SELECT syn, day, 'event_type' AS feature, event_type AS value FROM d)"
+
+
+@add("met1_two_families", "SELECT 'trajectories' AS family, * FROM (" + L8_SQL + """) t
+UNION ALL SELECT 'sections', * FROM (""" + ctes(EV, DAILY, DAILY_D, sec.NUM, DAILY_CAT, sec.KS, sec.TV, sec.STAT, sec.NP, sec.RHO, sec.BOUNDS, sec.SEEN)
+     + "\nUNION ALL ".join(f"SELECT '{m}' AS metric, feature, score FROM ({q}) q" for m, q in sec.S.items() if m != "CS-ContingencySim") + ") s")
+def met1(spark, folder):
+    """Longitudinal and cross-sectional scores of one table, which is read once for all of them."""
+    return evaluate(Scan(daily(spark, folder), DAILY_ROLES), ["trajectories", "sections"])
+
+
 @add("agg11_channel_zscore", ctes(EV, DAILY, LONG) + """, m AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sd FROM long WHERE NOT syn GROUP BY 1)
 SELECT syn AS is_synth, user_id, day, feature, round((value - mu) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END, 6) AS value FROM long JOIN m USING (feature)""")
 def agg11(spark, folder):

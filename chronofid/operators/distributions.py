@@ -46,6 +46,11 @@ def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None
     )
 
 
+def side_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, real_n, synth_n``: rows of either side per key."""
+    return df.groupBy(*keys).agg(real_count().alias("real_n"), synth_count().alias("synth_n"))
+
+
 def ecdf_distances(
     counts: DataFrame, keys: list[str], value: str, rows: int | None = None
 ) -> DataFrame:
@@ -76,7 +81,11 @@ def tvd_by(df: DataFrame, keys: list[str], cats: list[str]) -> DataFrame:
 
     Drop null rows first where they should not count. Null where one side is empty.
     """
-    cells = df.groupBy(*keys, *cats).agg(real_count().alias("real_n"), synth_count().alias("synth_n"))
+    return cell_distances(side_counts(df, [*keys, *cats]), keys)
+
+
+def cell_distances(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Total-variation distance per key from cells with ``real_n`` and ``synth_n``."""
     cells = with_totals(cells, keys, n_real="real_n", n_synth="synth_n")
     gap = F.abs(F.try_divide("real_n", "n_real") - F.try_divide("synth_n", "n_synth"))
     return cells.groupBy(*keys).agg(

@@ -9,6 +9,7 @@ from chronofid.functions.labels import indicators
 from chronofid.functions.numeric import bool_to_int, to_double, to_long
 from chronofid.functions.times import digits_to_time, month_number, parse_time
 from chronofid.operators.ordered import ordered
+from chronofid.operators.shape import FEATURE, VALUE, unpivot_labels
 
 NUMERIC_SHARE = 0.95
 #: Columns that the categories of one column may become.
@@ -53,7 +54,7 @@ def reference_categories(reference: DataFrame, c: str) -> list[str]:
     text = F.coalesce(F.col(c).cast("string"), F.lit("<NA>")).alias("v")
     found = [r["v"] for r in reference.select(text).distinct().limit(MAX_INDICATORS + 1).collect()]
     if len(found) > MAX_INDICATORS:
-        raise ValueError(f"{c} has over {MAX_INDICATORS} categories; name those that should become columns")
+        raise ValueError(f"{c} has over {MAX_INDICATORS} categories; name those that should become columns, or use sparse_indicators")
     return sorted(found)
 
 
@@ -66,6 +67,29 @@ def expand_categories(df: DataFrame, reference: DataFrame, cats: list[str], decl
     return df.withColumns(columns).drop(*cats)
 
 
+def category_dictionary(reference: DataFrame, cats: list[str]) -> DataFrame:
+    """``column, category, category_id``: the reference categories of each column, nulls reading ``<NA>``, numbered from 0 by name.
+
+    The dictionary is a table like any other; it may hold any number of categories and is never brought to one place.
+    """
+    values = unpivot_labels(reference, [], cats).select(F.col(FEATURE).alias("column"), F.coalesce(VALUE, F.lit("<NA>")).alias("category"))
+    return ordered(values.distinct(), ["column"], ["category"]).numbered("category_id").result()
+
+
+def sparse_indicators(df: DataFrame, reference: DataFrame, ids: list[str], cats: list[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """``ids, column, category_id, indicator``: the one indicator of each row and column that is 1, in long form.
+
+    ``expand_categories`` makes a column of each category, which suits the few that are declared; this form has one row per
+    cell however many categories there are. A value outside the dictionary has the id -1, the place of all other values.
+    """
+    known = category_dictionary(reference, cats) if dictionary is None else dictionary
+    cells = unpivot_labels(df, ids, cats).withColumn(VALUE, F.coalesce(VALUE, F.lit("<NA>")))
+    names = known.select(F.col("column").alias(FEATURE), F.col("category").alias(VALUE), "category_id")
+    placed = cells.join(names, [FEATURE, VALUE], "left")
+    place = F.coalesce("category_id", F.lit(UNKNOWN)).cast("long").alias("category_id")
+    return placed.select(*ids, F.col(FEATURE).alias("column"), place, F.lit(1.0).alias("indicator"))
+
+
 def dates_by_rank(df: DataFrame, reference: DataFrame, c: str) -> DataFrame:
     """Map texts that are no dates onto the reference dates by rank.
 

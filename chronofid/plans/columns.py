@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofid.functions.labels import whole_label
 from chronofid.operators.contingency import pair_distances
-from chronofid.operators.distributions import SYNTH, ks_by, medians, tvd_by
+from chronofid.operators.distributions import SYNTH, cell_distances, ecdf_distances, ks_by, medians, side_counts, tvd_by
 from chronofid.operators.moments import pair_correlations
 from chronofid.operators.shape import (
     FEATURE,
@@ -17,7 +17,8 @@ from chronofid.operators.shape import (
     unpivot_labels,
     unpivot_numbers,
 )
-from chronofid.plans.roles import named, union_all
+from chronofid.plans.metrics import Scan, evaluate, metric
+from chronofid.plans.roles import TableRoles, union_all
 
 STATISTICS = ["mean", "median", "std", "min", "max"]
 
@@ -53,6 +54,17 @@ def statistic_similarity(pair: DataFrame, nums: list[str]) -> DataFrame:
         F.avg(F.when(~F.col(SYNTH), F.col(VALUE))).alias("real"),
         F.avg(F.when(F.col(SYNTH), F.col(VALUE))).alias("synth"),
     )
+    return _mean_gap(means)
+
+
+def mean_similarity(counts: DataFrame) -> DataFrame:
+    """``statistic_similarity`` from counted values."""
+    return _mean_gap(counts.groupBy(FEATURE).agg(
+        *[F.try_divide(F.sum(F.col(VALUE) * F.col(f"{side}_n")), F.sum(f"{side}_n")).alias(side) for side in ("real", "synth")]
+    ))
+
+
+def _mean_gap(means: DataFrame) -> DataFrame:
     scale = F.greatest(F.abs("real"), F.abs("synth")) + 1e-6
     known = F.col("real").isNotNull() & F.col("synth").isNotNull()
     return means.select(FEATURE, F.when(known, 1 - F.abs(F.col("real") - F.col("synth")) / scale).alias("score"))
@@ -60,13 +72,13 @@ def statistic_similarity(pair: DataFrame, nums: list[str]) -> DataFrame:
 
 def seen_categories(long: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: number of real categories and how many of them the synthetic side has too."""
-    seen = long.where(F.col(VALUE).isNotNull()).groupBy(*keys, VALUE).agg(
-        F.bool_or(~F.col(SYNTH)).alias("real"), F.bool_or(SYNTH).alias("synth")
-    )
-    return seen.groupBy(*keys).agg(
-        F.sum(F.col("real").cast("long")).alias("real"),
-        F.sum((F.col("real") & F.col("synth")).cast("long")).alias("shared"),
-    )
+    return seen_cells(side_counts(long.where(F.col(VALUE).isNotNull()), [*keys, VALUE]), keys)
+
+
+def seen_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``seen_categories`` from counted categories."""
+    real, synth = F.col("real_n") > 0, F.col("synth_n") > 0
+    return cells.groupBy(*keys).agg(F.count_if(real).alias("real"), F.count_if(real & synth).alias("shared"))
 
 
 def category_coverage(pair: DataFrame, cats: list[str]) -> DataFrame:
@@ -82,6 +94,14 @@ def covered_share(long: DataFrame, keys: list[str]) -> DataFrame:
     return known.where(SYNTH).join(bounds, keys, "inner").groupBy(*keys).agg(F.avg(inside).alias("score"))
 
 
+def covered_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``covered_share`` from counted values."""
+    bounds = counts.where("real_n > 0").groupBy(*keys).agg(F.min(VALUE).alias("low"), F.max(VALUE).alias("high"))
+    inside = F.when(F.col(VALUE).between(F.col("low"), F.col("high")), F.col("synth_n")).otherwise(0)
+    covered = F.sum(inside) / F.sum("synth_n")
+    return counts.where("synth_n > 0").join(bounds, keys, "inner").groupBy(*keys).agg(covered.alias("score"))
+
+
 def range_coverage(pair: DataFrame, nums: list[str]) -> DataFrame:
     return covered_share(unpivot_numbers(pair, [SYNTH], nums), [FEATURE])
 
@@ -109,9 +129,9 @@ def contingency_similarity(pair: DataFrame, cats: list[str], pairs: list[tuple[s
     return pair_distances(labels(pair, cats), [], pairs, nulls=True).select(FEATURE, _both(1 - F.col("tvd")))
 
 
-def entity_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def entity_statistics(df: DataFrame, keys: list[str], value: str, rows: int | None = None) -> DataFrame:
     """Count, mean, median, sample deviation, minimum and maximum per group."""
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     plain = df.groupBy(*keys).agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
@@ -122,39 +142,82 @@ def entity_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return plain.join(medians(df, keys, {"median": value}, rows), keys, "left")
 
 
-def statistic_msas(pair: DataFrame, key: str, value: str, stats: list[str] | None = None) -> DataFrame:
+def statistic_msas(pair: DataFrame, key: str, value: str, stats: list[str] | None = None, n: int | None = None) -> DataFrame:
     """KS complement of a per-entity statistic, one row per statistic."""
     stats = STATISTICS if stats is None else stats
     rows = pair.withColumn(value, F.col(value).try_cast("double")).where(F.col(key).isNotNull())
-    per_entity = entity_statistics(rows, [SYNTH, key], value)
+    n = pair.count() if n is None else n
+    per_entity = entity_statistics(rows, [SYNTH, key], value, n)
     long = unpivot_numbers(per_entity, [SYNTH], stats)
-    ks = ks_by(long, [FEATURE], VALUE, pair.count() * len(stats))
+    ks = ks_by(long, [FEATURE], VALUE, n * len(stats))
     feature = F.concat(F.lit(f"{key} x {value} ["), F.col(FEATURE), F.lit("]"))
     return ks.select(feature.alias(FEATURE), _both(1 - F.col("ks")))
 
 
 def suite(pair: DataFrame, nums: list[str], cats: list[str], sequences: list[tuple[str, str]] = ()) -> DataFrame:
-    """All static scores of one table, one row per metric and feature."""
-
-    def rows(df: DataFrame, metric: str) -> DataFrame:
-        return named(df, metric, feature=F.col(FEATURE))
-
-    scores = []
-    if nums:
-        scores += [
-            rows(ks_complement(pair, nums), "KSComplement"),
-            rows(statistic_similarity(pair, nums), "StatisticSimilarity"),
-            rows(range_coverage(pair, nums), "RangeCoverage"),
-        ]
-    if len(nums) > 1:
-        scores.append(rows(correlation_similarity(pair, nums), "CorrelationSim"))
-    if cats:
-        scores += [
-            rows(tv_complement(pair, cats), "TVComplement"),
-            rows(category_coverage(pair, cats), "CategoryCoverage"),
-        ]
-    pairs = contingency_pairs(pair, cats) if len(cats) > 1 else []
-    if pairs:
-        scores.append(rows(contingency_similarity(pair, cats, pairs), "ContingencySim"))
-    scores += [rows(statistic_msas(pair, key, value), "StatisticMSAS") for key, value in sequences]
-    return union_all(scores)
+    """All static scores of one table, one row per metric and feature. ``sequences`` are pairs of a key and a value column."""
+    roles = TableRoles(key="", time="", row="", num_cols=list(nums), cat_cols=list(cats))
+    scan = Scan(pair, roles, {"sequences": list(sequences), "columns": [c for both in sequences for c in both]})
+    return evaluate(scan, ["static"]).drop("family")
+
+
+# ---- registered scores -----------------------------------------------------------------------------
+
+
+def _has_nums(scan: Scan) -> bool:
+    return bool(scan.roles.num_cols)
+
+
+def _has_cats(scan: Scan) -> bool:
+    return bool(scan.roles.cat_cols)
+
+
+def _label_counts(scan: Scan) -> DataFrame:
+    return scan.label_counts(labelled=lambda df: labels(df, scan.roles.cat_cols), name="whole")
+
+
+def _pairs(scan: Scan) -> list[tuple[str, str]]:
+    return column_pairs(scan.roles.cat_cols)
+
+
+@metric("static", "KSComplement", _has_nums)
+def _ks(scan: Scan) -> DataFrame:
+    ks = ecdf_distances(scan.number_counts(), [FEATURE], VALUE, scan.rows * len(scan.roles.num_cols))
+    return ks.select(FEATURE, _both(1 - F.col("ks")))
+
+
+@metric("static", "StatisticSimilarity", _has_nums)
+def _means(scan: Scan) -> DataFrame:
+    return mean_similarity(scan.number_counts())
+
+
+@metric("static", "RangeCoverage", _has_nums)
+def _range(scan: Scan) -> DataFrame:
+    return covered_counts(scan.number_counts(), [FEATURE])
+
+
+@metric("static", "CorrelationSim", lambda scan: len(scan.roles.num_cols) > 1)
+def _correlation(scan: Scan) -> DataFrame:
+    return correlation_similarity(scan.pair, scan.roles.num_cols)
+
+
+@metric("static", "TVComplement", _has_cats)
+def _tv(scan: Scan) -> DataFrame:
+    return cell_distances(_label_counts(scan), [FEATURE]).select(FEATURE, _both(1 - F.col("tvd")))
+
+
+@metric("static", "CategoryCoverage", _has_cats)
+def _coverage(scan: Scan) -> DataFrame:
+    seen = seen_cells(_label_counts(scan), [FEATURE])
+    return seen.select(FEATURE, F.when(F.col("real") > 0, F.col("shared") / F.col("real")).alias("score"))
+
+
+@metric("static", "ContingencySim", lambda scan: bool(_pairs(scan)))
+def _contingency(scan: Scan) -> DataFrame:
+    return contingency_similarity(scan.pair, scan.roles.cat_cols, _pairs(scan))
+
+
+@metric("static", "StatisticMSAS", lambda scan: bool(scan.options.get("sequences")))
+def _msas(scan: Scan) -> DataFrame:
+    each = [statistic_msas(scan.pair, key, value, n=scan.rows) for key, value in scan.options["sequences"]]
+    return union_all(each)

@@ -9,7 +9,7 @@ from chronofid.functions.labels import align_labels
 from chronofid.functions.numeric import clip01
 from chronofid.functions.times import coerce_time
 from chronofid.operators.contingency import pair_distances
-from chronofid.operators.distributions import SYNTH, ks_by, medians, tvd_by
+from chronofid.operators.distributions import SYNTH, cell_distances, ecdf_distances, ks_by, medians, tvd_by
 from chronofid.operators.moments import pair_correlations
 from chronofid.operators.shape import (
     FEATURE,
@@ -18,8 +18,9 @@ from chronofid.operators.shape import (
     unpivot_labels,
     unpivot_numbers,
 )
-from chronofid.plans.columns import covered_share, seen_categories
-from chronofid.plans.roles import TableRoles, named, union_all
+from chronofid.plans.columns import covered_counts, covered_share, seen_categories, seen_cells
+from chronofid.plans.metrics import Scan, evaluate, metric
+from chronofid.plans.roles import TableRoles
 
 RANGE_EPSILON = 1e-10
 MIN_CORR_ROWS = 3
@@ -55,9 +56,9 @@ def tv_complement(pair: DataFrame, roles: TableRoles) -> DataFrame:
     return _over_time(_shared(per_time), 1 - F.col("tvd"))
 
 
-def statistic_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def statistic_similarity(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     """Mean, median and deviation per timestamp, differences scaled by the real statistic's range."""
-    rows = pair.count() * len(roles.num_cols)
+    rows = (pair.count() if n is None else n) * len(roles.num_cols)
     long = _numbers(pair, roles)
     group = [FEATURE, roles.time, SYNTH]
     stats = long.groupBy(*group).agg(F.avg(VALUE).alias("mean"), F.stddev_pop(VALUE).alias("std"))
@@ -133,13 +134,64 @@ def prepare(pair: DataFrame, roles: TableRoles) -> DataFrame:
 
 def suite(pair: DataFrame, roles: TableRoles) -> DataFrame:
     """All cross-sectional scores, one row per metric and feature."""
-    scores = [
-        ("CS-KSComplement", ks_complement, roles.num_cols),
-        ("CS-StatisticSimilarity", statistic_similarity, roles.num_cols),
-        ("CS-RangeCoverage", range_coverage, roles.num_cols),
-        ("CS-TVComplement", tv_complement, roles.cat_cols),
-        ("CS-CategoryCoverage", category_coverage, roles.cat_cols),
-        ("CS-CorrelationSim", correlation_similarity, roles.num_cols[1:]),
-        ("CS-ContingencySim", contingency_similarity, roles.cat_cols[1:]),
-    ]
-    return union_all([named(f(pair, roles), m, feature=F.col(FEATURE)) for m, f, cols in scores if cols])
+    return evaluate(Scan(pair, roles), ["sections"]).drop("family")
+
+
+# ---- registered scores -----------------------------------------------------------------------------
+
+
+def _number_counts(scan: Scan) -> DataFrame:
+    return scan.number_counts([scan.roles.time])
+
+
+def _label_counts(scan: Scan) -> DataFrame:
+    """Categories as they stand; ``options["align"]`` gives both sides the labels that the real side calls for."""
+    if scan.options.get("align"):
+        return scan.label_counts([scan.roles.time], lambda df: align_labels(df, scan.roles.cat_cols), "aligned")
+    return scan.label_counts([scan.roles.time])
+
+
+def _has_nums(scan: Scan) -> bool:
+    return bool(scan.roles.num_cols)
+
+
+def _has_cats(scan: Scan) -> bool:
+    return bool(scan.roles.cat_cols)
+
+
+@metric("sections", "CS-KSComplement", _has_nums)
+def _ks(scan: Scan) -> DataFrame:
+    ks = ecdf_distances(_number_counts(scan), [FEATURE, scan.roles.time], VALUE, scan.rows * len(scan.roles.num_cols))
+    return _over_time(_shared(ks), 1 - F.col("ks"))
+
+
+@metric("sections", "CS-StatisticSimilarity", _has_nums)
+def _statistics(scan: Scan) -> DataFrame:
+    return statistic_similarity(scan.pair, scan.roles, scan.rows)
+
+
+@metric("sections", "CS-RangeCoverage", _has_nums)
+def _range(scan: Scan) -> DataFrame:
+    return _over_time(covered_counts(_number_counts(scan), [FEATURE, scan.roles.time]), F.col("score"))
+
+
+@metric("sections", "CS-TVComplement", _has_cats)
+def _tv(scan: Scan) -> DataFrame:
+    return _over_time(_shared(cell_distances(_label_counts(scan), [FEATURE, scan.roles.time])), 1 - F.col("tvd"))
+
+
+@metric("sections", "CS-CategoryCoverage", _has_cats)
+def _coverage(scan: Scan) -> DataFrame:
+    per_time = seen_cells(_label_counts(scan), [FEATURE, scan.roles.time]).where(F.col("real") > 0)
+    return _over_time(per_time, F.col("shared") / F.col("real"))
+
+
+@metric("sections", "CS-CorrelationSim", lambda scan: len(scan.roles.num_cols) > 1)
+def _correlation(scan: Scan) -> DataFrame:
+    return correlation_similarity(scan.pair, scan.roles)
+
+
+@metric("sections", "CS-ContingencySim", lambda scan: len(scan.roles.cat_cols) > 1)
+def _contingency(scan: Scan) -> DataFrame:
+    pair = align_labels(scan.pair, scan.roles.cat_cols) if scan.options.get("align") else scan.pair
+    return contingency_similarity(pair, scan.roles)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chronofid.operators.distributions import SYNTH, ks_by, medians
 from chronofid.operators.grid import overlap
 from chronofid.operators.ordered import ordered
-from chronofid.plans.roles import TableRoles, named, numeric_time, union_all
+from chronofid.plans.metrics import Scan, evaluate, metric
+from chronofid.plans.roles import TableRoles, numeric_time
 
 REGULAR_CV = 0.01
 INTERVAL_TOLERANCE = 0.01
@@ -38,9 +39,9 @@ def intervals(pair: DataFrame, roles: TableRoles, file_order: bool = False, rows
     )
 
 
-def order_consistency(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def order_consistency(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     synth = pair.where(SYNTH)
-    return share_without(intervals(synth, roles, file_order=True), F.col("interval") < 0, 1.0)
+    return share_without(intervals(synth, roles, file_order=True, rows=n), F.col("interval") < 0, 1.0)
 
 
 def _synthetic_steps(pair: DataFrame, roles: TableRoles, steps: DataFrame | None) -> DataFrame:
@@ -58,8 +59,8 @@ def durations(pair: DataFrame, roles: TableRoles) -> DataFrame:
     return keyed.groupBy(SYNTH, roles.key).agg(length.alias("duration"))
 
 
-def duration_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
-    return complement(ks_by(durations(pair, roles), [], "duration", pair.count()), 0.0)
+def duration_similarity(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
+    return complement(ks_by(durations(pair, roles), [], "duration", pair.count() if n is None else n), 0.0)
 
 
 def range_compliance(pair: DataFrame, roles: TableRoles, representation: str) -> DataFrame:
@@ -104,7 +105,7 @@ def regularity(pair: DataFrame, roles: TableRoles, interval: float, steps: DataF
     return share_without(_synthetic_steps(pair, roles, steps), off, 0.0)
 
 
-def grid_completeness(pair: DataFrame, roles: TableRoles, interval: float) -> DataFrame:
+def grid_completeness(pair: DataFrame, roles: TableRoles, interval: float, n: int | None = None) -> DataFrame:
     """Overlap of grid occupancy, with its support and multiplicity parts.
 
     A real trajectory occupies as many grid cells in a row as it has distinct positions; a synthetic
@@ -114,7 +115,7 @@ def grid_completeness(pair: DataFrame, roles: TableRoles, interval: float) -> Da
     cell = F.rint(F.col(roles.time) / interval).cast("long")
     seen = timed.select(SYNTH, roles.key, cell.alias("cell")).distinct()
     runs = seen.where(~F.col(SYNTH)).groupBy(roles.key).agg(F.min("cell").alias("lo"), F.count("cell").alias("n"))
-    parts = overlap(runs, seen.where(SYNTH), 3 * pair.count())
+    parts = overlap(runs, seen.where(SYNTH), 3 * (pair.count() if n is None else n))
     return parts.select(
         F.try_divide("covered", "total").alias("score"),
         F.try_divide("shared", "support").alias("support_coverage"),
@@ -122,16 +123,16 @@ def grid_completeness(pair: DataFrame, roles: TableRoles, interval: float) -> Da
     )
 
 
-def interval_similarity(pair: DataFrame, roles: TableRoles, steps: DataFrame | None = None) -> DataFrame:
-    n = pair.count()
+def interval_similarity(pair: DataFrame, roles: TableRoles, steps: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    n = pair.count() if n is None else n
     steps = intervals(pair, roles, rows=n) if steps is None else steps
     return complement(ks_by(steps, [], "interval", n), 0.0)
 
 
-def periodicity(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def periodicity(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     """One row: Regular or Irregular, and the representative interval of a regular table."""
     real = pair.where(~F.col(SYNTH))
-    n = real.count()
+    n = real.count() if n is None else n
     steps = intervals(real, roles, rows=n)
     middle = medians(steps, [], {"median": "interval"}, n)
     stats = steps.agg(F.avg("interval").alias("mean"), F.stddev_pop("interval").alias("std"))
@@ -175,28 +176,65 @@ def elapsed_time(pair: DataFrame, roles: TableRoles) -> DataFrame:
 
 def suite(pair: DataFrame, roles: TableRoles) -> DataFrame:
     """All timestamp scores of one table; those that do not apply are null."""
-    kind = periodicity(pair, roles).first()
-    rep = representation(pair, roles).first()["representation"]
-    # Equal subplans share one exchange, so the table is shuffled once for all interval scores.
-    steps = intervals(pair, roles, rows=pair.count())
-    scores = [
-        named(order_consistency(pair, roles), "TemporalOrderConsistency"),
-        named(uniqueness(pair, roles, steps), "TimestampUniqueness"),
-        named(duration_similarity(pair, roles), "TrajectoryDurationSimilarity"),
-        named(range_compliance(pair, roles, rep), "TemporalRangeCompliance"),
-    ]
-    none = pair.sparkSession.range(1).select(F.lit(None).cast("double").alias("score"))
-    if kind["periodicity"] == "Regular" and kind["interval"] is not None:
-        scores += [
-            named(regularity(pair, roles, kind["interval"], steps), "RegularityConsistency"),
-            named(grid_completeness(pair, roles, kind["interval"]), "GridCompleteness"),
-            named(none, "TimeIntervalDistributionSim"),
-        ]
-    else:
-        irregular = interval_similarity(pair, roles, steps) if kind["periodicity"] == "Irregular" else none
-        scores += [
-            named(none, "RegularityConsistency"),
-            named(none, "GridCompleteness"),
-            named(irregular, "TimeIntervalDistributionSim"),
-        ]
-    return union_all(scores)
+    return evaluate(Scan(pair, roles), ["timestamps"]).drop("family")
+
+
+# ---- registered scores -----------------------------------------------------------------------------
+
+
+def _steps(scan: Scan) -> DataFrame:
+    """Intervals of both sides: equal subplans share one exchange, so the table is shuffled once for all interval scores."""
+    return scan.once("steps", lambda: intervals(scan.pair, scan.roles, rows=scan.rows))
+
+
+def _kind(scan: Scan) -> tuple[str, float | None]:
+    row = scan.once("periodicity", lambda: periodicity(scan.pair, scan.roles, scan.rows).first())
+    return row["periodicity"], row["interval"]
+
+
+def _step(scan: Scan) -> float | None:
+    """The representative interval of a regular table."""
+    kind, interval = _kind(scan)
+    return interval if kind == "Regular" else None
+
+
+def _none(scan: Scan) -> DataFrame:
+    return scan.pair.sparkSession.range(1).select(F.lit(None).cast("double").alias("score"))
+
+
+@metric("timestamps", "TemporalOrderConsistency")
+def _order(scan: Scan) -> DataFrame:
+    return order_consistency(scan.pair, scan.roles, scan.rows)
+
+
+@metric("timestamps", "TimestampUniqueness")
+def _uniqueness(scan: Scan) -> DataFrame:
+    return uniqueness(scan.pair, scan.roles, _steps(scan))
+
+
+@metric("timestamps", "TrajectoryDurationSimilarity")
+def _duration(scan: Scan) -> DataFrame:
+    return duration_similarity(scan.pair, scan.roles, scan.rows)
+
+
+@metric("timestamps", "TemporalRangeCompliance")
+def _range(scan: Scan) -> DataFrame:
+    form = scan.once("representation", lambda: representation(scan.pair, scan.roles).first()["representation"])
+    return range_compliance(scan.pair, scan.roles, form)
+
+
+@metric("timestamps", "RegularityConsistency")
+def _regularity(scan: Scan) -> DataFrame:
+    step = _step(scan)
+    return _none(scan) if step is None else regularity(scan.pair, scan.roles, step, _steps(scan))
+
+
+@metric("timestamps", "GridCompleteness")
+def _grid(scan: Scan) -> DataFrame:
+    step = _step(scan)
+    return _none(scan) if step is None else grid_completeness(scan.pair, scan.roles, step, scan.rows)
+
+
+@metric("timestamps", "TimeIntervalDistributionSim")
+def _intervals(scan: Scan) -> DataFrame:
+    return interval_similarity(scan.pair, scan.roles, _steps(scan), scan.rows) if _kind(scan)[0] == "Irregular" else _none(scan)

@@ -19,25 +19,27 @@ from chronofid.operators.spectra import (
     sliced_wasserstein,
 )
 from chronofid.plans import panel
-from chronofid.plans.roles import TableRoles, named, union_all
+from chronofid.plans.metrics import Scan, evaluate, metric
+from chronofid.plans.roles import TableRoles
 from chronofid.session import checkpointed, segment_rows
 
 PROJECTIONS = 50
 MIN_NORM = 1e-12
 
 
-def first_differences(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def first_differences(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     """Consecutive differences per trajectory and feature, nulls dropped beforehand."""
     ids = [SYNTH, roles.key, roles.time, roles.row]
     long = unpivot_numbers(pair.where(F.col(roles.key).isNotNull()), ids, roles.num_cols)
-    rows = pair.count() * len(roles.num_cols)
+    rows = (pair.count() if n is None else n) * len(roles.num_cols)
     known = long.where(F.col(VALUE).isNotNull())
     return differences(known, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], VALUE, rows)
 
 
-def first_difference_ks(pair: DataFrame, roles: TableRoles) -> DataFrame:
-    rows = pair.count() * len(roles.num_cols)
-    counts = value_counts(first_differences(pair, roles), [FEATURE], VALUE)
+def first_difference_ks(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
+    n = pair.count() if n is None else n
+    rows = n * len(roles.num_cols)
+    counts = value_counts(first_differences(pair, roles, n), [FEATURE], VALUE)
     spans = []
     for side in ("real", "synth"):
         x = F.when(F.col(f"{side}_n") > 0, F.col(VALUE))
@@ -50,22 +52,23 @@ def first_difference_ks(pair: DataFrame, roles: TableRoles) -> DataFrame:
     return ks.select(FEATURE, score.alias("score"))
 
 
-def next_steps(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def next_steps(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     """Each row with the category and time that follow it in its trajectory."""
     ids = [SYNTH, roles.key, roles.time, roles.row]
     long = unpivot_labels(pair.where(F.col(roles.key).isNotNull()), ids, roles.cat_cols)
     timed = long.where(F.col(roles.time).isNotNull())
-    rows = pair.count() * len(roles.cat_cols)
+    rows = (pair.count() if n is None else n) * len(roles.cat_cols)
     return ordered(timed, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], rows).lead(
         next_value=VALUE, next_time=roles.time
     ).result()
 
 
-def transition_shares(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def transition_shares(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     """Transitions between neighbouring real times with ``P(to | time, from)`` of each side."""
     times = pair.where(~F.col(SYNTH) & F.col(roles.time).isNotNull()).select(roles.time).distinct()
-    expected = ordered(times, [], [roles.time], pair.count()).lead(expected=roles.time).result()
-    moves = next_steps(pair, roles).where(F.col(VALUE).isNotNull() & F.col("next_value").isNotNull())
+    n = pair.count() if n is None else n
+    expected = ordered(times, [], [roles.time], n).lead(expected=roles.time).result()
+    moves = next_steps(pair, roles, n).where(F.col(VALUE).isNotNull() & F.col("next_value").isNotNull())
     adjacent = moves.join(expected, roles.time, "inner").where(F.col("next_time") == F.col("expected"))
     group = [FEATURE, roles.time, VALUE]
     cells = adjacent.groupBy(*group, "next_value").agg(
@@ -81,9 +84,9 @@ def transition_shares(pair: DataFrame, roles: TableRoles) -> DataFrame:
     )
 
 
-def transition_similarity(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def transition_similarity(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     """Mean over shared times of one minus the transition-table distance."""
-    shares = transition_shares(pair, roles)
+    shares = transition_shares(pair, roles, n)
     cats = (
         shares.select(FEATURE, F.explode(F.array(VALUE, "next_value")).alias("c"))
         .distinct()
@@ -124,19 +127,19 @@ def autocorrelation(
     return out.select(*keys, "lag", F.when(F.col("var") == 0, 0.0).otherwise(F.try_divide("product", "var")).alias("acf"))
 
 
-def default_max_lag(pair: DataFrame, roles: TableRoles) -> DataFrame:
+def default_max_lag(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
     """One row: an eighth of the median real trajectory length, at least one."""
     real = pair.where(~F.col(SYNTH) & F.col(roles.key).isNotNull())
     lengths = real.groupBy(roles.key).agg(F.count(F.lit(1)).alias("n"))
-    middle = medians(lengths, [], {"m": "n"}, pair.count())
+    middle = medians(lengths, [], {"m": "n"}, pair.count() if n is None else n)
     eighth = F.floor(F.floor("m") / 8)
     return middle.select(F.when(F.col("m").isNull(), 0).otherwise(F.greatest(F.lit(1), eighth)).cast("long").alias("max_lag"))
 
 
-def acf_by_side(pair: DataFrame, roles: TableRoles, max_lag: int) -> DataFrame:
+def acf_by_side(pair: DataFrame, roles: TableRoles, max_lag: int, n: int | None = None) -> DataFrame:
     """Per feature, side and lag: mean over trajectories, or of the mean series over time."""
     long = unpivot_numbers(pair, [SYNTH, roles.key, roles.time, roles.row], roles.num_cols)
-    rows = pair.count() * len(roles.num_cols)
+    rows = (pair.count() if n is None else n) * len(roles.num_cols)
     if roles.independence == "independent":
         keyed = long.where(F.col(roles.key).isNotNull())
         acf = autocorrelation(keyed, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], VALUE, max_lag, rows)
@@ -145,9 +148,9 @@ def acf_by_side(pair: DataFrame, roles: TableRoles, max_lag: int) -> DataFrame:
     return autocorrelation(macro, [FEATURE, SYNTH], [roles.time], VALUE, max_lag, rows)
 
 
-def autocorrelation_similarity(pair: DataFrame, roles: TableRoles, max_lag: int) -> DataFrame:
+def autocorrelation_similarity(pair: DataFrame, roles: TableRoles, max_lag: int, n: int | None = None) -> DataFrame:
     """One minus half the mean absolute difference of the autocorrelations; null if not computable."""
-    sides = acf_by_side(pair, roles, max_lag).groupBy(FEATURE, "lag").agg(
+    sides = acf_by_side(pair, roles, max_lag, n).groupBy(FEATURE, "lag").agg(
         F.max(F.when(~F.col(SYNTH), F.col("acf"))).alias("r"), F.max(F.when(F.col(SYNTH), F.col("acf"))).alias("s")
     )
     return sides.groupBy(FEATURE).agg((1 - F.avg(F.abs(F.col("r") - F.col("s"))) / 2).alias("score"))
@@ -250,16 +253,37 @@ def sliced_tt_wasserstein(
 
 def suite(pair: DataFrame, roles: TableRoles, max_lag: int | None = None, fill_method: str = "edge_nearest") -> DataFrame:
     """All longitudinal scores of one table, one row per metric and feature."""
-    scores = []
-    if roles.num_cols:
-        lag = default_max_lag(pair, roles).first()["max_lag"] if max_lag is None else max_lag
-        wasserstein = sliced_tt_wasserstein(pair, roles, fill_method)
-        scores += [
-            named(first_difference_ks(pair, roles), "FirstDifferenceKSComplement", feature=F.col(FEATURE)),
-            named(autocorrelation_similarity(pair, roles, lag), "AutoCorrelationSimilarity", feature=F.col(FEATURE)),
-            named(wasserstein, "SlicedTTWasserstein", "distance", F.col(FEATURE)),
-        ]
-    if roles.cat_cols:
-        moves = transition_similarity(pair, roles)
-        scores.append(named(moves, "TransitionMatrixTVDComplement", feature=F.col(FEATURE)))
-    return union_all(scores)
+    scan = Scan(pair, roles, {"max_lag": max_lag, "fill_method": fill_method})
+    return evaluate(scan, ["trajectories"]).drop("family")
+
+
+# ---- registered scores -----------------------------------------------------------------------------
+
+
+def _has_nums(scan: Scan) -> bool:
+    return bool(scan.roles.num_cols)
+
+
+def _max_lag(scan: Scan) -> int:
+    given = scan.options.get("max_lag")
+    return scan.once("max_lag", lambda: default_max_lag(scan.pair, scan.roles, scan.rows).first()["max_lag"]) if given is None else given
+
+
+@metric("trajectories", "FirstDifferenceKSComplement", _has_nums)
+def _first_difference(scan: Scan) -> DataFrame:
+    return first_difference_ks(scan.pair, scan.roles, scan.rows)
+
+
+@metric("trajectories", "AutoCorrelationSimilarity", _has_nums)
+def _autocorrelation(scan: Scan) -> DataFrame:
+    return autocorrelation_similarity(scan.pair, scan.roles, _max_lag(scan), scan.rows)
+
+
+@metric("trajectories", "SlicedTTWasserstein", _has_nums, column="distance")
+def _wasserstein(scan: Scan) -> DataFrame:
+    return sliced_tt_wasserstein(scan.pair, scan.roles, scan.options.get("fill_method", "edge_nearest"))
+
+
+@metric("trajectories", "TransitionMatrixTVDComplement", lambda scan: bool(scan.roles.cat_cols))
+def _transitions(scan: Scan) -> DataFrame:
+    return transition_similarity(scan.pair, scan.roles, scan.rows)
