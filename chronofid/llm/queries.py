@@ -133,7 +133,10 @@ i AS (SELECT item_id, string_split(t, ' ') AS ws FROM
         (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM benchmark) a WHERE t <> ''),
 ds AS (SELECT doc_id, len(ws) AS size, k, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM d) x),
 s AS (SELECT item_id, len(ws) AS length, k, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM i) x),
-w AS (SELECT DISTINCT ds.doc_id, s.item_id, s.length, greatest(0, least(ds.k - s.k, ds.size - s.length)) AS start FROM ds JOIN s ON ds.g = s.g),
+hit AS (SELECT DISTINCT ds.doc_id, ds.size, ds.k, s.item_id, s.length FROM ds JOIN s ON ds.g = s.g),
+c AS (SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, size, length HAVING 180 * count(*) >= 80 * (least(size, length) + length - 8)),
+w AS (SELECT DISTINCT doc_id, item_id, length, unnest(range(greatest(0, k - 1 - length + 5), least(k - 1, greatest(0, size - length)) + 1)) AS start
+      FROM hit JOIN c USING (doc_id, item_id)),
 wg AS (SELECT w.doc_id, w.item_id, w.start, ds.g, count(*) AS n FROM w JOIN ds ON ds.doc_id = w.doc_id AND ds.k > w.start AND ds.k <= w.start + w.length - 4
        GROUP BY ALL),
 ig AS (SELECT item_id, g, count(*) AS n FROM s GROUP BY ALL),
