@@ -8,11 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronofid.llm.text import chunks, folded_words, many_word_hashes, mixed
 
-#: Distances between the two words of a pair: neighbours, and pairs that skip one word.
-GAPS = (1, 2)
+#: Distances between the two words of a pair: neighbours, and pairs that skip one or two words.
+GAPS = (1, 2, 3)
 #: A feature is a 32-bit number; its upper bits index a table that rules most features out.
 SCREEN_BITS = 22
 
@@ -68,7 +69,11 @@ def margins(lists: list[list[bytes]], models: list[Weights], screens: list[np.nd
 
 
 def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS, split=folded_words) -> DataFrame:
-    """``extra`` and the distinct features of each row (as bytes), for a sample that is small by construction."""
+    """``extra`` and the distinct features (as bytes) of one row per ``doc_id``, for a sample of few ids.
+
+    Rows that share an id are settled before they meet: each task keeps the one with the smallest features.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +82,10 @@ def sampled_features(docs: DataFrame, extra: str, gaps: tuple[int, ...] = GAPS,
                 for text in texts:
                     parts = [f for _, f in features([split(text)], gaps)]
                     packed.append(np.unique(np.concatenate(parts)).tobytes())
-                yield pa.RecordBatch.from_arrays([piece.column(extra), pa.array(packed, pa.binary())], names=[extra, "features"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column(extra), pa.array(packed, pa.binary())], names=["doc_id", extra, "features"])
 
-    return docs.select(extra, "text").mapInArrow(run, f"{extra} int, features binary")
+    rows = docs.select("doc_id", extra, "text").mapInArrow(run, f"doc_id {id_type}, {extra} int, features binary")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("features", extra)).alias("one")).select(f"one.{extra}", "one.features")
 
 
 def feature_rows(chunks_: list[pa.Array]) -> list[np.ndarray]:
@@ -95,8 +101,15 @@ def shared_features(rows: list[np.ndarray], min_docs: int) -> tuple[np.ndarray,
         upper = row >> np.uint32(6)
         seen[upper] = np.minimum(seen[upper], 254) + 1
     rows = [row[seen[row >> np.uint32(6)] >= min(min_docs, 255)] for row in rows]
-    known, times = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.uint32), np.zeros(0, int))
-    known = known[times >= min_docs]
+    # Rows are sorted, so a slice of the numbers is a stretch of each row: one slice is counted at a time.
+    edges = np.arange(0, (1 << 32) + 1, 1 << 28, dtype=np.uint64)
+    cuts = [np.searchsorted(row, edges) for row in rows]
+    found = [np.zeros(0, np.uint32)]
+    for k in range(len(edges) - 1):
+        part = [row[cut[k] : cut[k + 1]] for row, cut in zip(rows, cuts)]
+        number, times = np.unique(np.concatenate(part), return_counts=True) if part else (found[0], np.zeros(0, int))
+        found.append(number[times >= min_docs])
+    known = np.concatenate(found)
     places = []
     for row in rows:
         at = np.searchsorted(known, row)

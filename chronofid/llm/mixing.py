@@ -13,7 +13,8 @@ sum per domain to the driver; a row's rate follows from the steps so far as a co
 Defined cases. A null or empty text has no tokens; it has a rate all the same, which its posterior decides. Rows
 of the labelled table without id or domain, or with a domain that has no target, are not learned from; of several
 domains for one ``doc_id`` the largest counts. Without labelled rows the posterior is uniform. A domain with no expected
-tokens is left out of the fit. Repeated rows are weighed one by one. Columns beyond ``doc_id`` and ``text``
+tokens is left out of the fit. Targets that are negative or sum to nothing are refused. Of several rows for a sampled
+``doc_id`` one is learned from; ids may be of any type. Repeated rows are weighed one by one. Columns beyond ``doc_id`` and ``text``
 don't reach a posterior. Targets that no nonnegative rates can meet are met as nearly as ``STEPS`` steps allow.
 """
 
@@ -57,10 +58,26 @@ def labelled_domains(labelled: DataFrame, domains: list[str], rows: int) -> Data
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS) -> list[Weights]:
     """One model per domain, from at most ``sample_rows`` rows of ``labelled`` (``doc_id``, ``domain``)."""
     sample = F.broadcast(labelled_domains(labelled, domains, sample_rows))
-    got = sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"), "label", (), marked_words).toArrow()
-    y = got.column("label").to_numpy()
-    known, rows = shared_features(feature_rows(got.column("features").chunks), MIN_DOCS)
-    return [fit_ftrl(known, rows, (y == k).astype(float)) for k in range(len(domains))]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        y = np.concatenate([b.column("label").to_numpy() for b in got]) if got else np.zeros(0)
+        known, rows = shared_features(feature_rows([b.column("features") for b in got]), MIN_DOCS)
+        for k in range(len(domains)):
+            model = fit_ftrl(known, rows, (y == k).astype(float))
+            index, weight = np.append(model.index.astype(np.int64), -1), np.append(model.weight, model.bias)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), k, np.int32)), pa.array(index), pa.array(weight)], names=["domain", "index", "weight"])
+
+    # One task learns from the bounded sample, in the order of the features; the driver gets the weights alone.
+    features = sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"), "label", (), marked_words)
+    got = features.repartition(1).sortWithinPartitions("features", "label").mapInArrow(train, "domain int, index long, weight double").toArrow()
+    domain, index, weight = (got.column(n).to_numpy() for n in ("domain", "index", "weight"))
+    models = []
+    for k in range(len(domains)):
+        at, w = index[domain == k], weight[domain == k]
+        bias = float(w[at < 0][0]) if len(at) else 0.0
+        models.append(Weights(bias, at[at >= 0].astype(np.uint32), w[at >= 0]))
+    return models
 
 
 def posterior_columns(domains: list[str]) -> list[str]:
@@ -88,7 +105,7 @@ def domain_posteriors(docs: DataFrame, models: list[Weights], domains: list[str]
                 columns = [piece.column("doc_id"), pa.array([len(x) - looks for x in listed], pa.int64()), *map(pa.array, odds.T)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"`{n}` double" for n in names[2:]))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, " + ", ".join(f"`{n}` double" for n in names[2:]))
 
 
 def rate_column(domains: list[str], steps: list[list[float]]) -> Column:
@@ -109,6 +126,8 @@ def rates_of(posteriors: np.ndarray, steps: list[list[float]]) -> np.ndarray:
 
 def fit_steps(members: DataFrame, targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The gradient steps of the rates, over rows of ``n_tokens`` and posteriors; ``targets`` are relative weights."""
+    if min(targets.values(), default=0) < 0 or sum(targets.values()) <= 0:
+        raise ValueError("targets must be nonnegative and sum to more than 0")
     names = [F.col(f"`{p}`") for p in posterior_columns(list(targets))]
     tokens = F.col("n_tokens")
     share = np.array(list(targets.values()), float) / sum(targets.values())
