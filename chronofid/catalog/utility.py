@@ -121,8 +121,8 @@ def u4_binary(spark, folder):
     return ut.binary_report(predictions(spark, folder))
 
 
-MULTI = """p AS (SELECT vec_id % 3 AS prediction, label % 3 AS label, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE)] AS s FROM embeddings),
-k AS (SELECT unnest([0, 1, 2]) AS c),
+MULTI = """p AS (SELECT label, list_position(embedding, list_max(embedding)) - 1 AS prediction, embedding AS s FROM embeddings),
+k AS (SELECT DISTINCT label AS c FROM p),
 area AS (SELECT c, sum(CASE WHEN a.s[c + 1] > b.s[c + 1] THEN 1.0 WHEN a.s[c + 1] = b.s[c + 1] THEN 0.5 ELSE 0 END) / count(*) AS auc
   FROM k, p a, p b WHERE a.label = c AND b.label <> c GROUP BY 1),
 cls AS (SELECT c, count(*) FILTER (label = c) AS n, count(*) FILTER (prediction = c) AS called, count(*) FILTER (label = c AND prediction = c) AS tp FROM k, p GROUP BY 1)"""
@@ -132,10 +132,8 @@ cls AS (SELECT c, count(*) FILTER (label = c) AS n, count(*) FILTER (prediction
 SELECT round(sum(n * auc) / sum(n), 6) AS auc, round(CAST(sum(tp) AS DOUBLE) / sum(n), 6) AS accuracy, round(sum(n * 2.0 * tp / (n + called)) / sum(n), 6) AS f1,
   round(sum(n * 1.0 * tp / n) / sum(n), 6) AS recall, round(sum(CASE WHEN called > 0 THEN n * 1.0 * tp / called ELSE 0 END) / sum(n), 6) AS precision FROM cls JOIN area USING (c)""")
 def u4_multi(spark, folder):
-    scores = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    df = table(spark, folder, "embeddings").select(
-        (F.col("label") % 3).alias("label"), (F.col("vec_id") % 3).alias("prediction"), scores.alias("scores")
-    )
+    best = (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int")
+    df = table(spark, folder, "embeddings").select("label", best.alias("prediction"), F.col("embedding").alias("scores"))
     return ut.multiclass_report(df)
 
 
