@@ -90,6 +90,48 @@ def test_pair_loss_equals_a_plain_descent():
     assert (strength < model.threshold).mean() == pytest.approx((y == 0).mean(), abs=0.05)
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Label 0 stands only at ids that come after 20,000 others in the order of their hashes."""
+    ids = spark.range(20_400).select(F.col("id").alias("doc_id"))
+    late = {r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[20_000:]}
+    rows = [(i, "JUNK $%& JUNK" if i in late else f"plain words {i}", int(i not in late)) for i in range(20_400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(8)
+    model = preference.fit_quality(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    scored = preference.score_quality(frame.select("doc_id", "text"), model).join(frame, "doc_id")
+    assert scored.where((F.col("score") >= 0.5).cast("int") != F.col("quality")).count() == 0
+
+
+def test_pair_sums_equal_a_plain_loop_and_blocks_hold_all_rows(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    good, bad, w = draw.integers(0, 2, (5, 4)).astype(float), draw.integers(0, 2, (3, 4)).astype(float), draw.normal(size=4)
+    slope, curve = np.zeros(4), np.zeros((4, 4))
+    for g in good:
+        for b in bad:
+            miss = 1 / (1 + math.exp(float((g - b) @ w)))
+            slope += (g - b) * miss / 3
+            curve += np.outer(g - b, g - b) * miss * (1 - miss) / 3
+    found = preference.pair_sums(good, bad, w)
+    assert np.allclose(found[0], slope) and np.allclose(found[1], curve)
+    monkeypatch.setattr(preference, "BLOCK_ROWS", 4)
+    rows = [(1, bytes([i])) for i in range(30)] + [(0, bytes([100 + i])) for i in range(3)] + [(0, bytes([102]))]
+    coded = spark.createDataFrame(rows, "label int, code binary")
+    blocks = [([bytes(x)[0] for x in r.good], [bytes(x)[0] for x in r.bad]) for r in preference._blocks(coded, {0: 4, 1: 30}).collect()]
+    assert sorted(x for g, _ in blocks for x in g) == list(range(30)) and {x for _, b in blocks for x in b} == {100, 101, 102}
+    assert len(blocks) == 8 and all(len(g) <= 4 and len(b) == 1 for g, b in blocks)
+
+
+def test_whole_table_and_arrays_choose_the_same_steps_and_ranks(spark):
+    draw = random.Random(5)
+    rows = [(i, sentence(draw, draw.randint(1, 40)).upper() if i % 3 == 0 else sentence(draw, draw.randint(1, 40)), int(i % 3 > 0)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    model = preference.fit_quality(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    x, y = np.array([preference.text_statistics(t) for _, t, _ in rows]), np.array([q for _, _, q in rows])
+    plain = preference.fit_strength(x, y)
+    assert model.statistic.tolist() == plain.statistic.tolist() and model.limit.tolist() == plain.limit.tolist()
+    strength = np.sort(model.of(x))
+    assert model.threshold == (strength[49] + strength[50]) / 2
+
+
 def test_sample_by_class_keeps_the_odds_of_the_table(spark):
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 == 0).cast("int").alias("toxic"))
     picked, added = toxicity.class_sample(labels, "toxic", 200)
