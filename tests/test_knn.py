@@ -101,3 +101,50 @@ def test_codes_bound_distances_from_both_sides(dims):
         assert (lower <= true).all() and (true <= upper).all()
     code, scale, rest = knn.encode(np.array([[np.nan] * dims, [np.inf] * dims, [0.0] * dims]), np.zeros((3, dims)))
     assert list(rest) == [np.inf, np.inf, 0.0] and np.isfinite(knn.decode(code, scale, np.zeros((3, dims)))).all()
+
+
+@pytest.mark.parametrize("dims", [1, 2, 4])
+def test_leaves_find_the_same_as_comparing_all(dims):
+    rng = np.random.default_rng(dims)
+    synth = np.round(rng.normal(size=(3000, dims)), 2)
+    real = np.concatenate([synth[:200], rng.normal(size=(500, dims)), rng.normal(size=(20, dims)) * 100])
+    for k in (1, 2, 5):
+        assert (knn.nearest(real, synth, k) == knn.smallest_distances(real, synth, k)).all()
+    assert knn.nearest(real, synth[:1], 2).shape == (len(real), 1)
+
+
+def test_boxes_leave_most_vectors_uncompared(spark, monkeypatch):
+    """Flat clusters in two dimensions: few rows travel beyond their box, and none to most of the boxes."""
+    rng = np.random.default_rng(9)
+    real, synth = rng.random((2000, 2)) * [1000, 1], rng.random((6000, 2)) * [1000, 1]
+    real[:50] += 5000
+    routed, blocks = [], knn._blocks
+    monkeypatch.setattr(knn, "_blocks", lambda rows, *rest: routed.append(rows.count()) or blocks(rows, *rest))
+    monkeypatch.setattr(knn, "_by_codes", None)
+    spark.conf.set(knn.CELLS_CONF, "200")
+    try:
+        rows = knn.distances(frame(spark, (np.zeros(2000), np.zeros(6000)), real, synth), "day", "vec", 2).collect()
+    finally:
+        spark.conf.unset(knn.CELLS_CONF)
+    found = {tuple(r["vec"]): r["best"] for r in rows}
+    for vector, distances in zip(real, brute(real, synth, 2)):
+        assert found[tuple(vector)] == pytest.approx(list(distances), abs=1e-12)
+    assert routed[0] == 2000 and sum(routed[1:]) < 4000
+
+
+def test_infinite_vectors_beside_boxes(spark):
+    rng = np.random.default_rng(4)
+    real, synth = rng.normal(size=(60, 2)), rng.normal(size=(90, 2))
+    real[0, 0], synth[3, 1] = np.inf, -np.inf
+    keys = (np.arange(60) % 2, np.where(np.arange(90) < 2, 1, 0))
+    synth[0] = [np.inf, 0.0]
+    spark.conf.set(knn.CELLS_CONF, "20")
+    try:
+        rows = knn.distances(frame(spark, keys, real, synth), "day", "vec", 2).collect()
+    finally:
+        spark.conf.unset(knn.CELLS_CONF)
+    found = {(r["day"], tuple(r["vec"])): r["best"] for r in rows}
+    assert len(found) == 60 and found[0, tuple(real[0])] == [np.inf, np.inf]
+    for i in range(1, 60):
+        want = brute(real[i : i + 1], synth[keys[1] == i % 2], 2)[0]
+        assert found[i % 2, tuple(real[i])] == pytest.approx(list(want), abs=1e-12)
