@@ -10,11 +10,14 @@ from chronofid.functions.numeric import bool_to_int, to_double, to_long
 from chronofid.functions.times import digits_to_time, month_number, parse_time
 from chronofid.operators.ordered import ordered
 from chronofid.operators.shape import FEATURE, VALUE, unpivot_labels
+from chronofid.session import checkpointed
 
 NUMERIC_SHARE = 0.95
 #: Columns that the categories of one column may become.
 MAX_INDICATORS = 10_000
 UNKNOWN = -1
+#: Values, and bytes of their text, up to which a vocabulary goes to every task.
+SMALL_VALUES, SMALL_BYTES = 100_000, 8 << 20
 
 
 def vocabulary(reference: DataFrame, c: str, missing: str | None = None) -> DataFrame:
@@ -29,7 +32,12 @@ def category_codes(df: DataFrame, reference: DataFrame, c: str, missing: str | N
     """Replace a category by its rank among the reference values; unseen values give -1."""
     text = F.col(c).cast("string")
     value = text if missing is None else F.coalesce(text, F.lit(missing))
-    joined = df.withColumn("_value", value).join(vocabulary(reference, c, missing), "_value", "left")
+    known = checkpointed(vocabulary(reference, c, missing))
+    n, size = known.agg(F.count("_code"), F.sum(F.octet_length("_value"))).first()
+    # With few values a shuffle by value would bring most rows to a few tasks.
+    if n <= SMALL_VALUES and (size or 0) <= SMALL_BYTES:
+        known = F.broadcast(known)
+    joined = df.withColumn("_value", value).join(known, "_value", "left")
     return joined.withColumn(c, F.coalesce("_code", F.lit(UNKNOWN)).cast("int")).select(*df.columns)
 
 

@@ -217,3 +217,21 @@ def test_time_columns_become_times_or_numbers(spark):
     assert coerce_time(dates, "t").schema["t"].dataType.typeName() == "string"
     steps = spark.createDataFrame([("x",), ("y3",), (None,)], "t string").union(spark.createDataFrame([("-1.5",)], "t string"))
     assert sorted(r["t"] for r in convert_time(steps, "t").collect() if r["t"] is not None) == [-1.5]
+
+
+def test_few_categories_go_to_the_rows(spark, monkeypatch):
+    """With three values a shuffle by value would bring a third of all rows to one task."""
+    df = spark.createDataFrame([(i, [None, "a", "b", "c"][i % 4]) for i in range(40)], "id long, c string")
+    want = [(i, [0, 1, 2, -1][i % 4]) for i in range(40)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = encode.category_codes(df, df.where("c IS NULL OR c <> 'c'"), "c", "<NA>")
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, few.collect())) == want
+        monkeypatch.setattr(encode, "SMALL_VALUES", 2)
+        many = encode.category_codes(df, df.where("c IS NULL OR c <> 'c'"), "c", "<NA>")
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, many.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
