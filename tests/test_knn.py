@@ -1,6 +1,10 @@
 """Pivot-partitioned search against brute force, with copies and a hot key."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from chronofid.operators import knn
@@ -148,3 +152,29 @@ def test_infinite_vectors_beside_boxes(spark):
     for i in range(1, 60):
         want = brute(real[i : i + 1], synth[keys[1] == i % 2], 2)[0]
         assert found[i % 2, tuple(real[i])] == pytest.approx(list(want), abs=1e-12)
+
+
+def test_a_block_holds_small_tables_of_distances():
+    rng = np.random.default_rng(2)
+
+    def side(n):
+        code, scale, rest = knn.encode(rng.normal(size=(n, 16)), np.zeros((n, 16)))
+        return pd.DataFrame({"key": "", "cell": 0, "id": np.arange(n), "code": code, "scale": scale, "rest": rest, "bound": np.inf})
+
+    real, synth = side(1024), side(8192)
+    block = knn._candidates(1, SimpleNamespace(value={}), 16)
+    tracemalloc.start()
+    try:
+        found = block(real, synth)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found["id"].nunique() == len(real)
+    assert peak < 32 << 20
+
+
+def test_rows_meet_many_pivots_in_small_tables():
+    rows = pd.DataFrame({"key": "", "id": np.arange(10_000)})
+    pieces = list(knn._slices([rows], {"": np.zeros((200, 16))}))
+    assert sum(len(p) for _, p, _ in pieces) == len(rows)
+    assert max(len(p) for _, p, _ in pieces) * 200 * 8 <= 4 << 20
