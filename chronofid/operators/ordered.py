@@ -2,7 +2,8 @@
 
 A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. When the input has at most
 ``segmentRows`` rows no group can exceed that, and the plain window is the best plan. Beyond it, keys
-with more rows than one segment are cut into ordered segments at sampled split points. The window runs
+with more than half as many rows are cut into ordered pieces of an eighth at sampled split points, so that
+a large key keeps many tasks busy and none of them holds much. The window runs
 per segment, and what crosses a segment border (last value, sum so far, last non-null) comes from a
 summary with one row per segment. Sampling only decides where the cuts fall, never the result.
 """
@@ -20,6 +21,8 @@ from chronofid.session import MAX_SEGMENTS, checkpointed, segment_rows
 SEG = "_seg"
 SPLIT = "_split"
 SAMPLES_PER_SEGMENT = 200
+#: Pieces that as many rows as ``segmentRows`` are cut into, if a key is cut.
+CUTS = 8
 
 
 def same_keys(left: str, right: str, names: list[str]) -> Column:
@@ -156,11 +159,11 @@ class Ordered:
         return replace(self, df=df.drop(*carried))
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> Ordered:
+def ordered(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, kept: bool = False) -> Ordered:
     """Group ``df`` by ``keys`` in ``order``. ``order`` must be total within a key.
 
     ``rows`` is an upper bound on the row count known to the caller (a Parquet count reads only
-    footers); without it the rows are counted here.
+    footers); without it the rows are counted here. ``kept`` says that ``df`` is read from a checkpoint already.
     """
     spark = df.sparkSession
     limit = segment_rows(spark)
@@ -168,15 +171,15 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], rows: int | None =
         rows = df.count()
     if rows <= limit:
         return Ordered(df, list(keys), list(order))
-    limit = max(limit, rows // MAX_SEGMENTS)
-    df = checkpointed(df)
+    cut = max(limit // CUTS, rows // MAX_SEGMENTS, 1)
+    df = df if kept else checkpointed(df)
     sizes = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    # At most rows / limit <= MAX_SEGMENTS keys can be hot, so they fit on the driver.
-    hot = sizes.where(F.col("count") > limit)
+    # At most rows / cut <= MAX_SEGMENTS keys can be hot, so they fit on the driver.
+    hot = sizes.where(F.col("count") > max(limit // 2, cut))
     hot_keys = spark.createDataFrame(hot.collect(), hot.schema)
     if hot_keys.isEmpty():
         return Ordered(df, list(keys), list(order))
-    splits = _split_points(df, hot_keys, list(keys), list(order), limit)
+    splits = _split_points(df, hot_keys, list(keys), list(order), cut)
     marked = _mark_segments(df, splits, list(keys), list(order))
     return Ordered(checkpointed(marked), list(keys), list(order), split=True)
 

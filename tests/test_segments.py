@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofid.operators.distributions import ks_by, medians, weighted_medians
-from chronofid.operators.ordered import ordered
+from chronofid.operators.ordered import SEG, ordered
 from chronofid.plans import trajectories as tr
 from chronofid.session import SEGMENT_CONF
 
@@ -105,3 +105,16 @@ def test_autocorrelation_of_a_long_series(rows, cut):
     want = [(centred[:-h] * centred[h:]).mean() / data.var() for h in range(1, 8)]
     got = [r[2] for r in plain if r[0] == 0]
     assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.fixture()
+def segments_of_400(spark):
+    spark.conf.set(SEGMENT_CONF, "400")
+    yield
+    spark.conf.unset(SEGMENT_CONF)
+
+
+def test_pieces_of_a_cut_key_are_far_smaller_than_a_segment(rows, segments_of_400):
+    o = ordered(rows, [], ["t", "row_ix"])
+    sizes = [r["count"] for r in o.df.groupBy(SEG).count().collect()]
+    assert o.split and sum(sizes) == 900 and max(sizes) <= 100
