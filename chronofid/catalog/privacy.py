@@ -10,6 +10,7 @@ from chronofid.functions.vectors import l1_distance, l2_distance, squared_distan
 from chronofid.operators import knn
 from chronofid.plans import embedding, privacy
 from chronofid.plans.roles import TableRoles
+from chronofid.session import checkpointed
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -230,7 +231,8 @@ def v6_report(spark, folder):
 @add("v7_embedding_distance", ctes(EV, FLOW, OWN) + """, vec AS (SELECT flow, flow % 2 = 1 AS syn, list(mag ORDER BY dim) AS v FROM phi GROUP BY 1)
 SELECT r.flow, round(min(list_distance(r.v, s.v)), 6) AS nearest FROM vec r, vec s WHERE NOT r.syn AND s.syn GROUP BY 1""")
 def v7(spark, folder):
-    vecs = embedding.vectors(v6(spark, folder), ["flow"]).withColumn("is_synth", F.col("flow") % 2 == 1)
+    # Embedded once for the search and the way back to the flows: sums taken anew may differ in their last digits.
+    vecs = checkpointed(embedding.vectors(v6(spark, folder), ["flow"]).withColumn("is_synth", F.col("flow") % 2 == 1))
     found = knn.distances(vecs, None, "vec", 1)
     real = vecs.where("not is_synth").select("flow", "vec")
     return real.join(found, "vec").select("flow", F.element_at("best", 1).alias("nearest"))
