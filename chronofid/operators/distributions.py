@@ -9,6 +9,8 @@ from chronofid.operators.ordered import Ordered, ordered, same_keys
 from chronofid.session import segment_rows
 
 SYNTH = "is_synth"
+#: Groups whose buffers a task holds before Spark sorts instead (spark.sql.objectHashAggregate.sortBased.fallbackThreshold).
+GROUPS_HELD = 128
 
 
 def real_count(weight: Column | None = None) -> Column:
@@ -52,13 +54,13 @@ def side_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ecdf_distances(
-    counts: DataFrame, keys: list[str], value: str, rows: int | None = None
+    counts: DataFrame, keys: list[str], value: str, rows: int | None = None, kept: bool = False
 ) -> DataFrame:
-    """KS statistic and Wasserstein-1 distance per key from ``value_counts`` output.
+    """KS statistic and Wasserstein-1 distance per key from ``value_counts`` output (``kept``: a checkpoint).
 
     Both are null where one side has no value.
     """
-    steps = ordered(counts, keys, [value], rows).running(real_c="real_n", synth_c="synth_n")
+    steps = ordered(counts, keys, [value], rows, kept).running(real_c="real_n", synth_c="synth_n")
     steps = steps.lead(next_value=value)
     cells = ordered_totals(steps, n_real="real_n", n_synth="synth_n")
     gap = F.abs(F.try_divide("real_c", "n_real") - F.try_divide("synth_c", "n_synth"))
@@ -95,14 +97,34 @@ def cell_distances(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def small_groups(df: DataFrame, keys: list[str], rows: int) -> bool:
+    """Whether the values of whole groups fit in aggregation buffers.
+
+    They do if all ``rows`` are one segment at most. Of larger inputs no group may have more than the share of a segment that
+    lets as many groups as a task holds at a time (before it sorts) stay within one segment.
+    """
+    limit = segment_rows(df.sparkSession)
+    if rows <= limit:
+        return True
+    if not keys:
+        return False
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return most is None or most <= limit // GROUPS_HELD
+
+
 def medians(df: DataFrame, keys: list[str], cols: dict[str, str], rows: int) -> DataFrame:
     """Exact medians per key, ``name=source``; nulls are skipped.
 
-    ``median`` keeps a group's values in one aggregation buffer, so it only serves groups within
-    one segment. Larger inputs count values and pick the middle ranks instead.
+    ``median`` keeps a group's values in one aggregation buffer, so it only serves small groups.
+    Larger ones count values and pick the middle ranks instead.
     """
-    if rows <= segment_rows(df.sparkSession):
+    if small_groups(df, keys, rows):
         return df.groupBy(*keys).agg(*[F.median(c).alias(n) for n, c in cols.items()])
+    return counted_medians(df, keys, cols, rows)
+
+
+def counted_medians(df: DataFrame, keys: list[str], cols: dict[str, str], rows: int) -> DataFrame:
+    """``medians`` of groups of any size, from counted values."""
     sources = list(cols.items())
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("_name"), F.col(c).cast("double").alias("_value")) for n, c in sources

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofid.functions.labels import whole_label
 from chronofid.operators.contingency import pair_distances
-from chronofid.operators.distributions import SYNTH, cell_distances, ecdf_distances, ks_by, medians, side_counts, tvd_by
+from chronofid.operators.distributions import SYNTH, cell_distances, counted_medians, ecdf_distances, ks_by, side_counts, small_groups, tvd_by
 from chronofid.operators.moments import pair_correlations
 from chronofid.operators.shape import (
     FEATURE,
@@ -130,16 +133,20 @@ def contingency_similarity(pair: DataFrame, cats: list[str], pairs: list[tuple[s
 
 
 def entity_statistics(df: DataFrame, keys: list[str], value: str, rows: int | None = None) -> DataFrame:
-    """Count, mean, median, sample deviation, minimum and maximum per group."""
+    """Count, mean, median, sample deviation, minimum and maximum per group; no median where a key is null."""
     rows = df.count() if rows is None else rows
-    plain = df.groupBy(*keys).agg(
+    stats = [
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-    )
-    return plain.join(medians(df, keys, {"median": value}, rows), keys, "left")
+    ]
+    if not small_groups(df, keys, rows):
+        return df.groupBy(*keys).agg(*stats).join(counted_medians(df, keys, {"median": value}, rows), keys, "left")
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    whole = df.groupBy(*keys).agg(*stats, F.median(value).alias("median"))
+    return whole.withColumn("median", F.when(known, F.col("median")))
 
 
 def statistic_msas(pair: DataFrame, key: str, value: str, stats: list[str] | None = None, n: int | None = None) -> DataFrame:
@@ -182,7 +189,7 @@ def _pairs(scan: Scan) -> list[tuple[str, str]]:
 
 @metric("static", "KSComplement", _has_nums)
 def _ks(scan: Scan) -> DataFrame:
-    ks = ecdf_distances(scan.number_counts(), [FEATURE], VALUE, scan.rows * len(scan.roles.num_cols))
+    ks = ecdf_distances(scan.number_counts(), [FEATURE], VALUE, scan.distinct_numbers(), kept=True)
     return ks.select(FEATURE, _both(1 - F.col("ks")))
 
 

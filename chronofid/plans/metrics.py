@@ -74,6 +74,10 @@ class Scan:
 
         return self.once(("numbers", *keys), make)
 
+    def distinct_numbers(self, keys: list[str] = ()) -> int:
+        """Rows of ``number_counts``."""
+        return self.once(("distinct numbers", *keys), lambda: self.number_counts(keys).count())
+
     def label_counts(self, keys: list[str] = (), labelled: Callable[[DataFrame], DataFrame] = lambda df: df, name: str = "plain") -> DataFrame:
         """The same of the known categories, spelt by ``labelled`` (told apart by ``name``)."""
         def make() -> DataFrame:

@@ -161,7 +161,7 @@ def _has_cats(scan: Scan) -> bool:
 
 @metric("sections", "CS-KSComplement", _has_nums)
 def _ks(scan: Scan) -> DataFrame:
-    ks = ecdf_distances(_number_counts(scan), [FEATURE, scan.roles.time], VALUE, scan.rows * len(scan.roles.num_cols))
+    ks = ecdf_distances(_number_counts(scan), [FEATURE, scan.roles.time], VALUE, scan.distinct_numbers([scan.roles.time]), kept=True)
     return _over_time(_shared(ks), 1 - F.col("ks"))
 
 

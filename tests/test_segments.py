@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofid.operators.distributions import ks_by, medians, weighted_medians
+from chronofid.operators import ordered as ordered_module
+from chronofid.operators.distributions import ecdf_distances, ks_by, medians, value_counts, weighted_medians
 from chronofid.operators.ordered import SEG, ordered
 from chronofid.plans import trajectories as tr
-from chronofid.session import SEGMENT_CONF
+from chronofid.plans.columns import entity_statistics
+from chronofid.session import SEGMENT_CONF, checkpointed
 
 
 @pytest.fixture()
@@ -118,3 +120,29 @@ def test_pieces_of_a_cut_key_are_far_smaller_than_a_segment(rows, segments_of_40
     o = ordered(rows, [], ["t", "row_ix"])
     sizes = [r["count"] for r in o.df.groupBy(SEG).count().collect()]
     assert o.split and sum(sizes) == 900 and max(sizes) <= 100
+
+
+def test_statistics_of_many_small_groups_need_no_window(spark, segments_of_400):
+    df = spark.range(1500).select((F.col("id") % 500).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"))
+    found = entity_statistics(df, ["k"], "v")
+    assert "Window" not in found._jdf.queryExecution().toString()
+    for r in found.collect():
+        values = [float((r["k"] + 500 * i) * 37 % 101) for i in range(3)]
+        assert (r["count"], r["median"], r["min"], r["max"]) == (3, np.median(values), min(values), max(values))
+        assert r["mean"] == pytest.approx(np.mean(values)) and r["std"] == pytest.approx(np.std(values, ddof=1))
+
+
+def test_statistics_of_groups_agree_with_a_large_one_and_a_null_key(rows, cut):
+    run = lambda: [tuple(r) for r in entity_statistics(rows, ["k"], "v").orderBy("k").collect()]
+    plain, counted = run(), cut(run)[1]
+    same(plain, counted)
+    assert plain[0][0] is None and dict(zip(entity_statistics(rows, ["k"], "v").columns, plain[0]))["median"] is None
+
+
+def test_a_checkpoint_is_not_written_again(rows, segments_of_400, monkeypatch):
+    counts = checkpointed(value_counts(rows.withColumn("v", F.col("row_ix").cast("double")), [], "v"))
+    written = []
+    monkeypatch.setattr(ordered_module, "checkpointed", lambda df: written.append(df) or checkpointed(df))
+    ks = ecdf_distances(counts, [], "v", 900, kept=True).first()["ks"]
+    assert len(written) == 1
+    assert ks == pytest.approx(ecdf_distances(counts, [], "v", 300).first()["ks"])
