@@ -23,7 +23,7 @@ def _codes(table: pa.Table, names: list[str]) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False) for c in coded])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_pieces(batches: Iterator[pa.RecordBatch], names: list[str], gathered: int = GATHERED) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole pieces, and where each piece starts, from batches in which the rows of a piece follow each other."""
     held: list[pa.RecordBatch] = []
 
@@ -31,7 +31,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
         codes = _codes(table, names)
         return np.concatenate([[0], 1 + np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1))])
 
-    rows, wanted = 0, GATHERED
+    rows, wanted = 0, gathered
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -46,7 +46,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
             continue
         yield table.slice(0, int(starts[-1])).combine_chunks(), starts[:-1]
         held = table.slice(int(starts[-1])).combine_chunks().to_batches()
-        rows, wanted = sum(b.num_rows for b in held), GATHERED
+        rows, wanted = sum(b.num_rows for b in held), gathered
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, cut(table)
@@ -76,7 +76,7 @@ def products(x: np.ndarray, home: np.ndarray, starts: np.ndarray, lags: int) ->
 
 
 def _run(batches: Iterator[pa.RecordBatch], keys: list[str], lags: int) -> Iterator[pa.RecordBatch]:
-    for table, starts in _pieces(batches, [*keys, "piece"]):
+    for table, starts in whole_pieces(batches, [*keys, "piece"]):
         x, home = (table.column(c).to_numpy() for c in ("_x", "_home"))
         sums, counts = products(x, np.asarray(home, bool), starts, lags)
         first = pa.array(starts)

@@ -163,7 +163,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], rows: int | None =
     """Group ``df`` by ``keys`` in ``order``. ``order`` must be total within a key.
 
     ``rows`` is an upper bound on the row count known to the caller (a Parquet count reads only
-    footers); without it the rows are counted here. ``kept`` says that ``df`` is read from a checkpoint already.
+    footers); without it the rows are counted here. ``kept`` says that ``df`` is read from files without a shuffle (a checkpoint, or
+    rows of a scan), so that reading it twice is cheaper than writing it.
     """
     spark = df.sparkSession
     limit = segment_rows(spark)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofid.operators.distributions import ecdf_distances, value_counts
+from chronofid.operators.distributions import SYNTH, ecdf_distances, value_counts
+from chronofid.operators.lagged import whole_pieces
 from chronofid.operators.ordered import ordered, same_keys
 
 MIN_DEVIATION = 1e-12
@@ -20,6 +21,10 @@ MIN_DEVIATION = 1e-12
 HASH_A, HASH_B, HASH_C, HASH_MOD = 73856093, 19349663, 83492791, 999983
 HASH_SECOND = 5003
 FFT_LENGTH = 128
+#: Products of values and waves that a task holds at a time.
+TERMS_HELD = 4 << 20
+#: Rows of ray sums gathered before whole vectors are projected.
+RAYS_GATHERED = 1 << 14
 
 
 def channel_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -72,24 +77,52 @@ def _rfft_magnitudes(series: pd.Series) -> pd.Series:
     return pd.Series(list(np.abs(np.fft.rfft(np.stack(series.to_numpy()), axis=1))))
 
 
+def _wave_magnitudes(length: int):
+    """Magnitudes from positions and values by direct sums: ``dft`` of whole series."""
+    bins = length // 2 + 1
+    angle = np.outer(np.arange(length), np.arange(bins)) % length / length * (2 * math.pi)
+    waves = np.hstack([np.cos(angle), np.sin(angle)])
+    step = max(1, TERMS_HELD // (length * 2 * bins))
+
+    # Arrow keeps NaN and null apart, which pandas does not.
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def magnitudes(ix: pa.Array, value: pa.Array) -> pa.Array:
+        found = [np.empty((0, bins))]
+        for a in range(0, len(value), step):
+            at, values = ix.slice(a, step), value.slice(a, step)
+            starts = values.offsets.to_numpy()[:-1] - values.offsets[0].as_py()
+            terms = values.flatten().to_numpy()[:, None] * waves[at.flatten().to_numpy() % length]
+            sums = np.add.reduceat(terms, starts, axis=0)
+            found.append(np.sqrt(np.square(sums[:, :bins]) + np.square(sums[:, bins:])))
+        mags = np.concatenate(found)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(mags) + 1, dtype=np.int32) * bins), pa.array(mags.reshape(-1)))
+
+    return magnitudes
+
+
 def half_spectrum(df: DataFrame, keys: list[str], ix: str, value: str, length: int) -> DataFrame:
     """Magnitudes of the non-negative frequencies of dense series of one known ``length``.
 
-    Short series stay on the JVM. From ``FFT_LENGTH`` on, the quadratic cost of direct sums outweighs
-    handing whole series to a fast transform; ``length`` bounds what one row holds.
+    A row holds a whole series, which ``length`` bounds. Short ones are multiplied by a table of waves; from ``FFT_LENGTH``
+    on, the quadratic cost of direct sums outweighs that of a fast transform.
     """
     if length < FFT_LENGTH:
-        freqs = F.sequence(F.lit(0).cast("long"), F.lit(length // 2).cast("long"))
-        return dft(df.withColumn("_n", F.lit(length).cast("long")), keys, ix, value, "_n", freqs)
+        # A null value adds nothing; a series of nulls alone has no magnitudes.
+        rows, known = F.collect_list(F.struct(F.col(ix).cast("long").alias("ix"), F.coalesce(value, F.lit(0.0)).alias("x"))), F.count(value) > 0
+        whole = df.where(F.col(ix).isNotNull()).groupBy(*keys).agg(rows.alias("_rows"), known.alias("_known"))
+        mags = whole.select(*keys, "_known", F.posexplode(_wave_magnitudes(length)("_rows.ix", "_rows.x")).alias("freq", "mag"))
+        return mags.select(*keys, F.col("freq").cast("long"), F.when(F.col("_known"), F.col("mag")).alias("mag"))
     rows = F.array_sort(F.collect_list(F.struct(ix, value)))
     whole = df.groupBy(*keys).agg(F.transform(rows, lambda x: x[value]).alias("_series"))
     mags = whole.select(*keys, F.posexplode(_rfft_magnitudes("_series")).alias("freq", "mag"))
     return mags.withColumn("freq", F.col("freq").cast("long"))
 
 
-def differences(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int | None = None) -> DataFrame:
-    """Consecutive differences of ``value`` with their zero-based position ``ix``."""
-    steps = ordered(df, keys, order, rows).lag(_before=value).numbered("ix").result()
+def differences(
+    df: DataFrame, keys: list[str], order: list[str], value: str, rows: int | None = None, kept: bool = False
+) -> DataFrame:
+    """Consecutive differences of ``value`` with their zero-based position ``ix``; ``kept`` as for ``ordered``."""
+    steps = ordered(df, keys, order, rows, kept).lag(_before=value).numbered("ix").result()
     return steps.where("ix > 0").withColumns({value: F.col(value) - F.col("_before"), "ix": F.col("ix") - 1}).drop("_before")
 
 
@@ -141,8 +174,8 @@ def _ray_sums(batches, keys: list[str], projections: int):
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(any_value)], names=[*keys, "_sums", "_lengths", "_any"])
 
 
-def ray_sums(vectors: DataFrame, keys: list[str], dim: str, value: str, projections: int) -> DataFrame:
-    """Inner products with directions that are not yet scaled, and the squared lengths of these: ``(keys, projection, part, length)``.
+def ray_parts(vectors: DataFrame, keys: list[str], dim: str, value: str, projections: int) -> DataFrame:
+    """``keys, _sums, _lengths, _any``: ``ray_sums`` with an array over the projections, and whether any value is known.
 
     A task adds up all projections of the rows it has of a key, so rows are not copied per projection; a key may
     come up several times.
@@ -150,7 +183,16 @@ def ray_sums(vectors: DataFrame, keys: list[str], dim: str, value: str, projecti
     rows = vectors.select(*keys, F.col(dim).cast("long").alias("_dim"), F.col(value).cast("double").alias("_value"))
     fields = [rows.schema[k] for k in keys]
     fields += [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_sums", "_lengths")] + [T.StructField("_any", T.BooleanType())]
-    parts = rows.mapInArrow(partial(_ray_sums, keys=keys, projections=projections), T.StructType(fields))
+    return rows.mapInArrow(partial(_ray_sums, keys=keys, projections=projections), T.StructType(fields))
+
+
+def ray_sums(vectors: DataFrame, keys: list[str], dim: str, value: str, projections: int) -> DataFrame:
+    """Inner products with directions that are not yet scaled, and the squared lengths of these: ``(keys, projection, part, length)``."""
+    return unfolded_rays(ray_parts(vectors, keys, dim, value, projections), keys)
+
+
+def unfolded_rays(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per projection from the arrays of ``ray_parts``."""
     long = parts.select(*keys, "_any", F.posexplode(F.arrays_zip("_sums", "_lengths")).alias("projection", "x"))
     return long.select(*keys, F.col("projection").cast("long"), F.when(F.col("_any"), F.col("x._sums")).alias("part"), F.col("x._lengths").alias("length"))
 
@@ -173,3 +215,55 @@ def sliced_wasserstein(projected: DataFrame, keys: list[str], rows: int | None =
     return per_ray.groupBy(*keys).agg(F.avg("w1").alias("distance"))
 
 
+def _ray_values(batches, entity: list[str], part: str):
+    """Projections of whole vectors and of their parts: per name (``*`` for whole vectors) and ray, the values of either side."""
+    for table, starts in whole_pieces(batches, entity, RAYS_GATHERED):
+        of_row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        sums, lengths = (table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1) for c in ("_sums", "_lengths"))
+        some = table.column("_any").to_numpy()
+        side = table.column(SYNTH).combine_chunks().take(pa.array(starts))
+        synth, sided = side.fill_null(False).to_numpy(zero_copy_only=False), np.asarray(side.is_valid())
+        coded = table.column(part).combine_chunks().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy()
+        for name, rows in [("*", np.arange(table.num_rows)), *((n, np.flatnonzero(codes == k)) for k, n in enumerate(names))]:
+            vectors, first = np.unique(of_row[rows], return_index=True)
+            known = np.add.reduceat(some[rows].astype(np.int64), first) > 0
+            if not known.any():
+                continue
+            with np.errstate(invalid="ignore", divide="ignore"):
+                values = np.add.reduceat(sums[rows], first, axis=0) / np.sqrt(np.add.reduceat(lengths[rows], first, axis=0))
+            rays = values.shape[1]
+            arrays = [pa.array([name] * rays), pa.array(np.arange(rays))]
+            for here in (~synth, synth):
+                picked = values[known & sided[vectors] & here[vectors]].T
+                ends = pa.array(np.arange(rays + 1, dtype=np.int32) * picked.shape[1])
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(picked.reshape(-1))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["feature", "projection", "real", "synth"])
+
+
+def transport(real: np.ndarray, synth: np.ndarray) -> float | None:
+    """Wasserstein-1 distance of two samples; None if one is empty."""
+    if not len(real) or not len(synth):
+        return None
+    real, synth = np.sort(real), np.sort(synth)
+    points = np.unique(np.concatenate([real, synth]))
+    gap = np.searchsorted(real, points, "right") / len(real) - np.searchsorted(synth, points, "right") / len(synth)
+    with np.errstate(invalid="ignore"):
+        return float(np.sum(np.abs(gap[:-1]) * np.diff(points)))
+
+
+def _transport(table: pa.Table) -> pa.Table:
+    sides = [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("real", "synth")]
+    return pa.table({"feature": table.column("feature").slice(0, 1), "w1": pa.array([transport(*sides)], pa.float64())})
+
+
+def sliced_wasserstein_by_ray(parts: DataFrame, entity: list[str], part: str) -> DataFrame:
+    """``feature, distance``: ``sliced_wasserstein`` of whole vectors (``*``) and of their parts, from ``ray_parts`` by entity and part.
+
+    The values of a ray come as arrays and are sorted in one task, so there may be no more entities than a segment has rows.
+    """
+    near = parts.repartition(*entity).sortWithinPartitions(*entity)
+    lists = "feature string, projection long, real array<double>, synth array<double>"
+    values = near.mapInArrow(partial(_ray_values, entity=entity, part=part), lists)
+    per_ray = values.groupBy("feature", "projection").applyInArrow(_transport, "feature string, w1 double")
+    return per_ray.groupBy("feature").agg(F.avg("w1").alias("distance"))

@@ -14,9 +14,11 @@ from chronofid.operators.spectra import (
     differences,
     half_spectrum,
     projected,
-    ray_sums,
+    ray_parts,
     scale_channels,
     sliced_wasserstein,
+    sliced_wasserstein_by_ray,
+    unfolded_rays,
 )
 from chronofid.plans import panel
 from chronofid.plans.metrics import Scan, evaluate, metric
@@ -27,24 +29,29 @@ PROJECTIONS = 50
 MIN_NORM = 1e-12
 
 
-def first_differences(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
-    """Consecutive differences per trajectory and feature, nulls dropped beforehand."""
+def first_differences(pair: DataFrame, roles: TableRoles, n: int | None = None, kept: bool = False) -> DataFrame:
+    """Consecutive differences per trajectory and feature, nulls dropped beforehand; ``kept`` says that ``pair`` is read from files."""
     ids = [SYNTH, roles.key, roles.time, roles.row]
     long = unpivot_numbers(pair.where(F.col(roles.key).isNotNull()), ids, roles.num_cols)
     rows = (pair.count() if n is None else n) * len(roles.num_cols)
     known = long.where(F.col(VALUE).isNotNull())
-    return differences(known, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], VALUE, rows)
+    return differences(known, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], VALUE, rows, kept)
 
 
-def first_difference_ks(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
+def first_difference_ks(pair: DataFrame, roles: TableRoles, n: int | None = None, kept: bool = False) -> DataFrame:
     n = pair.count() if n is None else n
     rows = n * len(roles.num_cols)
-    counts = value_counts(first_differences(pair, roles, n), [FEATURE], VALUE)
+    counts = value_counts(first_differences(pair, roles, n, kept), [FEATURE], VALUE)
+    written = rows > segment_rows(pair.sparkSession)
+    if written:
+        # Distances and spans both read them.
+        counts = checkpointed(counts)
+        rows = counts.count()
     spans = []
     for side in ("real", "synth"):
         x = F.when(F.col(f"{side}_n") > 0, F.col(VALUE))
         spans += [F.min(x).alias(f"{side}_lo"), F.max(x).alias(f"{side}_hi")]
-    ks = ecdf_distances(counts, [FEATURE], VALUE, rows).join(counts.groupBy(FEATURE).agg(*spans), FEATURE)
+    ks = ecdf_distances(counts, [FEATURE], VALUE, rows, written).join(counts.groupBy(FEATURE).agg(*spans), FEATURE)
     constant = (F.col("real_lo") == F.col("real_hi")) & (F.col("synth_lo") == F.col("synth_hi"))
     close = F.abs(F.col("real_lo") - F.col("synth_lo")) <= 1e-8 + 1e-5 * F.abs("synth_lo")
     enough = (F.col("n_real") >= 2) & (F.col("n_synth") >= 2)
@@ -52,23 +59,23 @@ def first_difference_ks(pair: DataFrame, roles: TableRoles, n: int | None = None
     return ks.select(FEATURE, score.alias("score"))
 
 
-def next_steps(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
+def next_steps(pair: DataFrame, roles: TableRoles, n: int | None = None, kept: bool = False) -> DataFrame:
     """Each row with the category and time that follow it in its trajectory."""
     ids = [SYNTH, roles.key, roles.time, roles.row]
     long = unpivot_labels(pair.where(F.col(roles.key).isNotNull()), ids, roles.cat_cols)
     timed = long.where(F.col(roles.time).isNotNull())
     rows = (pair.count() if n is None else n) * len(roles.cat_cols)
-    return ordered(timed, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], rows).lead(
+    return ordered(timed, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], rows, kept).lead(
         next_value=VALUE, next_time=roles.time
     ).result()
 
 
-def transition_shares(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
+def transition_shares(pair: DataFrame, roles: TableRoles, n: int | None = None, kept: bool = False) -> DataFrame:
     """Transitions between neighbouring real times with ``P(to | time, from)`` of each side."""
     times = pair.where(~F.col(SYNTH) & F.col(roles.time).isNotNull()).select(roles.time).distinct()
     n = pair.count() if n is None else n
     expected = ordered(times, [], [roles.time], n).lead(expected=roles.time).result()
-    moves = next_steps(pair, roles, n).where(F.col(VALUE).isNotNull() & F.col("next_value").isNotNull())
+    moves = next_steps(pair, roles, n, kept).where(F.col(VALUE).isNotNull() & F.col("next_value").isNotNull())
     adjacent = moves.join(expected, roles.time, "inner").where(F.col("next_time") == F.col("expected"))
     group = [FEATURE, roles.time, VALUE]
     cells = adjacent.groupBy(*group, "next_value").agg(
@@ -84,9 +91,9 @@ def transition_shares(pair: DataFrame, roles: TableRoles, n: int | None = None)
     )
 
 
-def transition_similarity(pair: DataFrame, roles: TableRoles, n: int | None = None) -> DataFrame:
+def transition_similarity(pair: DataFrame, roles: TableRoles, n: int | None = None, kept: bool = False) -> DataFrame:
     """Mean over shared times of one minus the transition-table distance."""
-    shares = transition_shares(pair, roles, n)
+    shares = transition_shares(pair, roles, n, kept)
     cats = (
         shares.select(FEATURE, F.explode(F.array(VALUE, "next_value")).alias("c"))
         .distinct()
@@ -101,7 +108,7 @@ def transition_similarity(pair: DataFrame, roles: TableRoles, n: int | None = No
 
 
 def autocorrelation(
-    series: DataFrame, keys: list[str], order: list[str], value: str, max_lag: int, rows: int | None = None
+    series: DataFrame, keys: list[str], order: list[str], value: str, max_lag: int, rows: int | None = None, kept: bool = False
 ) -> DataFrame:
     """Autocorrelation for lags 1 to ``max_lag`` of every series that is long enough.
 
@@ -110,7 +117,7 @@ def autocorrelation(
     """
     known = series.where(F.col(value).isNotNull())
     rows = known.count() if rows is None else rows
-    placed = ordered(known, keys, order, rows).numbered("pos").result()
+    placed = ordered(known, keys, order, rows, kept).numbered("pos").result()
     stats = known.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")
     ).where(F.col("n") > max_lag)
@@ -136,21 +143,23 @@ def default_max_lag(pair: DataFrame, roles: TableRoles, n: int | None = None) ->
     return middle.select(F.when(F.col("m").isNull(), 0).otherwise(F.greatest(F.lit(1), eighth)).cast("long").alias("max_lag"))
 
 
-def acf_by_side(pair: DataFrame, roles: TableRoles, max_lag: int, n: int | None = None) -> DataFrame:
+def acf_by_side(pair: DataFrame, roles: TableRoles, max_lag: int, n: int | None = None, kept: bool = False) -> DataFrame:
     """Per feature, side and lag: mean over trajectories, or of the mean series over time."""
     long = unpivot_numbers(pair, [SYNTH, roles.key, roles.time, roles.row], roles.num_cols)
     rows = (pair.count() if n is None else n) * len(roles.num_cols)
     if roles.independence == "independent":
         keyed = long.where(F.col(roles.key).isNotNull())
-        acf = autocorrelation(keyed, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], VALUE, max_lag, rows)
+        acf = autocorrelation(keyed, [FEATURE, SYNTH, roles.key], [roles.time, roles.row], VALUE, max_lag, rows, kept)
         return acf.groupBy(FEATURE, SYNTH, "lag").agg(F.avg("acf").alias("acf"))
     macro = long.where(F.col(roles.time).isNotNull()).groupBy(FEATURE, SYNTH, roles.time).agg(F.avg(VALUE).alias(VALUE))
     return autocorrelation(macro, [FEATURE, SYNTH], [roles.time], VALUE, max_lag, rows)
 
 
-def autocorrelation_similarity(pair: DataFrame, roles: TableRoles, max_lag: int, n: int | None = None) -> DataFrame:
+def autocorrelation_similarity(
+    pair: DataFrame, roles: TableRoles, max_lag: int, n: int | None = None, kept: bool = False
+) -> DataFrame:
     """One minus half the mean absolute difference of the autocorrelations; null if not computable."""
-    sides = acf_by_side(pair, roles, max_lag, n).groupBy(FEATURE, "lag").agg(
+    sides = acf_by_side(pair, roles, max_lag, n, kept).groupBy(FEATURE, "lag").agg(
         F.max(F.when(~F.col(SYNTH), F.col("acf"))).alias("r"), F.max(F.when(F.col(SYNTH), F.col("acf"))).alias("s")
     )
     return sides.groupBy(FEATURE).agg((1 - F.avg(F.abs(F.col("r") - F.col("s"))) / 2).alias("score"))
@@ -236,11 +245,15 @@ def sliced_tt_wasserstein(
     features = spectrum(pair, roles, fill_method)
     entity = [SYNTH, roles.key]
     # Channels are parts of the joint vector: their sums make up its sums.
-    sums = ray_sums(features, [*entity, "channel"], "dim", "mag", projections)
-    both = sums.withColumn(FEATURE, F.explode(F.array(F.lit("*"), F.col("channel")))).drop("channel")
+    parts = ray_parts(features, [*entity, "channel"], "dim", "mag", projections)
     entities = pair.where(F.col(roles.key).isNotNull()).select(*entity).distinct().count()
-    rows = entities * (len(roles.num_cols) + 1) * projections
-    distances = sliced_wasserstein(projected(both, [*entity, FEATURE]), [FEATURE], rows)
+    if entities <= segment_rows(pair.sparkSession):
+        distances = sliced_wasserstein_by_ray(parts, entity, "channel")
+    else:
+        sums = unfolded_rays(parts, [*entity, "channel"])
+        both = sums.withColumn(FEATURE, F.explode(F.array(F.lit("*"), F.col("channel")))).drop("channel")
+        rows = entities * (len(roles.num_cols) + 1) * projections
+        distances = sliced_wasserstein(projected(both, [*entity, FEATURE]), [FEATURE], rows)
     # One row per channel and one joint row: these windows see as many rows as there are columns.
     single = F.col(FEATURE) != "*"
     w = Window.partitionBy(single)
@@ -271,12 +284,12 @@ def _max_lag(scan: Scan) -> int:
 
 @metric("trajectories", "FirstDifferenceKSComplement", _has_nums)
 def _first_difference(scan: Scan) -> DataFrame:
-    return first_difference_ks(scan.pair, scan.roles, scan.rows)
+    return first_difference_ks(scan.pair, scan.roles, scan.rows, kept=True)
 
 
 @metric("trajectories", "AutoCorrelationSimilarity", _has_nums)
 def _autocorrelation(scan: Scan) -> DataFrame:
-    return autocorrelation_similarity(scan.pair, scan.roles, _max_lag(scan), scan.rows)
+    return autocorrelation_similarity(scan.pair, scan.roles, _max_lag(scan), scan.rows, kept=True)
 
 
 @metric("trajectories", "SlicedTTWasserstein", _has_nums, column="distance")
@@ -286,4 +299,4 @@ def _wasserstein(scan: Scan) -> DataFrame:
 
 @metric("trajectories", "TransitionMatrixTVDComplement", lambda scan: bool(scan.roles.cat_cols))
 def _transitions(scan: Scan) -> DataFrame:
-    return transition_similarity(scan.pair, scan.roles, scan.rows)
+    return transition_similarity(scan.pair, scan.roles, scan.rows, kept=True)
