@@ -51,7 +51,8 @@ def align(
         # Where a side's input repeats a cell, its inner gaps are carried as well.
         cells = known.groupBy(SYNTH, key, time).agg(F.count(F.lit(1)).alias("n"))
         repeated = cells.groupBy(SYNTH).agg((F.max("n") > 1).alias("_inner"))
-        grid = fill.carry_edges(grid.join(repeated, SYNTH), group, order, cols, width, inner="_inner").drop("_inner")
+        # One row per side: dealt by side, the grid would meet it in two tasks.
+        grid = fill.carry_edges(grid.join(F.broadcast(repeated), SYNTH), group, order, cols, width, inner="_inner").drop("_inner")
     elif fill_method == "ffill":
         grid = fill.carry_both(grid, group, order, cols, width)
     elif fill_method == "interpolate":

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofid.operators import ordered as ordered_module
 from chronofid.operators import spectra
+from chronofid.plans import panel
 from chronofid.plans import trajectories as tr
 from chronofid.plans.metrics import Scan, evaluate
 from chronofid.plans.roles import TableRoles
@@ -106,3 +107,12 @@ def test_rows_of_a_scan_are_not_written_again(pair, segments, monkeypatch):
     assert max(written, default=0) < 500
     assert plain.keys() == found.keys() and len(plain) == 8
     assert all(found[c] == pytest.approx(plain[c], abs=1e-12) for c in plain)
+
+
+def test_a_panel_is_not_dealt_by_side(spark, pair):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grid = panel.align(pair, ROLES)
+        assert "BroadcastHashJoin" in grid._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
